@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general_problems
+from . import general_problems, retrieval
 
-_MODULES = (general_problems,)
+_MODULES = (general_problems, retrieval)
 
 
 def queries() -> dict:
