@@ -9,9 +9,10 @@ import ast
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,17 +121,25 @@ def matching_size(links: list[list[int]], right: int) -> int:
     return sum(place(u, set()) for u in range(len(links)))
 
 
-@F.pandas_udf(T.DoubleType())
-def matched_f1(matrix: pd.Series) -> pd.Series:
-    """List F1 from a predicted x gold boolean matrix: a prediction and a gold item pair at most once."""
-    def one(m) -> float:
-        rows = [list(r) for r in m] if m is not None else []
-        if not rows or not rows[0]:
-            return 0.0
-        n = matching_size([[j for j, hit in enumerate(r) if hit] for r in rows], len(rows[0]))
-        return 2 * n / (len(rows) + len(rows[0]))
-
-    return matrix.map(one)
+def matched_f1(matrix) -> float:
+    """List F1 from a predicted x gold boolean matrix: a prediction and a gold item pair at most once; 0 if either is empty."""
+    rows = [list(r) for r in matrix] if matrix is not None else []
+    if not rows or not rows[0]:
+        return 0.0
+    n = matching_size([[j for j, hit in enumerate(r) if hit] for r in rows], len(rows[0]))
+    return 2 * n / (len(rows) + len(rows[0]))
+
+
+def list_f1(df: DataFrame, matrix: str, out: str = "f1") -> DataFrame:
+    """``df`` without the matrix column but with the list F1 it gives, batch by batch."""
+    kept = [c for c in df.columns if c != matrix]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pdf[kept].assign(**{out: [round(matched_f1(m), 6) for m in pdf[matrix]]})
+
+    kinds = dict(df.dtypes)
+    return df.mapInPandas(run, ", ".join([f"{c} {kinds[c]}" for c in kept] + [f"{out} double"]))
 
 
 def repaired_json(text: str | None) -> str | None:

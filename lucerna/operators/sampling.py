@@ -40,7 +40,7 @@ def pick_with_control(df: DataFrame, cell: list[str], key: str, first: list[Colu
     w = Window.partitionBy(*cell)
     d = df.withColumn("_a", F.row_number().over(w.orderBy(*first, F.col(key))))
     d = d.withColumn("_b", F.row_number().over(w.orderBy((F.col("_a") == 1).cast("int"), *control, F.col(key))))
-    return d.where("_a = 1 or _b = 1").where("_a = 1 or _a > 1").withColumn("role", F.when(F.col("_a") == 1, "pick").otherwise("control")).drop("_a", "_b")
+    return d.where("_a = 1 or _b = 1").withColumn("role", F.when(F.col("_a") == 1, "pick").otherwise("control")).drop("_a", "_b")
 
 
 def best_combination(options: DataFrame, group: str, key: str, feature: str, targets: dict[str, int], per_group: int = 6) -> DataFrame:
@@ -55,7 +55,11 @@ def best_combination(options: DataFrame, group: str, key: str, feature: str, tar
     for g in groups:
         part = o.where(F.col(group) == g).select(F.array(F.struct(F.lit(g).alias("g"), F.col(key).alias("k"), F.col(feature).alias("f"))).alias("new"))
         acc = part.select(F.col("new").alias("chosen")) if acc is None else acc.join(part).select(F.concat("chosen", "new").alias("chosen"))
-    dist = sum((F.abs(F.size(F.filter("chosen", lambda x, v=v: x["f"] == v)) - n) for v, n in targets.items()), F.lit(0))
+
+    def count(v: str) -> Column:
+        return F.size(F.filter("chosen", lambda x: x["f"] == v))
+
+    dist = sum((F.abs(count(v) - n) for v, n in targets.items()), F.lit(0))
     best = acc.select("chosen", dist.alias("distance"), F.transform("chosen", lambda x: x["k"]).alias("_k")).orderBy("distance", "_k").limit(1)
     return best.select("distance", F.explode("chosen").alias("x")).select("distance", F.col("x.g").alias(group), F.col("x.k").alias(key), F.col("x.f").alias(feature))
 
