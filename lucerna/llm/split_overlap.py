@@ -22,6 +22,7 @@ from ..workspace import Workspace
 GRAM = 3
 EDITS = 2
 LONG = GRAM * EDITS + GRAM  # the least length with 2n+1 n-grams
+TINY_BLOCKS = 16
 
 
 def words(text: Column) -> Column:
@@ -125,8 +126,10 @@ def overlaps(evaluation: DataFrame, training: DataFrame, ws: Workspace) -> tuple
     picked = ew.select("c", "n", F.explode("w").alias("g")).join(one, "g", "left").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("k"))
     cand.append(met(pairs(picked.select("c", "n", F.transform(F.slice("k", 1, EDITS + 2), lambda x: x["g"]).alias("w"))), pairs(tw)))
     cand.append(met(short(ev, 1, 3).select("c", "n", F.explode("w").alias("g")), short(tr, 1, 3 + EDITS).select("c", "n", F.explode("w").alias("g"))))
-    tiny = lambda d: d.where(F.col("n") <= EDITS).select("c", "n", F.lit("").alias("g"))  # noqa: E731  any two of these are near
-    cand.append(met(tiny(ev), tiny(tr)))
+    # any two texts of at most EDITS words are near: the result itself is all pairs of these classes, made in blocks
+    te, tt = ev.where(F.col("n") <= EDITS), tr.where(F.col("n") <= EDITS)
+    blocks = F.sequence(F.lit(0), F.lit(TINY_BLOCKS - 1))
+    cand.append(met(te.select("c", "n", F.explode(blocks).alias("g")), tt.select("c", "n", F.pmod(F.xxhash64("c"), F.lit(TINY_BLOCKS)).cast("int").alias("g"))))
     cand = union_all(cand).distinct()
 
     e = ev.select(F.col("c").alias("ce"), F.col("seq").alias("se"), F.col("letters").alias("le"), F.col("grams").alias("ge"))
