@@ -105,9 +105,13 @@ def _tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), 1)
 
 
+def _table(words: str) -> Column:
+    return F.array(*[F.lit(w) for w in sorted(set(_words(words)))])
+
+
 def _count(tokens: Column, words: str) -> Column:
-    table = F.array(*[F.lit(w) for w in sorted(set(_words(words)))])
-    return F.size(F.filter(tokens, lambda w: F.array_contains(table, w)))
+    """How many different words of a list occur."""
+    return F.size(F.array_intersect(tokens, _table(words)))
 
 
 def language(c: Column, tokens: Column | None = None) -> Column:
@@ -125,8 +129,7 @@ def _ended(a: Column) -> Column:
 
 
 def _sentence_like(tokens: Column) -> Column:
-    strong = " ".join(STRONG.values())
-    return (F.size(tokens) >= 4) & (_count(tokens, strong) >= 1)
+    return (F.size(tokens) >= 4) & F.arrays_overlap(tokens, _table(" ".join(STRONG.values())))
 
 
 def prefix_neighbours(texts: DataFrame, ws: Workspace, col: str = "t") -> DataFrame:
@@ -164,10 +167,10 @@ def defects(pairs: DataFrame, key: str = "pair_id", question: str = "question",
         texts = texts.unionAll(pairs.select(F.col(o).alias("t")))
     short = prefix_neighbours(texts, ws)
     # the cut is inside a word, or after a word that cannot end a phrase
-    strong = F.array(*[F.lit(w) for w in sorted(set(_words(" ".join(STRONG.values()))))])
+    strong = _table(" ".join(STRONG.values()))
     last = F.regexp_extract(F.lower("t"), r"(\p{L}+)\s*\z", 1)
     inside = F.substr("longer", F.length("t") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]") & F.col("t").rlike(r"[\p{L}\p{N}]\z")
-    short = short.where((F.length("t") >= 8) & ((inside & F.col("t").rlike(r"\s")) | F.array_contains(strong, last))).select(F.col("t").alias(answer), F.lit(True).alias("_short"))
+    short = short.where((F.length("t") >= 8) & ((inside & F.col("t").rlike(r"\s")) | F.array_contains(strong, last))).select(F.md5("t").alias("_m"), F.lit(True).alias("_short"))
 
     p = pairs.where(released(F.col(disposition))) if disposition else pairs
     q, a = F.col(question), F.col(answer)
@@ -182,19 +185,20 @@ def defects(pairs: DataFrame, key: str = "pair_id", question: str = "question",
     broken = F.col("_open") & (a.rlike(r"(?U)(\w|\s)(\.\.\.|…)\s*\z") | a.rlike(r"(?U)\w\s?[-–,;:]\s*\z") | F.col("_sentence"))
     d = d.select(
         key,
-        answer,
+        F.md5(answer).alias("_m"),
         F.length(a).alias("n"),
-        F.col("_open"),
         F.when(F.col("_empty"), "empty")
         .when(F.coalesce(copies_question(q, a), F.lit(False)), "copies_question")
         .when(F.coalesce(refuses(a), F.lit(False)), "refusal")
         .when(F.coalesce(other, F.lit(False)), "other_language")
         .when(F.coalesce(broken, F.lit(False)), "truncated")
         .alias("defect"),
-        (F.size("_ta") >= 3).alias("_some"),
+        # what a shortened text or a limit could still show to be truncated
+        F.coalesce(F.col("_open"), F.lit(False)).alias("_open"),
+        F.coalesce((F.size("_ta") >= 3) & ~a.rlike(r"[,;\n]"), F.lit(False)).alias("_phrase"),
     )
-    d = d.join(short, answer, "left")
+    d = ws.keep(d, "judged")  # judged once; what follows reads hashes, lengths and verdicts
     spikes = length_spikes(d.where("_open and defect = 'truncated'").select("n")).withColumn("_spike", F.lit(True))
-    d = d.join(spikes, "n", "left")
-    late = F.col("_open") & (F.coalesce("_short", F.lit(False)) | (F.coalesce("_spike", F.lit(False)) & F.col("_some") & ~a.rlike(r"[,;\n]")))
-    return d.select(key, F.coalesce("defect", F.when(late, "truncated")).alias("defect")).where("defect is not null")
+    late = d.where("_open and defect is null").join(short, "_m", "left").join(spikes, "n", "left")
+    late = late.where("_short or (_spike and _phrase)").select(key, F.lit("truncated").alias("defect"))
+    return d.where("defect is not null").select(key, "defect").unionByName(late)
