@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..workspace import Workspace
 from .lexical import top_k
 
 
@@ -38,8 +39,9 @@ def margins(rankings: DataFrame) -> DataFrame:
 def place_share(df: DataFrame, value: str, tie: str, name: str, by: list[str] | None = None) -> DataFrame:
     """Place of a value among all, (place - 1)/(n - 1), ties in the order of ``tie``; 0 for a single row.
 
-    Without ``by`` the whole table is ranked by a distributed sort: rows are range partitioned, numbered inside the
-    ranges, and the counts of the earlier ranges (one row per range) are added.
+    Without ``by`` the whole table is ranked by a distributed sort: rows are range partitioned (and written, so that
+    the ranges are the same for every reader), numbered inside the ranges, and the counts of the earlier ranges
+    (one row per range) are added.
     """
     if by:
         w = Window.partitionBy(*by)
@@ -47,6 +49,7 @@ def place_share(df: DataFrame, value: str, tie: str, name: str, by: list[str] |
         return df.withColumn(name, F.when(n > 1, (F.row_number().over(w.orderBy(value, tie)) - 1) / (n - 1)).otherwise(0.0))
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     r = df.repartitionByRange(parts, F.col(value).asc_nulls_first(), F.col(tie)).withColumn("_p", F.spark_partition_id())
+    r = Workspace(df.sparkSession, "places").keep(r, "ranges")
     r = r.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(F.col(value).asc_nulls_first(), tie)))
     sizes = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))  # one row per range

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..workspace import Workspace
+
 
 def signature(*parts: Column) -> Column:
     """SHA-256 over the parts, arrays joined by commas, nulls as a mark of their own."""
@@ -24,10 +26,11 @@ def dedup_jobs(arms: DataFrame, sig: str, arm: str, condition: str) -> DataFrame
 def batch_plan(jobs: DataFrame, order: str, size: int = 6) -> DataFrame:
     """``job_order`` from 1 in the total order of ``order`` and ``batch_index`` = ceil(job_order/size).
 
-    The numbering is a distributed sort: ranges are numbered inside and offset by the counts of the earlier ones.
+    The numbering is a distributed sort: ranges are written once, numbered inside and offset by the counts of the
+    earlier ones.
     """
     parts = max(1, int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    r = jobs.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id())
+    r = Workspace(jobs.sparkSession, "batches").keep(jobs.repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()), "ranges")
     r = r.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     n = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     n = n.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # one row per range
