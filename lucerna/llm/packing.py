@@ -1,9 +1,10 @@
 """Filling containers of fixed capacity with items, by Karmarkar-Karp multiway differencing.
 
-Items are spread over blocks of bounded size by a hash; each block is differenced on its own into the
-fewest windows its total allows, one more as long as a window exceeds the capacity.  What a block leaves
-in its emptiest windows goes to a second round with the left-overs of the other blocks, so the unused space
-does not add up with the blocks.
+Items are spread over blocks of bounded size by a hash and each block is differenced on its own.  Near-equal
+windows share a block's slack evenly, so in the first round a block keeps only as much as fills a whole
+number of windows nearly to the brim and carries the rest over; if a window still exceeds the capacity, less is
+kept.  The second round packs what all blocks carried over into the fewest windows, one more as long as one
+exceeds the capacity.
 """
 
 from __future__ import annotations
@@ -17,6 +18,11 @@ from pyspark.sql import functions as F
 
 from ..workspace import Workspace
 
+#: Shares of the capacity a first-round window may be filled to, tried in turn.
+FILLS = (0.995, 0.99, 0.98, 0.965, 0.94, 0.9)
+#: Tasks of a round; beyond that many blocks share a task.
+MOST_TASKS = 20_000
+
 _WINDOWS = "container string, block long, item string, piece int, size long, win int"
 
 
@@ -81,13 +87,36 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
         k += max(1, int((fill > capacity).sum()) // 64)
 
 
-def _pack_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["size", "item", "piece"], ascending=[False, True, True], kind="stable")
-    w = pack(pdf["size"].to_numpy(dtype=np.int64), int(pdf["capacity"].iloc[0]))
-    return pdf[["container", "block", "item", "piece", "size"]].assign(win=w.astype("int32"))
+def pack_to_the_brim(sizes: np.ndarray, capacity: int, fills: tuple[float, ...] = FILLS) -> np.ndarray:
+    """Window of each item, -1 for items carried over: windows near-equal and filled to about the first of ``fills``
+    that differencing reaches without exceeding the capacity."""
+    out = np.full(len(sizes), -1, dtype=np.int64)
+    total = int(sizes.sum())
+    order = np.random.default_rng(len(sizes)).permutation(len(sizes))  # a fair mix of sizes stays
+    run = np.cumsum(sizes[order])
+    for f in fills:
+        k = int(total / (capacity * f))
+        if k < 1:
+            break
+        kept = np.sort(order[: int(np.searchsorted(run, k * capacity * f, side="right"))])
+        w = difference(sizes[kept], k)
+        if np.bincount(w, weights=sizes[kept], minlength=k).max() <= capacity:
+            out[kept] = w
+            return out
+    return out
+
+
+def _pack_block(final: bool):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["size", "item", "piece"], ascending=[False, True, True], kind="stable")
+        sizes, capacity = pdf["size"].to_numpy(dtype=np.int64), int(pdf["capacity"].iloc[0])
+        w = pack(sizes, capacity) if final else pack_to_the_brim(sizes, capacity)
+        return pdf[["container", "block", "item", "piece", "size"]].assign(win=w.astype("int32"))
+
+    return run
 
 
-def fill_containers(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str = "tokens", block_items: int = 1500, spare: float = 0.02) -> DataFrame:
+def fill_containers(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str = "tokens", block_items: int = 800) -> DataFrame:
     """(container, window_id, key, piece, size): every item of every container size in exactly one window.
 
     ``containers`` is (container, capacity_tokens), a small dimension table.  An item larger than the capacity, and no
@@ -112,18 +141,17 @@ def fill_containers(items: DataFrame, containers: DataFrame, key: str = "doc_id"
     whole = pieces.where("size = capacity").select("container", F.concat_ws("-", F.lit("full"), "item", "piece").alias("window_id"), "item", "piece", "size")
     rest = pieces.where("size < capacity")
 
-    def run(df: DataFrame, n: int, name: str) -> DataFrame:
+    def run(df: DataFrame, n: int, name: str, final: bool) -> DataFrame:
         b = df.withColumn("block", F.pmod(F.xxhash64("item", "piece", F.lit(name)), F.lit(n)))
-        return ws.keep(b.groupBy("container", "block").applyInPandas(_pack_block, _WINDOWS), name)
+        # the work is in the blocks, not in their few bytes: as many partitions as the blocks need
+        tasks = max(1, min(MOST_TASKS, n * len(caps) // 2))
+        b = b.repartition(tasks, "container", "block")
+        return ws.keep(b.groupBy("container", "block").applyInPandas(_pack_block(final), _WINDOWS), name)
 
-    first = run(rest, blocks, "first")
+    first = run(rest, blocks, "first", False)
     capacity = F.create_map(*[F.lit(x) for r in caps for x in (r["container"], r["capacity"])])[F.col("container")]
-    fill = first.groupBy("container", "block", "win").agg(F.sum("size").alias("fill"))
-    again = fill.where(F.col("fill") < (1 - spare) * capacity).select("container", "block", "win")
-    left = first.join(again, ["container", "block", "win"]).select("container", capacity.alias("capacity"), "item", "piece", "size")
-    done = first.join(again, ["container", "block", "win"], "left_anti")
-    n_left = left.count()
-    second = run(left, max(1, -(-n_left // block_items)), "second")
+    done, left = first.where("win >= 0"), first.where("win < 0").select("container", capacity.alias("capacity"), "item", "piece", "size")
+    second = run(left, max(1, -(-left.count() // (block_items * len(caps)))), "second", True)
 
     def named(df: DataFrame, stage: str) -> DataFrame:
         return df.select("container", F.concat_ws("-", F.lit(stage), "block", "win").alias("window_id"), "item", "piece", "size")
