@@ -2,8 +2,8 @@
 
 Dictionary encoding: every column's distinct raw values are brought to canonical tokens once,
 each distinct token gets an integer, records are rewritten as sorted integer tuples and equal
-tuples are grouped.  Only the dictionaries ever hold text; what is grouped and shuffled per
-record is a short array of integers.
+tuples are grouped.  Text is shuffled once, to find the distinct raw values; after that raw values
+and tokens travel as 128-bit digests and records as short arrays of integers.
 """
 
 from __future__ import annotations
@@ -43,9 +43,9 @@ def json_tokens(c: Column) -> Column:
     return F.coalesce(pairs, F.when(c.isNotNull(), F.array(F.concat(F.lit("?"), F.trim(c)))), F.array().cast("array<string>"))
 
 
-def _raw_hash(c: Column) -> list[Column]:
-    """64 + 128 bits of a raw value: what the join of records to the dictionary compares."""
-    return [F.xxhash64(F.lit(1), c).alias("_h"), F.md5(F.to_json(F.struct(c.alias("x")))).alias("_m")]
+def _digest(c: Column) -> Column:
+    """128 bits of a raw value of any type: what the join of records to the dictionary compares."""
+    return F.unhex(F.md5(F.to_json(F.struct(c.alias("x"))))).alias("_m")
 
 
 def encode(records: DataFrame, key: str, columns: dict[str, Callable[[Column], Column]], ws: Workspace, share: float = 0.02) -> DataFrame:
@@ -59,20 +59,21 @@ def encode(records: DataFrame, key: str, columns: dict[str, Callable[[Column], C
     raws = []
     for i, canon in enumerate(columns.values()):
         raw = out.groupBy(F.col(f"r{i}").alias("r")).agg(F.count(F.lit(1)).alias("rows"))
-        raws.append(raw.select(F.lit(i).alias("col"), *_raw_hash(F.col("r")), "rows", canon(F.col("r")).alias("tokens")))
+        tokens = F.transform(canon(F.col("r")), lambda t: F.unhex(F.md5(t)))
+        raws.append(raw.select(F.lit(i).alias("col"), _digest(F.col("r")), "rows", tokens.alias("tokens")))
     raw = ws.keep(union_all(raws), "raw")
     total = raw.where("col = 0").agg(F.sum("rows")).first()[0] or 0
     heavy: dict[int, list] = {}
-    for r in raw.where((F.col("rows") >= max(20_000, share * total))).select("col", "_h").collect():
-        heavy.setdefault(r["col"], []).append(r["_h"])
+    for r in raw.where((F.col("rows") >= max(20_000, share * total))).select("col", "_m").collect():
+        heavy.setdefault(r["col"], []).append(r["_m"])
     tokens = raw.select("col", F.explode("tokens").alias("token")).distinct().select("col", "token", F.monotonically_increasing_id().alias("n"))
     dictionary = ws.keep(tokens, "dictionary")  # written, so that every reader sees the same integers
-    coded = raw.select("col", "_h", "_m", F.explode("tokens").alias("token")).join(dictionary, ["col", "token"]).groupBy("col", "_h", "_m").agg(F.collect_set("n").alias("ns"))
+    coded = raw.select("col", "_m", F.explode("tokens").alias("token")).join(dictionary, ["col", "token"]).groupBy("col", "_m").agg(F.collect_set("n").alias("ns"))
     coded = ws.keep(coded, "coded")
+    out = out.select(key, *[_digest(F.col(f"r{i}")).alias(f"m{i}") for i in range(len(columns))])  # no text from here on
     for i in range(len(columns)):
-        part = coded.where(F.col("col") == i).select("_h", "_m", F.col("ns").alias(f"n{i}"))
-        out = out.select("*", *_raw_hash(F.col(f"r{i}"))).drop(f"r{i}")
-        out = salted_join(out, part, ["_h", "_m"], "left", heavy.get(i, []), F.col(key)).drop("_h", "_m")
+        part = coded.where(F.col("col") == i).select(F.col("_m").alias(f"m{i}"), F.col("ns").alias(f"n{i}"))
+        out = salted_join(out, part, [f"m{i}"], "left", heavy.get(i, []), F.col(key)).drop(f"m{i}")
     none = F.array().cast("array<bigint>")
     ints = F.array_sort(F.flatten(F.array(*[F.coalesce(F.col(f"n{i}"), none) for i in range(len(columns))])))
     return out.select(key, ints.alias("tuple"))
