@@ -9,6 +9,7 @@ import ast
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -130,13 +131,25 @@ def matched_f1(matrix) -> float:
     return 2 * n / (len(rows) + len(rows[0]))
 
 
-def list_f1(df: DataFrame, matrix: str, out: str = "f1") -> DataFrame:
-    """``df`` without the matrix column but with the list F1 it gives, batch by batch."""
-    kept = [c for c in df.columns if c != matrix]
+def token_f1(a: list[str], b: list[str]) -> float:
+    """F9 for lists: F1 of two token multisets."""
+    n = sum((Counter(a) & Counter(b)).values())
+    return 2 * n / (len(a) + len(b)) if n else 0.0
+
+
+def items_match(a: list[str], b: list[str], least: float = 0.85) -> bool:
+    """F10 for alias lists, lenient form."""
+    return bool(set(a) & set(b)) or any(token_f1(x.split(), y.split()) >= least for x in a for y in b)
+
+
+def list_f1(df: DataFrame, predicted: str, gold: str, out: str = "f1") -> DataFrame:
+    """``df`` without its two columns of alias lists per item but with the list F1 of their best one-to-one matching."""
+    kept = [c for c in df.columns if c not in (predicted, gold)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            yield pdf[kept].assign(**{out: [round(matched_f1(m), 6) for m in pdf[matrix]]})
+            score = [round(matched_f1([[items_match(x, y) for y in (g if g is not None else [])] for x in (p if p is not None else [])]), 6) for p, g in zip(pdf[predicted], pdf[gold])]
+            yield pdf[kept].assign(**{out: score})
 
     kinds = dict(df.dtypes)
     return df.mapInPandas(run, ", ".join([f"{c} {kinds[c]}" for c in kept] + [f"{out} double"]))

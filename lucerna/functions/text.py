@@ -121,14 +121,18 @@ def multiset_f1(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * common / (F.size(a) + F.size(b)))
 
 
-def values_match(a: Column, b: Column, generic: str | None = None, least: float = 0.85) -> Column:
-    """Alias sets overlap, or (with ``generic``, the lenient mode) some token F1 reaches ``least``."""
-    x, y = aliases(a, generic), aliases(b, generic)
+def aliases_match(x: Column, y: Column, lenient: bool = False, least: float = 0.85) -> Column:
+    """F10/J11 on alias arrays made before: they overlap or, leniently, some token F1 reaches ``least``."""
     exact = F.arrays_overlap(x, y)
-    if generic is None:
+    if not lenient:
         return F.coalesce(exact, F.lit(False))
     near = F.exists(x, lambda p: F.exists(y, lambda q: multiset_f1(F.split(p, " "), F.split(q, " ")) >= least))
-    return F.coalesce(exact | near, F.lit(False))
+    return F.coalesce(exact, F.lit(False)) | F.coalesce(near, F.lit(False))
+
+
+def values_match(a: Column, b: Column, generic: str | None = None, least: float = 0.85) -> Column:
+    """strict by aliases, or lenient with ``generic`` words left out.  Null matches nothing."""
+    return aliases_match(aliases(a, generic), aliases(b, generic), generic is not None, least)
 
 
 def yes_no(c: Column) -> Column:

@@ -23,7 +23,10 @@ def hashed_means(df: DataFrame, key: str, value: str, resamples: int = 1000, see
     v = v.withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("k")) - 1)
     n = v.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
     spark = df.sparkSession
-    draws = n.join(F.broadcast(spark.range(resamples).withColumnRenamed("id", "b"))).select("s", "n", "b", F.explode(F.expr("sequence(0L, n - 1)")).alias("d"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # one row per stratum, times the resamples; spread before the draws are made
+    each = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(parts, "s", "b")
+    draws = each.select("s", "n", "b", F.explode(F.expr("sequence(0L, n - 1)")).alias("d"))
     pos = F.pmod(F.conv(F.substr(F.md5(F.concat_ws("|", F.col("b"), F.col("d"), F.lit(seed), F.col("s"))), F.lit(1), F.lit(15)), 16, 10).cast("long"), F.col("n"))
     times = draws.groupBy("s", "b", pos.alias("i")).agg(F.count(F.lit(1)).alias("c"))
     per = times.join(v, ["s", "i"]).groupBy("s", "b").agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m"))

@@ -210,17 +210,19 @@ def list_f1_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """List answers against the other answer's items by one-to-one matching."""
     p = table(spark, sf, "paired_answers").where("question_type = 'list' and bge_answer is not null and hybrid_answer is not null")
     p = p.select("pair_id", scoring.answer_items("bge_answer").alias("a"), scoring.answer_items("hybrid_answer").alias("b"))
-    m = F.transform("a", lambda x: F.transform("b", lambda y: text.values_match(x, y, scoring.GENERIC)))
-    return scoring.list_f1(p.select("pair_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), m.alias("m")), "m")
+    known = {c: F.transform(c, lambda x: text.aliases(x, scoring.GENERIC)).alias(f"{c}_alias") for c in ("a", "b")}
+    p = p.select("pair_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), *known.values())
+    return scoring.list_f1(p, "a_alias", "b_alias")
 
 
 def factoid_reciprocal_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Place of the first item of an answer that matches the other answer, strict and lenient."""
     p = table(spark, sf, "paired_answers").where("question_type = 'factoid' and bge_answer is not null and hybrid_answer is not null")
-    p = p.select("pair_id", scoring.answer_items("bge_answer").alias("a"), "hybrid_answer")
+    p = p.select("pair_id", scoring.answer_items("bge_answer").alias("a"), text.aliases(F.col("hybrid_answer")).alias("strict_b"), text.aliases(F.col("hybrid_answer"), scoring.GENERIC).alias("lenient_b"))
 
     def rr(generic):
-        hit = F.transform("a", lambda x: text.values_match(x, F.col("hybrid_answer"), generic))
+        other = F.col("lenient_b" if generic else "strict_b")
+        hit = F.transform("a", lambda x: text.aliases_match(text.aliases(x, generic), other, generic is not None))
         return F.coalesce(1.0 / F.nullif(F.array_position(hit, F.lit(True)), F.lit(0)), F.lit(0.0))
 
     return p.select("pair_id", F.round(rr(scoring.GENERIC), 6).alias("lenient"), F.round(rr(None), 6).alias("strict"))
