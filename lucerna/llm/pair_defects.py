@@ -36,9 +36,9 @@ FUNCTION_WORDS = {
 }
 STRONG = {
     "en": "the of in is was were are been by with to for from that which when while has have had under after before their because unless since although cannot between neither not did whereas",
-    "fr": "le les des du de est une dans par pour avec chez sous que qui ont été",
-    "de": "der die das den dem des ist eine einer im mit von zu bei auf für wird wurde nach",
-    "es": "el los las del de es una en con por para que se fue",
+    "fr": "le les des du de est une dans par pour avec chez sous que qui ont été entre",
+    "de": "der die das den dem des ist eine einer im mit von zu bei auf für wird wurde nach zwischen",
+    "es": "el los las del de es una en con por para que se fue entre hubo ninguna",
     "it": "il del della dei di è una nel con per che",
     "ru": "в на с и но по при не у из для что как был была были от до после под",
 }
@@ -129,7 +129,11 @@ def _ended(a: Column) -> Column:
 
 
 def _sentence_like(tokens: Column) -> Column:
-    return (F.size(tokens) >= 4) & F.arrays_overlap(tokens, _table(" ".join(STRONG.values())))
+    """Four words with one that marks a sentence, or four Cyrillic words, or three ending in a function word of two letters or more."""
+    strong = F.arrays_overlap(tokens, _table(" ".join(STRONG.values())))
+    cyrillic = F.size(F.filter(tokens, lambda t: t.rlike(r"^\p{IsCyrillic}+$"))) >= 3
+    dangling = F.array_contains(_table(" ".join(w for ws in FUNCTION_WORDS.values() for w in _words(ws) if len(w) > 1)), F.element_at(tokens, -1))
+    return F.when(F.size(tokens) >= 4, strong | cyrillic | dangling).when(F.size(tokens) == 3, dangling).otherwise(False)
 
 
 def prefix_neighbours(texts: DataFrame, ws: Workspace, col: str = "t") -> DataFrame:
