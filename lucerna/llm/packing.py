@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..workspace import Workspace
 
 #: Shares of the capacity a first-round window may be filled to, tried in turn.
-FILLS = (0.995, 0.99, 0.98, 0.965, 0.94, 0.9)
+FILLS = (*(0.995 - 0.005 * i for i in range(14)), 0.9, 0.85)
 #: Tasks of a round; beyond that many blocks share a task.
 MOST_TASKS = 20_000
 
