@@ -111,7 +111,7 @@ def aliases(c: Column, generic: str | None = None) -> Column:
     raw = F.concat(F.array(c), parenthesised(c))
     forms = F.transform(raw, score_form)
     if generic:
-        forms = F.concat(forms, F.transform(forms, lambda f: without_words(f, generic)))
+        forms = F.flatten(F.transform(forms, lambda f: F.array(f, without_words(f, generic))))  # each form is made once
     return F.array_distinct(F.filter(forms, lambda f: f != ""))
 
 

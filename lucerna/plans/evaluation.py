@@ -219,13 +219,13 @@ def factoid_reciprocal_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Place of the first item of an answer that matches the other answer, strict and lenient."""
     p = table(spark, sf, "paired_answers").where("question_type = 'factoid' and bge_answer is not null and hybrid_answer is not null")
     p = p.select("pair_id", scoring.answer_items("bge_answer").alias("a"), text.aliases(F.col("hybrid_answer")).alias("strict_b"), text.aliases(F.col("hybrid_answer"), scoring.GENERIC).alias("lenient_b"))
+    p = p.select("pair_id", F.transform("a", lambda x: text.aliases(x)).alias("strict_a"), F.transform("a", lambda x: text.aliases(x, scoring.GENERIC)).alias("lenient_a"), "strict_b", "lenient_b")
 
-    def rr(generic):
-        other = F.col("lenient_b" if generic else "strict_b")
-        hit = F.transform("a", lambda x: text.aliases_match(text.aliases(x, generic), other, generic is not None))
-        return F.coalesce(1.0 / F.nullif(F.array_position(hit, F.lit(True)), F.lit(0)), F.lit(0.0))
+    def rr(kind: str):
+        hit = F.transform(f"{kind}_a", lambda x: text.aliases_match(x, F.col(f"{kind}_b"), kind == "lenient"))
+        return F.round(F.coalesce(1.0 / F.nullif(F.array_position(hit, F.lit(True)), F.lit(0)), F.lit(0.0)), 6).alias(kind)
 
-    return p.select("pair_id", F.round(rr(scoring.GENERIC), 6).alias("lenient"), F.round(rr(None), 6).alias("strict"))
+    return p.select("pair_id", rr("lenient"), rr("strict"))
 
 
 def macro_token_f1(spark: SparkSession, sf: str) -> DataFrame:
