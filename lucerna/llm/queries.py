@@ -104,13 +104,20 @@ def p3_incremental(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("batch", "split").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def _truncated(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole reply names the record's claims up to the last one."""
+    ids = F.filter(F.transform("claims", lambda c: c["claim_id"]), lambda i: i.isNotNull())
+    r = table(spark, sf, "reaudit_outputs").select("record_id", "raw_response", "model", ids.alias("labels"))
+    return truncation.truncated(r, "record_id", "raw_response", "model", expected="labels")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return truncation.truncated(table(spark, sf, "reaudit_outputs"), "record_id", "raw_response", "model").where("truncated").select("record_id")
+    return _truncated(spark, sf).where("truncated").select("record_id")
 
 
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Truncation per model, and how many at a hidden limit."""
-    t = truncation.truncated(table(spark, sf, "reaudit_outputs"), "record_id", "raw_response", "model")
+    t = _truncated(spark, sf)
     return t.groupBy("model").agg(
         F.count(F.lit(1)).alias("n_replies"), F.count_if("truncated").alias("n_truncated"), F.count("limit_measure").alias("n_at_limit"), F.round(F.avg(F.col("truncated").cast("double")), 6).alias("rate")
     )

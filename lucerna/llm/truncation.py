@@ -9,6 +9,10 @@ Three kinds of evidence, all over the whole corpus:
 * the ending: a sentence, word, status or list item that breaks off, also inside a reply that was closed
   by a repair.  Short phrases without full stop are told from broken ones by the corpus itself: a phrase
   that other replies go on after is complete.
+
+A reply that reaches a limit of its source needs less evidence from its ending: there a known phrase does not
+clear it, nor does a full stop inside a section or a list of sections that is not done.  A reply that ends
+after its sections, as one padded to the limit does, stays complete.
 """
 
 from __future__ import annotations
@@ -55,6 +59,12 @@ def measure(t: Column, name: str) -> Column:
 _DECODER = json.JSONDecoder(strict=False)
 _FENCE = re.compile(r"\A\s*```[\w-]*[ \t]*\n?")
 _ENDED = re.compile(r"[.!?。…][\"'”»)\]*_`]*\s*\Z")
+_SECTION = re.compile(r"(?:\A|\n|(?<=[.!?])[ \t])[ \t]*((?:[\w-]+ )?[A-Za-z]+\d+):\s")
+_STOP = re.compile(r"[.!?](?=\s|\Z)")
+#: What closes the brackets, strings and fence of a reply.
+_CLOSERS = "[\\s\"}\\]`]*$"
+#: A cut that keeps characters whole, or a blank stripped after it, leaves a text this much below its limit at most.
+SLACK = 3
 _WORD_ITEM = re.compile(r"\A\s*(?:[-*•]|\d+[.)])\s")
 
 
@@ -150,15 +160,45 @@ def ending_of(text: str) -> tuple[str, str, str, list[str]]:
     return "prose", "open", "", []
 
 
+def stops_inside(text: str, form: str, expected: list[str] | None = None) -> bool:
+    """Does a reply that ends with a full stop end inside its sections?
+
+    Prose is read as sections ``label:``.  It is not done if the last section has fewer sentences than any other, or
+    if the last of several rounds through the labels is shorter than the first.  ``expected``: the labels a whole
+    reply names, in order; it is not done either if the final one is not named.  A text that goes on after its last
+    section (more sentences than in any other) is done; so is one with fewer than two sections.
+    """
+    if form == "json":
+        return bool(expected) and f'"{expected[-1]}"' not in text
+    if form != "prose":
+        return False
+    body = text.replace("```", "").rstrip()
+    heads = list(_SECTION.finditer(body))
+    if len(heads) < 2:
+        return False
+    ends = [h.start() for h in heads[1:]] + [len(body)]
+    n = [len(_STOP.findall(body[h.end() : e])) for h, e in zip(heads, ends)]
+    if n[-1] > max(n[:-1]):
+        return False
+    labels = [h.group(1) for h in heads]
+    starts = [i for i, x in enumerate(labels) if x == labels[0]]
+    last = labels[starts[-1] :]
+    short = len(starts) > 1 and len(last) < starts[1] and last == labels[: len(last)]
+    return n[-1] < min(n[:-1]) or short or bool(expected) and expected[-1] not in {x.split()[-1] for x in labels}
+
+
 _ENDING = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("form", "verdict", "last")] + [T.StructField("phrases", T.ArrayType(T.StringType()))]
+    [T.StructField(n, T.StringType()) for n in ("form", "verdict", "last")] + [T.StructField("phrases", T.ArrayType(T.StringType())), T.StructField("inside", T.BooleanType())]
 )
 
 
 @F.pandas_udf(_ENDING)
-def _endings(texts: pd.Series) -> pd.DataFrame:
-    rows = [(f, v, last or None, sorted(set(p))) for f, v, last, p in map(ending_of, texts)]
-    return pd.DataFrame(rows, columns=["form", "verdict", "last", "phrases"])
+def _endings(texts: pd.Series, expected: pd.Series) -> pd.DataFrame:
+    rows = []
+    for t, x in zip(texts, expected):
+        f, v, last, p = ending_of(t)
+        rows.append((f, v, last or None, sorted(set(p)), v == "ended" and stops_inside(t, f, None if x is None else list(x))))
+    return pd.DataFrame(rows, columns=["form", "verdict", "last", "phrases", "inside"])
 
 
 def limits(found: DataFrame, source: str, least: int = 8, times: float = 6.0) -> DataFrame:
@@ -177,31 +217,43 @@ def limits(found: DataFrame, source: str, least: int = 8, times: float = 6.0) ->
     return s.select(source, F.element_at(names, F.col("m") + 1).alias("measure"), "size", F.col("n").alias("n_unfinished"))
 
 
-def examine(records: DataFrame, key: str, text: str, source: str, seen: int = 2) -> DataFrame:
-    """(key, source, form, sizes, truncated, unfinished): one row per record with a text.
+def examine(records: DataFrame, key: str, text: str, source: str, seen: int = 2, expected: str | None = None) -> DataFrame:
+    """(key, source, form, sizes, reach, unfinished, weak): one row per record with a text.
 
     Null texts give no row.  A loose ending is complete if the same phrase (same field, same text) stands before
-    other content in at least ``seen`` replies of the corpus.
+    other content in at least ``seen`` replies of the corpus.  ``weak``: an ending that passes as complete, but not
+    at a limit.  ``reach``: the sizes up to which a cut may have gone, that is, of closed JSON without its closers,
+    which a repair may have added.  ``expected``: a column of the labels a whole reply names, see ``stops_inside``.
     """
     ws = Workspace(records.sparkSession, "truncation")
     t = F.col(text)
+    x = F.col(expected) if expected else F.lit(None).cast("array<string>")
     sizes = F.array(*[measure(t, m) for m in MEASURES])
-    d = records.where(t.isNotNull()).select(key, source, _endings(t).alias("e"), sizes.alias("sizes")).select(key, source, "sizes", "e.*")
+    closers = F.array(*[measure(F.col("_closers"), m) for m in MEASURES])
+    d = records.where(t.isNotNull()).withColumn("_closers", F.regexp_extract(t, _CLOSERS, 0))
+    d = d.select(key, source, _endings(t, x).alias("e"), sizes.alias("sizes"), closers.alias("closers")).select(key, source, "sizes", "closers", "e.*")
     d = ws.keep(d, "endings")
     loose = d.where("verdict = 'unsure'").select(key, F.col("last").alias("phrase")).where("phrase is not null")
     known = d.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seen)
     # only phrases that end some reply are of use; few distinct ones remain
     broken = loose.join(known, "phrase", "left_anti").select(key).distinct().withColumn("_broken", F.lit(True))
     d = d.drop("last", "phrases").join(broken, key, "left")
-    return d.select(key, source, "form", "sizes", ((F.col("verdict") == "open") | F.coalesce("_broken", F.lit(False))).alias("unfinished"))
+    repaired = (F.col("form") == "json") & (F.col("verdict") != "open")
+    reach = F.when(repaired, F.zip_with("sizes", "closers", lambda a, b: a - b)).otherwise(F.col("sizes"))
+    unfinished = (F.col("verdict") == "open") | F.coalesce("_broken", F.lit(False))
+    return d.select(key, source, "form", "sizes", reach.alias("reach"), unfinished.alias("unfinished"), ((F.col("verdict") == "unsure") | F.col("inside")).alias("weak"))
 
 
-def truncated(records: DataFrame, key: str, text: str, source: str) -> DataFrame:
+def truncated(records: DataFrame, key: str, text: str, source: str, expected: str | None = None) -> DataFrame:
     """(key, source, form, truncated, limit_measure): records with a text, and whether it lost its end."""
-    d = examine(records, key, text, source)
+    d = examine(records, key, text, source, expected=expected)
     lim = limits(d, source)
-    best = lim.groupBy(source).agg(F.max_by(F.struct("measure", "size"), "n_unfinished").alias("lim"))  # one row per source with a limit
+    names = F.array(*[F.lit(x) for x in MEASURES])
+    # one row per source with a limit; of measures that show it equally the plainest
+    best = lim.groupBy(source).agg(F.max_by(F.struct("measure", "size"), F.struct("n_unfinished", -F.array_position(names, F.col("measure")))).alias("lim"))
     d = d.join(best, source, "left")
-    at = F.element_at("sizes", F.array_position(F.array(*[F.lit(x) for x in MEASURES]), F.col("lim.measure")).cast("int"))
-    hit = F.coalesce(at >= F.col("lim.size") - 3, F.lit(False))
-    return d.select(key, source, "form", F.col("unfinished").alias("truncated"), F.when(hit & F.col("unfinished"), F.col("lim.measure")).alias("limit_measure"))
+    place = F.array_position(names, F.col("lim.measure")).cast("int")
+    hit = F.coalesce(F.element_at("sizes", place) >= F.col("lim.size") - SLACK, F.lit(False))
+    cut = F.coalesce(F.element_at("reach", place).between(F.col("lim.size") - SLACK, F.col("lim.size")), F.lit(False)) & F.col("weak")
+    lost = F.col("unfinished") | cut
+    return d.select(key, source, "form", lost.alias("truncated"), F.when((hit & F.col("unfinished")) | cut, F.col("lim.measure")).alias("limit_measure"))

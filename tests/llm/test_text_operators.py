@@ -60,6 +60,39 @@ def test_truncation_of_a_corpus(spark):
     assert T.truncated(df.limit(0), "k", "t", "s").count() == 0
 
 
+def test_a_limit_lowers_the_evidence(spark):
+    """Cut at a limit after a full stop or known phrase; complete replies at the limit or elsewhere stay."""
+    r = random.Random(5)
+
+    def say(i, rounds, n=5):
+        return "\n".join(f"text_only T{k}: supported. Seen in {r.randrange(10, 99)} of them." for _ in range(rounds) for k in range(1, n + 1))
+
+    def padded(t, size):
+        t = (t + " Checked again." * 40)[: size - 20].rsplit(".", 1)[0] + ". Confidence 0."
+        return t + "5" * (size - len(t) - 1) + "."
+
+    def mended(size, why, last="T5"):
+        one = lambda k, w: {"id": k, "why": w}
+        t = json.dumps([one("T1", "It holds."), one(last, "")])
+        fill = "x" * (size - len(t) + len('"}]') - len(why)) + "It holds."
+        return json.dumps([one("T1", fill), one(last, why)])
+
+    after_stop = say(0, 4)[:700]
+    after_stop = after_stop[: after_stop.rindex(".") + 1]
+    size = len(after_stop)  # the last of four rounds stops after a full stop
+    data = [(i, "m", say(i, 4)[: size - 9] + " and so on") for i in range(20)]
+    data = [(i, s, t[:size]) for i, s, t in data]
+    data += [(100, "m", after_stop), (101, "n", after_stop), (102, "m", padded(say(0, 1), size)), (103, "m", say(0, 1)), (104, "m", say(0, 3))]
+    data += [(110, "m", mended(size, "exact match")), (111, "n", mended(size, "exact match")), (112, "m", mended(size - 60, "exact match"))]
+    data += [(113, "m", mended(size, "It is so.", "T4")), (114, "m", mended(size, "It is so."))]
+    data += [(200 + i, "n", json.dumps([{"id": "T1", "why": "exact match"}, {"id": "T5", "why": "It holds."}])) for i in range(5)]
+    assert len(data[20][2]) == len(data[22][2]) == size
+    df = spark.createDataFrame([(k, s, t, [f"T{i}" for i in range(1, 6)]) for k, s, t in data], "k bigint, s string, t string, x array<string>")
+    got = {x.k: x for x in T.truncated(df, "k", "t", "s", "x").collect()}
+    assert {k for k, x in got.items() if x.truncated} == {*range(20), 100, 110, 113}
+    assert got[100].limit_measure and got[110].limit_measure and got[114].limit_measure is None
+
+
 # P6
 
 COLS = {"b": D.body_token, "i": D.set_tokens, "e": D.json_tokens}
