@@ -339,11 +339,17 @@ def paired_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval of the mean difference of answer lengths per question, over hash resamples."""
+    """Interval of the mean uncertainty score above 0.5, over 200 hash resamples within question types, as its SQL has it."""
     p = table(spark, sf, "graph_claim_pilot_manifest").select("pilot_id", F.coalesce("question_type", F.lit("none")).alias("question_type"), (F.col("retrieval_uncertainty_score") - 0.5).alias("d"))
     return bootstrap.interval(bootstrap.hashed_means(p, "pilot_id", "d", 200, stratum="question_type"))
 
 
+def bootstrap_answer_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Interval of the mean difference of answer lengths per pair, hybrid less BGE, by the seeded replay of all resamples."""
+    p = table(spark, sf, "paired_answers").dropDuplicates(["pair_id"])
+    return bootstrap.replay_interval(p.select("pair_id", (F.length("hybrid_answer") - F.length("bge_answer")).alias("d")), "pair_id", "d")
+
+
 # graphs
 
 
@@ -414,6 +420,6 @@ QUERIES = {f.__name__: f for f in (
     risk_features, graph_lexicon_score, uncertainty_buckets, stratified_sample, pool_cascade, quota_cells, smoke_combination, greedy_grouped_split, hashed_grouped_split, split_overlap_counts,
     split_leakage, pilot_antijoin, evidence_packets, claim_status_counts, raw_reply_claims, claims_renumbered, issue_lists, answer_token_f1, yes_no_answers, rouge_l_pairs, list_f1_pairs,
     factoid_reciprocal_rank, macro_token_f1, confusion_matrix, class_scores, averaged_f1, annotator_agreement, merged_annotations, blinded_packet, job_dedup, batch_plan, arm_fanout,
-    checkpoint_last_wins, resume_antijoin, request_groups, token_usage_totals, latency_describe, config_ranking, paired_pivot, bootstrap_interval, graph_normalised, greedy_select_broad,
+    checkpoint_last_wins, resume_antijoin, request_groups, token_usage_totals, latency_describe, config_ranking, paired_pivot, bootstrap_interval, bootstrap_answer_scores, graph_normalised, greedy_select_broad,
     greedy_select_strict, selection_counterfactual, validator_checks, environment,
 )}

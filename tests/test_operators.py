@@ -242,3 +242,21 @@ def test_bootstrap(spark):
     assert (r.n, r.mean, r.lower, r.upper, r.win_share) == (40, 1.0, 1.0, 1.0, 1.0)
     lo, hi, win = bootstrap.replay([0.0, 1.0, 2.0], 200)
     assert lo <= 1.0 <= hi and win > 0.9
+
+
+def test_replay_interval_equals_replay(spark):
+    r = random.Random(8)
+    for n in (1, 7, 64, 300):
+        values = [float(r.randrange(-9, 12)) for _ in range(n)]
+        means = bootstrap.replay_means(values, 500)
+        assert bootstrap.replay(values, 500) == (sorted(means)[12], sorted(means)[487], (means > 0).mean())
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(999, None)], "k long, v double").repartition(3)
+    x = bootstrap.replay_interval(df, "k", "v").first()
+    assert (x.n, x.lower, x.upper, x.win_share) == (10_000, *[round(v, 6) for v in bootstrap.replay(values)])
+    assert bootstrap.replay_interval(df.limit(0), "k", "v").count() == 0
+
+
+def test_answer_scores_are_resampled_in_full(spark, sf):
+    from lucerna.plans import registry
+
+    assert registry.queries()["bootstrap_answer_scores"](spark, sf).first().n == bootstrap.RESAMPLES == 10_000
