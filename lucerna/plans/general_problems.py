@@ -80,7 +80,9 @@ def _references(spark: SparkSession, sf: str, only_orphans: bool) -> DataFrame:
         "record_id", "ref_field", "part", F.col("c.evidence_id").alias("ref_key")
     )
     inside = claims.unionByName(items).where(_written("ref_key"))
-    masks = [(False, False, m, False) for (m,) in orphans.null_masks(checks, ["variant"])] + [(True, False, m, False) for m in (False, True)] * bool(checks.where("record_id is null").limit(1).count())
+    # evidence ids have the part '' even where every variant is null
+    parts = sorted({False, *(m for (m,) in orphans.null_masks(checks, ["variant"]))})
+    masks = [(False, False, m, False) for m in parts] + [(True, False, m, False) for m in (False, True)] * bool(checks.where("record_id is null").limit(1).count())
     keys = ["record_id", "ref_field", "part", "ref_key"]
     v = orphans.composite_match(v, inside, keys, "partial", masks=masks, salt_with="verification_id", heavy=heavy)
     reason = F.coalesce("rec_reason", F.when(~F.col("matched"), "missing"))

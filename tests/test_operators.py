@@ -260,3 +260,17 @@ def test_answer_scores_are_resampled_in_full(spark, sf):
     from lucerna.plans import registry
 
     assert registry.queries()["bootstrap_answer_scores"](spark, sf).first().n == bootstrap.RESAMPLES == 10_000
+
+
+def test_orphans_where_every_variant_is_null(spark, sf, tmp_path):
+    import duckdb
+
+    from lucerna.plans import general_problems as g
+
+    c = duckdb.connect()
+    for t in ("evidence_arms", "candidate_snippets", "reaudit_outputs", "claim_verifications"):
+        cols = "* replace (null::varchar as variant)" if t == "claim_verifications" else "*"
+        c.execute(f"copy (select {cols} from '{sf}/{t}.parquet') to '{tmp_path}/{t}.parquet'")
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    want = sorted(c.execute(f"select src_table, src_id, ref_field, ref_key, period, reason from ({g.ORACLE['p4_found']})").fetchall())
+    assert any(x[2] == "evidence_ids" for x in want) and rows(g.p4_found(spark, str(tmp_path)), "src_table", "src_id", "ref_field", "ref_key", "period", "reason") == want
