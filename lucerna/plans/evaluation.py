@@ -111,10 +111,14 @@ def smoke_combination(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def greedy_grouped_split(spark: SparkSession, sf: str) -> DataFrame:
-    """U3 over the question types: rows per split; the operator's group table is what it places."""
-    b = table(spark, sf, "body_records").select("record_id", F.coalesce("question_type", F.lit("none")).alias("question_type"), F.sha2(text.alnum(F.col("normalised_body")), 256).alias("body_key"), (F.col("split") == "dev").alias("pin"))
-    s = sampling.greedy_split(b, "question_type", "body_key", SEED)
-    return b.join(s, ["question_type", "body_key"]).groupBy("question_type", F.col("split").alias("assigned")).agg(F.count(F.lit(1)).alias("n"))
+    """U3/J21 over the question types: rows per split; bodies with a pilot question among their ids are pinned to dev."""
+    r = table(spark, sf, "body_records")
+    pilot = table(spark, sf, "graph_claim_pilot_manifest").select("question_id").distinct()
+    hit = r.select("record_id", F.explode("ids").alias("question_id")).join(pilot, "question_id", "left_semi").select("record_id").distinct()
+    b = r.join(hit.withColumn("pin", F.lit(True)), "record_id", "left").select("record_id", F.coalesce("question_type", F.lit("none")).alias("question_type"), F.sha2(text.alnum(F.col("normalised_body")), 256).alias("body_key"), "pin")
+    s = sampling.greedy_split(b, "question_type", "body_key", SEED, pinned="pin").select(F.col("question_type").alias("_t"), F.col("body_key").alias("_k"), "split")
+    same = (F.col("question_type") == F.col("_t")) & F.col("body_key").eqNullSafe(F.col("_k"))
+    return b.join(s, same).groupBy("question_type", F.col("split").alias("assigned")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def hashed_grouped_split(spark: SparkSession, sf: str) -> DataFrame:

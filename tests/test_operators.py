@@ -274,3 +274,13 @@ def test_orphans_where_every_variant_is_null(spark, sf, tmp_path):
         c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
     want = sorted(c.execute(f"select src_table, src_id, ref_field, ref_key, period, reason from ({g.ORACLE['p4_found']})").fetchall())
     assert any(x[2] == "evidence_ids" for x in want) and rows(g.p4_found(spark, str(tmp_path)), "src_table", "src_id", "ref_field", "ref_key", "period", "reason") == want
+
+
+def test_pilot_bodies_are_pinned_to_dev(spark, tmp_path):
+    from lucerna.plans import evaluation
+
+    b = [(i, f"body {i}", ["p"] if i < 6 else ["o", None], "x") for i in range(10)] + [(10, None, None, "x"), (11, "body 0", None, "x")]
+    spark.createDataFrame(b, "record_id long, normalised_body string, ids array<string>, question_type string").write.parquet(f"{tmp_path}/body_records.parquet")
+    spark.createDataFrame([(1, "p"), (2, None)], "pilot_id long, question_id string").write.parquet(f"{tmp_path}/graph_claim_pilot_manifest.parquet")
+    got = {r.assigned: r.n for r in evaluation.greedy_grouped_split(spark, str(tmp_path)).collect()}
+    assert got["dev"] == 7 and sum(got.values()) == 12
