@@ -46,4 +46,5 @@ def test_entry_without_training_package(spark, sf):
     import __spark_entry__ as e
 
     assert set(registry.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).columns == ["record_id", "rank", "snippet_id", "score"]
+    flagship = e.entry(spark)
+    assert flagship.columns == ["src_table", "ref_field", "period", "reason", "n_orphans"] and flagship.count() > 0
