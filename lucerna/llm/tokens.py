@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import os
 from functools import lru_cache
 
 import pandas as pd
@@ -11,22 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Where the vocabulary files lie on every executor; every operator takes another place as a parameter.
-DEFAULT_VOCABULARY = os.environ.get("LUCERNA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: The vocabulary used if no path is given; the installed package of public tokenizers knows where it lies.
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
+def _encoder(path: str | None):
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
+    with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
     return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_count(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
-    """Number of tokens of the whole text; null for null.  Special strings in a text are ordinary text."""
+def token_count(text: Column, vocabulary: str | None = None) -> Column:
+    """Number of tokens of the whole text; null for null.  Special strings in a text are ordinary text.
+
+    ``vocabulary`` is a path every executor can read.
+    """
 
     @F.pandas_udf(T.LongType())
     def count(texts: pd.Series) -> pd.Series:
@@ -36,6 +38,6 @@ def token_count(text: Column, vocabulary: str = DEFAULT_VOCABULARY) -> Column:
     return count(text)
 
 
-def sized(docs: DataFrame, key: str, text: str, keep: list[str], vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def sized(docs: DataFrame, key: str, text: str, keep: list[str], vocabulary: str | None = None) -> DataFrame:
     """(key, *keep, tokens): rows with a text, with its size.  Only the columns named are read."""
     return docs.where(F.col(text).isNotNull()).select(key, *keep, token_count(F.col(text), vocabulary).alias("tokens"))
