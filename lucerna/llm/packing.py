@@ -10,6 +10,7 @@ exceeds the capacity.
 from __future__ import annotations
 
 import heapq
+from bisect import insort
 
 import numpy as np
 import pandas as pd
@@ -19,58 +20,72 @@ from pyspark.sql import functions as F
 from ..workspace import Workspace
 
 #: Shares of the capacity a first-round window may be filled to, tried in turn.
-FILLS = (*(0.995 - 0.005 * i for i in range(14)), 0.9, 0.85)
+FILLS = (*(0.9975 - 0.0025 * i for i in range(28)), 0.9, 0.85)
 #: Tasks of a round; beyond that many blocks share a task.
 MOST_TASKS = 20_000
 
+#: Bits of an entry's group number; above them stands the sum of its window.
+SHIFT = 32
+
 _WINDOWS = "container string, block long, item string, piece int, size long, win int"
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
     """Window (0..k-1) of each item: the two partial partitions with the widest imbalance are merged, largest window
-    with smallest, until one is left."""
+    with smallest, until one is left.
+
+    A partial partition lists only its windows that hold items, ascending, as ``sum << SHIFT | group``; the others are
+    empty.  ``floor`` is what was taken from all its sums so that the smallest window counts 0.  A merge with a single
+    item, the usual one, moves one entry; groups of items that share a window form a binary tree.
+    """
     n = len(sizes)
     if k <= 1 or n == 0:
         return np.zeros(n, dtype=np.int64)
     if n <= k:
         return np.arange(n, dtype=np.int64)
-    # a partial partition: its window sums (descending, less the smallest) and which child windows they came from
-    heap: list[tuple[int, int]] = []
-    sums: dict[int, np.ndarray] = {}
-    made: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = {}
-    base = np.zeros(k, dtype=np.int64)
-    for i, s in enumerate(sizes):
-        v = base.copy()
-        v[0] = s
-        sums[i] = v
-        heap.append((-int(s), i))
+    mask = (1 << SHIFT) - 1
+    joined: list[tuple[int, int]] = []  # group n + i holds the two groups joined[i]
+    parts: dict[int, tuple[list[int], int]] = {i: ([int(s) << SHIFT | i], 0) for i, s in enumerate(sizes)}
+    heap = [(-int(s), i) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
-    nxt = n
-    rev = np.arange(k - 1, -1, -1)
+    name = n
     while len(heap) > 1:
-        _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        total = sums.pop(a) + sums.pop(b)[::-1]
-        order = np.argsort(-total, kind="stable")
-        total = total[order]
-        total -= total[-1]
-        made[nxt] = (a, b, order, rev[order])
-        sums[nxt] = total
-        heapq.heappush(heap, (-int(total[0]), nxt))
-        nxt += 1
-    # top down: slot j of the root is window j
+        (a, fa), (b, fb) = parts.pop(heapq.heappop(heap)[1]), parts.pop(heapq.heappop(heap)[1])
+        if len(a) < len(b):
+            (a, fa), (b, fb) = (b, fb), (a, fa)
+        both = len(a) + len(b) - k  # windows that hold items of either side
+        if len(b) == 1:
+            entry, floor = b[0] - (fb - fa << SHIFT), fa
+            if both > 0:
+                least = a.pop(0)
+                joined.append((least & mask, entry & mask))
+                entry = ((least >> SHIFT) + (entry >> SHIFT) - fa) << SHIFT | n + len(joined) - 1
+            insort(a, entry)
+        else:
+            pair = max(0, both)
+            low_a, low_b = a[:pair], b[:pair][::-1]  # the smallest windows of one side meet the largest that remain of the other
+            floor, down = 0, (fa << SHIFT, fb << SHIFT)
+            new = [x - down[0] for x in a[pair:]] + [x - down[1] for x in b[pair:]]
+            for x, y in zip(low_a, low_b):
+                joined.append((x & mask, y & mask))
+                new.append(((x >> SHIFT) - fa + (y >> SHIFT) - fb) << SHIFT | n + len(joined) - 1)
+            new.sort()
+            a = new
+        if len(a) == k:
+            floor = a[0] >> SHIFT
+        parts[name] = (a, floor)
+        heapq.heappush(heap, (floor - (a[-1] >> SHIFT), name))
+        name += 1
+    (last, _), = parts.values()
     out = np.zeros(n, dtype=np.int64)
-    slots = {nxt - 1: np.arange(k)}
-    for node in range(nxt - 1, n - 1, -1):
-        a, b, from_a, from_b = made[node]
-        s = slots.pop(node)
-        for child, source in ((a, from_a), (b, from_b)):
-            if child < n:
-                out[child] = s[np.flatnonzero(source == 0)[0]]  # an item's own sum stands in its slot 0
+    for w, entry in enumerate(reversed(last)):
+        todo = [entry & mask]
+        while todo:
+            g = todo.pop()
+            if g < n:
+                out[g] = w
             else:
-                own = np.empty(k, dtype=np.int64)
-                own[source] = s
-                slots[child] = own
+                todo += joined[g - n]
     return out
 
 
@@ -88,22 +103,32 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack_to_the_brim(sizes: np.ndarray, capacity: int, fills: tuple[float, ...] = FILLS) -> np.ndarray:
-    """Window of each item, -1 for items carried over: windows near-equal and filled to about the first of ``fills``
-    that differencing reaches without exceeding the capacity."""
-    out = np.full(len(sizes), -1, dtype=np.int64)
+    """Window of each item, -1 for items carried over: windows near-equal and filled to about the highest of ``fills``
+    that differencing reaches without exceeding the capacity, found by halving the list."""
+    none = np.full(len(sizes), -1, dtype=np.int64)
     total = int(sizes.sum())
     order = np.random.default_rng(len(sizes)).permutation(len(sizes))  # a fair mix of sizes stays
     run = np.cumsum(sizes[order])
-    for f in fills:
+
+    def at(f: float) -> np.ndarray | None:
         k = int(total / (capacity * f))
-        if k < 1:
-            break
         kept = np.sort(order[: int(np.searchsorted(run, k * capacity * f, side="right"))])
         w = difference(sizes[kept], k)
-        if np.bincount(w, weights=sizes[kept], minlength=k).max() <= capacity:
-            out[kept] = w
-            return out
-    return out
+        if k < 1 or np.bincount(w, weights=sizes[kept], minlength=k).max() > capacity:
+            return None
+        out = none.copy()
+        out[kept] = w
+        return out
+
+    best, lo, hi = none, 0, len(fills)
+    while lo < hi:
+        mid = (lo + hi) // 2 if lo else min(hi - 1, 3)  # most blocks reach one of the first
+        found = at(fills[mid])
+        if found is None:
+            lo = mid + 1
+        else:
+            best, hi = found, mid
+    return best
 
 
 def _pack_block(final: bool):
