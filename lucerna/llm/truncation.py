@@ -1,18 +1,14 @@
 """P5: text cut off by field limits.
 
-Three kinds of evidence, all over the whole corpus:
-
-* hidden limits: each text's length under several measures (code points, UTF-8 and UTF-16 units, with
-  entities, JSON or line ends escaped).  A limit shows as one length of one (source, measure) at which
-  far more unfinished texts end than its neighbours would have;
-* the structure: a JSON reply whose brackets or code fence do not close;
-* the ending: a sentence, word, status or list item that breaks off, also inside a reply that was closed
-  by a repair.  Short phrases without full stop are told from broken ones by the corpus itself: a phrase
-  that other replies go on after is complete.
-
-A reply that reaches a limit of its source needs less evidence from its ending: there a known phrase does not
-clear it, nor does a full stop inside a section or a list of sections that is not done.  A reply that ends
-after its sections, as one padded to the limit does, stays complete.
+Hidden limits come first.  Each text's length is taken under several measures (code points, UTF-8 and UTF-16
+units, with entities, JSON or line ends escaped), grouped by (source, measure), and a limit shows as one
+length at which far more texts of the source gather than at the lengths around, most of them broken off.
+
+Then the endings are inspected.  At a limit of its source a text has lost its end unless it is whole: structure
+closed, final stop, all its sections done, as in a reply padded to the limit.  Away from any limit, where a text
+can only have been lost on the way, more is asked for: a structure that does not close, or a phrase that breaks
+off.  Phrases without full stop are told from broken ones by the corpus itself: one that mostly stands before
+other content is complete.
 """
 
 from __future__ import annotations
@@ -201,28 +197,52 @@ def _endings(texts: pd.Series, expected: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["form", "verdict", "last", "phrases", "inside"])
 
 
-def limits(found: DataFrame, source: str, least: int = 8, times: float = 6.0) -> DataFrame:
-    """(source, measure, size, n_unfinished): hidden limits.
+def limits(found: DataFrame, source: str, reach: int = 20, times: float = 6.0, sigmas: float = 5.0, share: float = 0.5) -> DataFrame:
+    """(source, measure, size, n_texts, n_unfinished): hidden limits.
 
-    ``found`` has the source, an array ``sizes`` over MEASURES and ``unfinished``.  A size is a limit of its
-    source if at least ``least`` unfinished texts have it and ``times`` as many as the mean of the sizes
-    within 20 of it; of several measures that show a limit the one with most texts is kept by the caller.
+    ``found`` has the source, an array ``reach`` over MEASURES and the flag ``unfinished``.  A size is a limit of its source if
+    as many texts have it as ``times`` the mean of the sizes within ``reach`` and ``sigmas`` standard deviations of a
+    Poisson count above it (a test that means the same at every corpus size), and at least the share ``share``
+    of them is unfinished (terse complete replies gather too).  A limit shows under several measures; see ``own_limits`` for the one that explains a text.
     """
-    each = found.where("unfinished").select(source, F.posexplode("sizes").alias("m", "size"))
-    n = each.groupBy(source, "m", "size").agg(F.count(F.lit(1)).alias("n"))
-    near = n.select(source, "m", F.explode(F.sequence(F.col("size") - 20, F.col("size") + 20)).alias("size"), "n").groupBy(source, "m", "size").agg(F.sum("n").alias("around"))
-    s = n.where(F.col("n") >= least).join(near, [source, "m", "size"])
-    s = s.where(F.col("n") >= times * (F.col("around") - F.col("n")) / 40)
+    each = found.select(source, "unfinished", F.posexplode("reach").alias("m", "size"))
+    n = each.groupBy(source, "m", "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("unfinished").alias("n_unfinished"))
+    near = n.select(source, "m", F.explode(F.sequence(F.col("size") - reach, F.col("size") + reach)).alias("size"), "n").groupBy(source, "m", "size").agg(F.sum("n").alias("around"))
+    mean = (F.col("around") - F.col("n")) / (2 * reach)
+    s = n.join(near, [source, "m", "size"]).where((F.col("n") >= times * mean) & (F.col("n") >= mean + sigmas * F.sqrt(mean + 1)) & (F.col("n_unfinished") >= share * F.col("n")))
     names = F.array(*[F.lit(x) for x in MEASURES])
-    return s.select(source, F.element_at(names, F.col("m") + 1).alias("measure"), "size", F.col("n").alias("n_unfinished"))
+    return s.select(source, F.element_at(names, F.col("m") + 1).alias("measure"), "size", F.col("n").alias("n_texts"), "n_unfinished")
 
 
-def examine(records: DataFrame, key: str, text: str, source: str, seen: int = 2, expected: str | None = None) -> DataFrame:
-    """(key, source, form, sizes, reach, unfinished, weak): one row per record with a text.
+def own_limits(found: DataFrame, source: str, share: float = 0.5) -> DataFrame:
+    """(source, lims): the limits of each source, the one of most texts first, each as struct(n, place of its measure, size).
 
-    Null texts give no row.  A loose ending is complete if the same phrase (same field, same text) stands before
-    other content in at least ``seen`` replies of the corpus.  ``weak``: an ending that passes as complete, but not
-    at a limit.  ``reach``: the sizes up to which a cut may have gone, that is, of closed JSON without its closers,
+    A limit shows under several measures.  Every unfinished text is given to the limit of most texts that it fits;
+    a limit left with less than ``share`` of its own is only another's shadow and drops out.  A source has few limits:
+    two of one measure are a gathering apart.  Null sources have none.
+    """
+    names = F.array(*[F.lit(x) for x in MEASURES])
+    lim = limits(found, source).where(F.col(source).isNotNull()).withColumn("p", (-F.array_position(names, F.col("measure"))).cast("int"))
+
+    def listed(x: DataFrame) -> DataFrame:
+        return x.groupBy(source).agg(F.sort_array(F.collect_list(F.struct(F.col("n_unfinished").alias("n"), "p", "size")), asc=False).alias("lims"))
+
+    given = found.where("unfinished").join(listed(lim), source).select(source, fitting(F.col("lims")).alias("x")).where("x is not null").groupBy(source, "x.p", "x.size").agg(F.count(F.lit(1)).alias("own"))
+    return listed(lim.join(given, [source, "p", "size"]).where(F.col("own") >= share * F.col("n_unfinished")))
+
+
+def fitting(lims: Column) -> Column:
+    """The first limit that a text of the sizes ``reach`` comes up to, null if none."""
+    return F.get(F.filter(lims, lambda x: F.get("reach", -x["p"] - 1).between(x["size"] - SLACK, x["size"])), F.lit(0))
+
+
+def examine(records: DataFrame, key: str, text: str, source: str, share: float = 0.2, expected: str | None = None) -> DataFrame:
+    """(key, source, form, reach, whole, unfinished): one row per record with a text.
+
+    Null texts give no row.  ``whole``: structure closed, final stop, sections done.  ``unfinished``: lost its end even
+    where no limit is near: an open structure, or a final phrase (same field, same text) of which less than two, or less
+    than ``share`` of all, occurrences in the corpus stand before other content.  A share, so that more data does not
+    clear more phrases.  ``reach``: the sizes up to which a cut may have gone, that is, of closed JSON without its closers,
     which a repair may have added.  ``expected``: a column of the labels a whole reply names, see ``stops_inside``.
     """
     ws = Workspace(records.sparkSession, "truncation")
@@ -234,26 +254,28 @@ def examine(records: DataFrame, key: str, text: str, source: str, seen: int = 2,
     d = d.select(key, source, _endings(t, x).alias("e"), sizes.alias("sizes"), closers.alias("closers")).select(key, source, "sizes", "closers", "e.*")
     d = ws.keep(d, "endings")
     loose = d.where("verdict = 'unsure'").select(key, F.col("last").alias("phrase")).where("phrase is not null")
-    known = d.select(F.explode("phrases").alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= seen)
-    # only phrases that end some reply are of use; few distinct ones remain
+    going_on = d.select(F.explode("phrases").alias("phrase"), F.lit(1).alias("before"))
+    counted = going_on.unionByName(loose.select("phrase", F.lit(0).alias("before"))).groupBy("phrase").agg(F.sum("before").alias("before"), F.avg("before").alias("share"))
+    known = counted.where((F.col("share") >= share) & (F.col("before") > 1)).select("phrase")
     broken = loose.join(known, "phrase", "left_anti").select(key).distinct().withColumn("_broken", F.lit(True))
     d = d.drop("last", "phrases").join(broken, key, "left")
     repaired = (F.col("form") == "json") & (F.col("verdict") != "open")
     reach = F.when(repaired, F.zip_with("sizes", "closers", lambda a, b: a - b)).otherwise(F.col("sizes"))
     unfinished = (F.col("verdict") == "open") | F.coalesce("_broken", F.lit(False))
-    return d.select(key, source, "form", "sizes", reach.alias("reach"), unfinished.alias("unfinished"), ((F.col("verdict") == "unsure") | F.col("inside")).alias("weak"))
+    return d.select(key, source, "form", reach.alias("reach"), ((F.col("verdict") == "ended") & ~F.col("inside")).alias("whole"), unfinished.alias("unfinished"))
 
 
-def truncated(records: DataFrame, key: str, text: str, source: str, expected: str | None = None) -> DataFrame:
-    """(key, source, form, truncated, limit_measure): records with a text, and whether it lost its end."""
+def truncated(records: DataFrame, key: str, text: str, source: str, expected: str | None = None, with_limits: bool = True) -> DataFrame:
+    """(key, source, form, truncated, limit_measure, limit_size): records with a text, and whether it lost its end.
+
+    At a limit of its source (no longer, and at most SLACK shorter) a text that is not whole lost its end; elsewhere
+    only an unfinished one.  Of several limits that fit, the one with most texts names the measure.
+    ``with_limits``: False leaves the limits out, to see what they decide.
+    """
     d = examine(records, key, text, source, expected=expected)
-    lim = limits(d, source)
+    if not with_limits:
+        return d.select(key, source, "form", F.col("unfinished").alias("truncated"), F.lit(None).cast("string").alias("limit_measure"), F.lit(None).cast("long").alias("limit_size"))
+    d = d.join(own_limits(d, source), source, "left").withColumn("lim", F.when(~F.col("whole"), fitting(F.col("lims"))))
+    lost = F.col("unfinished") | F.col("lim").isNotNull()
     names = F.array(*[F.lit(x) for x in MEASURES])
-    # one row per source with a limit; of measures that show it equally the plainest
-    best = lim.groupBy(source).agg(F.max_by(F.struct("measure", "size"), F.struct("n_unfinished", -F.array_position(names, F.col("measure")))).alias("lim"))
-    d = d.join(best, source, "left")
-    place = F.array_position(names, F.col("lim.measure")).cast("int")
-    hit = F.coalesce(F.element_at("sizes", place) >= F.col("lim.size") - SLACK, F.lit(False))
-    cut = F.coalesce(F.element_at("reach", place).between(F.col("lim.size") - SLACK, F.col("lim.size")), F.lit(False)) & F.col("weak")
-    lost = F.col("unfinished") | cut
-    return d.select(key, source, "form", lost.alias("truncated"), F.when((hit & F.col("unfinished")) | cut, F.col("lim.measure")).alias("limit_measure"))
+    return d.select(key, source, "form", lost.alias("truncated"), F.get(names, -F.col("lim.p") - 1).alias("limit_measure"), F.col("lim.size").alias("limit_size"))

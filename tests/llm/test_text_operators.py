@@ -58,6 +58,7 @@ def test_truncation_of_a_corpus(spark):
     lim = T.limits(T.examine(df, "k", "t", "s"), "s").where("measure = 'points'").collect()
     assert [(x.s, x.size, x.n_unfinished) for x in lim] == [("n", 120, 40)]
     assert T.truncated(df.limit(0), "k", "t", "s").count() == 0
+    assert {(x.limit_measure, x.limit_size) for x in got.values() if x.limit_measure} == {("points", 120)}
 
 
 def test_a_limit_lowers_the_evidence(spark):
@@ -91,6 +92,26 @@ def test_a_limit_lowers_the_evidence(spark):
     got = {x.k: x for x in T.truncated(df, "k", "t", "s", "x").collect()}
     assert {k for k, x in got.items() if x.truncated} == {*range(20), 100, 110, 113}
     assert got[100].limit_measure and got[110].limit_measure and got[114].limit_measure is None
+    without = {x.k for x in T.truncated(df, "k", "t", "s", "x", with_limits=False).collect() if x.truncated}
+    assert without == {*range(20)}  # the limits decide the others
+
+
+def test_more_data_clears_no_phrase(spark):
+    """A cut phrase that now and then stands whole elsewhere stays cut at ten times the data."""
+    cut, whole = "Dose and group", "exact match"
+
+    def reply(i, last):
+        return json.dumps({"x": [{"id": str(i), "why": "It holds" + "x" * (i * 37 % 997) + "."}, {"id": "y", "why": whole}, {"id": "z", "why": last}]})
+
+    def found(times):
+        data = [(i, "m", reply(i, cut)) for i in range(6 * times)] + [(10_000 + i, "m", reply(i, whole)) for i in range(6 * times)]
+        data += [(20_000 + i, "m", json.dumps({"x": [{"id": "a", "why": cut}, {"id": "b", "why": "It is."}]})) for i in range(times)]
+        got = T.truncated(spark.createDataFrame(data, "k bigint, s string, t string"), "k", "t", "s").where("truncated").collect()
+        return {x.k for x in got}, {i for i in range(6 * times)}
+
+    for times in (1, 10):
+        got, want = found(times)
+        assert got == want
 
 
 # P6
