@@ -1,15 +1,25 @@
 """Broken prompt and response pairs, each with the kind of its defect.
 
-Shortened versions are found by sorting all distinct responses and comparing neighbours' common
-prefixes; field limits as spikes in the lengths of unfinished responses; copies, refusals and
-languages by rules.  Everything runs as Catalyst expressions; only the sort and the length
-histogram shuffle.
+The evidence for a shortened response is tried in the order of its strength:
+
+* ``prefix``: all distinct responses are sorted and neighbours compared; a response that another one goes on after,
+  inside a word or after a word that ends no phrase, is a shortened version of it;
+* ``limit``: a length at which responses without a final stop gather is a limit, and such a response of that length
+  was cut by it;
+* ``ending``: where both are silent, the sentence or word that breaks off.
+
+Empty, copying, refusing responses and those in another language are told by rules, one Arrow pass over each pair;
+the sort, the length histogram and all joins are Catalyst expressions.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..workspace import Workspace
@@ -43,97 +53,165 @@ STRONG = {
     "ru": "в на с и но по при не у из для что как был была были от до после под",
 }
 
-# How a refusal is put, by language (apostrophes made plain, case ignored).
+# Acts of answering, as they follow a refusing verb in English.
+ACT = r"""(?:answer(?:ing)?|help(?:ing)?(?! but)|respond(?:ing)?|reply(?:ing)?|comment(?:ing)?(?: on)?|discuss(?:ing)?|advis(?:e|ing)|assist(?:ing)?|comply|engage|speculate|say|go into|talk about|speak (?:about|to)|support that|fulfil+
+|(?:give|giving|provide|providing|offer(?:ing)?|share|sharing|make|making) (?:an? |any |you |such |this |that |the |medical |specific |personal |legal |clinical |further |more )*(?:answers?|advice|information|opinions?|guidance|recommendations?|responses?|repl(?:y|ies)|details?|diagnosis|assessments?|that|this|it))""".replace("\n", "")
+
+# How a refusal is put, by language (apostrophes made plain, lower case).  The one who answers, or what
+# binds them, must be the subject, and an act of answering what is refused.
 REFUSALS = [
-    r"\b(i|we)\s?('m|'re|am|are)\s+(not able|unable|not allowed|not permitted|not in a position|not qualified|not comfortable)\b",
-    r"\b(i|we)\s+(must|have to|need to|should|shall|will)\s+(respectfully\s+|politely\s+)?(decline|refuse|abstain|refrain)\b",
-    r"\b(i|we)\s+(respectfully |politely )?(decline|refuse)\b",
-    r"\b(i|we)\s+(cannot|can ?not|can't|could not|couldn't|won't|will not|may not|must not|do not|don't)\s+(answer|help|provide|give|offer|assist|respond|reply|comment|discuss|advise|support|share|say|go into|cover|fulfil|fulfill|comply|have access|have the information|speak|engage)\b",
-    r"\bi (would|'d) (rather|prefer)\b",
-    r"\b(request|question|query)\s+(has been|was|is|must be)\s+(declined|refused|denied|rejected|blocked)\b",
-    r"\b(assistant|model|system|chatbot|bot)\s+(does not|doesn't|cannot|can't|will not|won't|is not able to|may not)\s+(cover|answer|discuss|provide|help|respond|support|address)\b",
-    r"\b(do|does)(n't| not) (let|allow|permit) (me|us)\b",
-    r"\b(against|outside|beyond|contrary to)\s+(my|our|what (i|we))\b",
-    r"\bnot (be )?appropriate for (me|us)\b",
-    r"\bbetter not to\b",
-    r"\bno (reply|answer|response|advice|comment|information) (can|could|will|may) be (offered|given|provided|made)\b",
-    r"\bsomething (that )?(i|we) (won't|will not|can't|cannot|do not|don't)\b",
-    r"\bas an? (ai|artificial|large language|language) ?(language )?(model|assistant|intelligence)?\b",
-    r"\b(i'm|i am|we're|we are) sorry\b",
-    r"\bje ne (peux|puis|pourrai)s? (pas|malheureusement pas)\b|\bje (suis|regrette).{0,20}(désolée?|incapable|pas en mesure)|\bje refuse\b|\bne suis pas (en mesure|autorisé)",
-    r"\bno (puedo|podemos|me es posible|estoy autorizad)|\blo siento\b|\blamento no\b",
-    r"\b(kann|darf|möchte|werde)\s+(ich|wir)\b.{0,60}\b(nicht|keine|keinen)\b|\bich\s+(kann|darf|möchte|werde)\b.{0,80}\b(nicht|keine|keinen)\b|\btut mir leid\b",
-    r"\b(я )?не (могу|можем|буду|вправе|имею права)\s|\bизвините\b|\bпростите\b|\bк сожалению, (я|мы)\b|\bотказываюсь\b",
-    r"\bnon (posso|possiamo|sono in grado)\b|\bmi dispiace\b|\bnão (posso|podemos)\b|\bsinto muito\b|\bik kan (u |je )?(hier|deze|dat)?.{0,30}niet\b",
+    rf"\b(?:i|we)(?:'m|'re| am| are) (?:sorry,? but )?(?:not able|unable|not allowed|not permitted|not in a position|not qualified|not comfortable|not authori[sz]ed)(?: to)? {ACT}\b",
+    r"\b(?:i|we) (?:must |have to |need to |should |shall |will )?(?:respectfully |politely )?(?:decline|refuse|abstain|refrain)\b(?: to| from|,|\.|;| this| that| your| the (?:question|request)|$)",
+    rf"\b(?:i|we) (?:cannot|can ?not|can't|could not|couldn't|won't|will not|may not|must not) {ACT}\b",
+    rf"\bi (?:do not|don't) {ACT}\b",
+    r"\bi (?:would|'d) (?:rather|prefer)(?: to)? (?:not|leave)\b",
+    r"\b(?:the|this|that|your) (?:request|question|query) (?:has been|was|is|must be) (?:declined|refused|denied|rejected|blocked)(?=\s*(?:[.;:!,]|$))(?!, but)",
+    rf"\b(?:assistant|chatbot|bot|ai|language model) (?:does not|doesn't|cannot|can't|will not|won't|is not able to|may not) (?:cover|address|{ACT})\b",
+    r"\b(?:guidelines|rules|polic(?:y|ies)|instructions|terms) (?:do|does)(?: not|n't) (?:let|allow|permit) (?:me|us)\b",
+    r"\b(?:against|outside|beyond|contrary to) (?:my|our) (?:rules|guidelines|polic(?:y|ies)|instructions|scope|remit|competence|expertise|abilities|capabilities|role)\b",
+    r"\b(?:outside|beyond)(?: of)? what (?:i|we) (?:may|can|could|am|are)\b",
+    r"\bnot (?:be )?appropriate for (?:me|us) to\b",
+    rf"\bbetter not to {ACT}\b",
+    r"\bno (?:reply|answer|response|advice|comment) (?:can|could|will|may) be (?:offered|given|provided|made)\b",
+    rf"\bsomething (?:that )?(?:i|we) (?:won't|will not|can't|cannot|do not|don't) {ACT}\b",
+    r"\bi (?:do not|don't) have (?:access to|the|enough|any) .{0,40}(?:to|needed|required)",
+    r"^\W*(?:i'm|i am|we're|we are) (?:very |so |really )?sorry\W*$",
+    r"\bje (?:ne|n') ?(?:peux|puis|pourrais|suis|veux)\b.{0,30}\b(?:répondre|aider|donner|fournir|conseiller|discuter|commenter|autorisée?|mesure)\b|\bje refuse de\b",
+    r"\bno (?:puedo|podemos|me es posible|estoy autorizad[oa] (?:a|para)) (?:responder|contestar|ayudar|dar|ofrecer|proporcionar|comentar|aconsejar|hablar)",
+    r"\b(?:ich (?:kann|darf|möchte|werde)|(?:kann|darf|möchte|werde) ich|wir (?:können|dürfen)|(?:können|dürfen) wir)\b.{0,80}\b(?:nicht|keine|keinen)\b.{0,40}(?:antwort|auskunft|helfen|rat|äußern|sagen|geben)",
+    r"\b(?:я|мы) не (?:могу|можем|буду|будем|вправе|имею права|имеем права) (?:\w+ )?(?:ответить|отвечать|помочь|помогать|давать|дать|советовать|комментировать|обсуждать|предоставить)|\bотказываюсь\b",
+    r"\bnon (?:posso|possiamo|sono in grado di) (?:rispondere|aiutare|fornire|dare|commentare)|\bnão (?:posso|podemos) (?:responder|ajudar|fornecer|dar|comentar)|\bik kan .{0,30}niet (?:beantwoorden|helpen|geven)",
+]
+# Words of which one at least stands in every refusal; the patterns are tried only then.
+REFUSAL_WORDS = "i we me us my our assistant chatbot bot ai model request question query better reply answer response advice comment je refuse puedo podemos posible autorizado autorizada ich wir я мы отказываюсь posso possiamo sono podemos ik"
+# Sentences that may stand beside a refusal without answering anything.
+FRAMES = [
+    r"^(?:please |kindly )?(?:consult|ask|see|contact|speak (?:to|with)|talk to|refer to|seek)\b", r"\bhelp (?:you )?with\b", r"^(?:thank|thanks)\b", r"\bgood question\b", r"^you (?:ask|asked|want)\b",
+    r"\bis an? (?:serious|important|complex|sensitive) (?:condition|topic|matter|question|issue)\b", r"^(?:i'm|i am|we are|we're) sorry\b", r"^(?:unfortunately|apologies|sorry)\W*$",
+    r"^(?:veuillez|consultez|merci)\b", r"^(?:consulte|por favor|gracias|lo siento)\b", r"^(?:bitte|danke|es tut mir leid)\b", r"^(?:пожалуйста|обратитесь|спасибо|извините|простите)",
 ]
+#: Words of other content up to which an answer with a refusing sentence is a refusal.
+MOST_OTHER_WORDS = 10
 
 
-def _words(s: str) -> list[str]:
-    return s.split()
+def _set(words: str) -> frozenset[str]:
+    return frozenset(words.split())
 
 
-def letters(c: Column) -> Column:
-    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+_WORD = re.compile(r"[^\W\d_]+")
+_BLANK = re.compile(r"[\s\u200b-\u200f\u2060\ufeff\u00ad\x00-\x1f]+")
+_OUTER = "\"'`[](){}<>*“”«»„‚‘’"
+_NOT_ALNUM = re.compile(r"[\W_]+")
+_CYRILLIC = re.compile(r"[\u0400-\u04ff]+")
+_ENDED = re.compile(r"[.!?。][\"'”»)\]*`_]*\s*\Z")
+_DOTS = re.compile(r"(\.\.\.|…)\s*\Z")
+_LOOSE = re.compile(r"(?:[\w\s](?:\.\.\.|…)|\w\s?[-–,;:])\s*\Z")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_PLAIN = str.maketrans("’ʼ`´", "''''")
+_REFUSES = re.compile("|".join(f"(?:{p})" for p in REFUSALS))
+_FRAME = re.compile("|".join(FRAMES))
+_NOTHING, _LABELS, _REFUSAL_WORDS = _set(PLACEHOLDERS), _set(LABELS), _set(REFUSAL_WORDS)
+_FUNCTION = {k: _set(w) for k, w in FUNCTION_WORDS.items()}
+_ALL_FUNCTION = frozenset().union(*_FUNCTION.values())
+_STRONG = frozenset().union(*map(_set, STRONG.values()))
+_DANGLING = frozenset(w for w in _ALL_FUNCTION if len(w) > 1)
 
 
 def released(c: Column) -> Column:
     """The disposition says release, however spelled; null does not."""
-    return F.coalesce(F.regexp_replace(F.lower(c), r"[^\p{L}]", "") == "release", F.lit(False)) | F.coalesce(
-        F.regexp_replace(F.lower(c), r"[^\p{L}]", "") == "released", F.lit(False)
-    )
+    return F.coalesce(F.regexp_replace(F.lower(c), r"[^\p{L}]", "").isin("release", "released"), F.lit(False))
 
 
-def is_empty(a: Column) -> Column:
-    core = F.regexp_replace(F.lower(a), r"(?U)[\s\p{Z}\p{Cf}\p{Cc}]+", "")
-    bare = F.regexp_replace(core, r"^[\"'`\[\](){}<>*“”«»„‚‘’]+|[\"'`\[\](){}<>*“”«»„‚‘’]+$", "")
-    return a.isNull() | (bare == "") | bare.isin(_words(PLACEHOLDERS)) | core.isin(_words(PLACEHOLDERS))
+def is_empty(a: str | None) -> bool:
+    if a is None:
+        return True
+    if len(a) > 60 and not a.isspace():
+        return False
+    core = _BLANK.sub("", a.lower())
+    bare = core.strip(_OUTER)
+    return not bare or bare in _NOTHING or core in _NOTHING
 
 
-def copies_question(q: Column, a: Column) -> Column:
+def copies_question(q: str | None, a: str) -> bool:
     """Nothing is left of the answer but labels once the question is taken out (its letters and digits, case aside)."""
-    nq, na = letters(q), letters(a)
-    rest = F.replace(na, nq, F.lit(""))
-    return (nq != "") & F.contains(na, nq) & ((rest == "") | rest.isin(_words(LABELS)))
-
-
-def refuses(a: Column) -> Column:
-    plain = F.translate(F.lower(a), "’ʼ`´", "''''")
-    return plain.rlike("|".join(f"(?:{p})" for p in REFUSALS))
-
-
-def _tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+)"), 1)
-
-
-def _table(words: str) -> Column:
-    return F.array(*[F.lit(w) for w in sorted(set(_words(words)))])
-
-
-def _count(tokens: Column, words: str) -> Column:
-    """How many different words of a list occur."""
-    return F.size(F.array_intersect(tokens, _table(words)))
-
-
-def language(c: Column, tokens: Column | None = None) -> Column:
-    """struct(lang, score): the language whose function words occur most, Russian by script; lang null without evidence."""
-    t = _tokens(c) if tokens is None else tokens
-    cyr = F.length(F.regexp_replace(c, r"[^\p{IsCyrillic}]", ""))
-    lat = F.length(F.regexp_replace(c, r"[^\p{IsLatin}]", ""))
-    best = F.array_max(F.array(*[F.struct(_count(t, w).alias("score"), F.lit(-i).alias("o"), F.lit(k).alias("lang")) for i, (k, w) in enumerate(FUNCTION_WORDS.items())]))
-    is_ru = (cyr >= 6) & (cyr * 3 >= lat)
-    return F.struct(F.when(is_ru, "ru").when(best["score"] > 0, best["lang"]).alias("lang"), F.when(is_ru, F.lit(99)).otherwise(best["score"]).alias("score"))
-
-
-def _ended(a: Column) -> Column:
-    return a.rlike(r"(?U)[.!?。][\"'”»)\]*`_]*\s*\z") & ~a.rlike(r"(?U)(\.\.\.|…)\s*\z")
-
-
-def _sentence_like(tokens: Column) -> Column:
-    """Four words with one that marks a sentence, or four Cyrillic words, or three ending in a function word of two letters or more."""
-    strong = F.arrays_overlap(tokens, _table(" ".join(STRONG.values())))
-    cyrillic = F.size(F.filter(tokens, lambda t: t.rlike(r"^\p{IsCyrillic}+$"))) >= 3
-    dangling = F.array_contains(_table(" ".join(w for ws in FUNCTION_WORDS.values() for w in _words(ws) if len(w) > 1)), F.element_at(tokens, -1))
-    return F.when(F.size(tokens) >= 4, strong | cyrillic | dangling).when(F.size(tokens) == 3, dangling).otherwise(False)
+    nq = _NOT_ALNUM.sub("", (q or "").lower())
+    na = _NOT_ALNUM.sub("", a.lower())
+    if not nq or nq not in na:
+        return False
+    rest = na.replace(nq, "")
+    return not rest or rest in _LABELS
+
+
+def refuses(a: str) -> bool:
+    """Does the answer decline to answer?  Some sentence must refuse, and what the others say must be courtesy,
+    referral or at most MOST_OTHER_WORDS words: an answer that goes on to answer is none."""
+    low = a.lower().translate(_PLAIN)
+    if _REFUSAL_WORDS.isdisjoint(_WORD.findall(low)) or not _REFUSES.search(low):
+        return False
+    other = 0
+    for s in _SENTENCE.split(low.strip()):
+        if not (_REFUSES.search(s) or _FRAME.search(s)):
+            other += len(s.split())
+    return other <= MOST_OTHER_WORDS
+
+
+def language(text: str, words: set[str]) -> tuple[str | None, int]:
+    """(language, score): the one whose function words occur most, Russian by script; None without evidence."""
+    if not text.isascii():
+        cyrillic = sum(map(len, _CYRILLIC.findall(text)))
+        if cyrillic >= 6 and cyrillic * 3 >= sum(map(len, _WORD.findall(text))) - cyrillic:
+            return "ru", 99
+    known = words & _ALL_FUNCTION
+    if not known:
+        return None, 0
+    score, _, lang = max((len(known & w), -i, k) for i, (k, w) in enumerate(_FUNCTION.items()))
+    return lang, score
+
+
+def other_language(q: str, a: str, wq: set[str], wa: set[str]) -> bool:
+    lq, la = language(q, wq), language(a, wa)
+    if lq[0] is None or la[0] is None or lq[0] == la[0]:
+        return False
+    if "ru" in (lq[0], la[0]):
+        return True
+    return la[1] >= 2 and la[1] > len(wa & _FUNCTION[lq[0]])
+
+
+def is_sentence(tokens: list[str]) -> bool:
+    """Four words with one that marks a sentence, or three Cyrillic words among them, or three ending in a function word of two letters or more."""
+    n = len(tokens)
+    if n < 3:
+        return False
+    dangling = tokens[-1] in _DANGLING
+    if n == 3:
+        return dangling
+    return dangling or not _STRONG.isdisjoint(tokens) or sum(bool(_CYRILLIC.fullmatch(t)) for t in tokens) >= 3
+
+
+def judge(q: str | None, a: str | None) -> tuple[str | None, bool, bool, bool]:
+    """(defect told by rules, open, phrase, broken) of one pair: ``open`` has no final stop, ``phrase`` is open, has three
+    words or more and is no list, ``broken`` breaks off as the ending alone shows."""
+    if is_empty(a):
+        return "empty", False, False, False
+    if copies_question(q, a):
+        return "copies_question", False, False, False
+    if refuses(a):
+        return "refusal", False, False, False
+    tokens = _WORD.findall(a.lower())
+    if q and other_language(q, a, set(_WORD.findall(q.lower())), set(tokens)):
+        return "other_language", False, False, False
+    if _ENDED.search(a) and not _DOTS.search(a):
+        return None, False, False, False
+    phrase = len(tokens) >= 3 and not any(c in a for c in ",;\n")
+    return None, True, phrase, bool(_LOOSE.search(a)) or is_sentence(tokens)
+
+
+_VERDICT = T.StructType([T.StructField("defect", T.StringType()), *[T.StructField(n, T.BooleanType()) for n in ("open", "phrase", "broken")]])
+
+
+@F.pandas_udf(_VERDICT)
+def _judged(q: pd.Series, a: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([judge(x, y) for x, y in zip(q, a)], columns=["defect", "open", "phrase", "broken"])
 
 
 def prefix_neighbours(texts: DataFrame, ws: Workspace, col: str = "t") -> DataFrame:
@@ -152,18 +230,22 @@ def prefix_neighbours(texts: DataFrame, ws: Workspace, col: str = "t") -> DataFr
     return both.where("own and longer is not null and startswith(longer, t)").select("t", "longer")
 
 
-def length_spikes(unfinished: DataFrame, least: int = 12, times: float = 8.0) -> DataFrame:
-    """(n): lengths at which unfinished texts (column ``n``) gather ``times`` as densely as at the lengths around."""
+def length_spikes(unfinished: DataFrame, reach: int = 15, times: float = 8.0, sigmas: float = 5.0) -> DataFrame:
+    """(n): lengths at which unfinished texts (column ``n``) gather: ``times`` the mean of the lengths within ``reach`` and
+    ``sigmas`` standard deviations of a Poisson count above it, so that the test means the same at every corpus size."""
     h = unfinished.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
-    near = h.select(F.explode(F.sequence(F.col("n") - 15, F.col("n") + 15)).alias("n"), "c").groupBy("n").agg(F.sum("c").alias("around"))
-    return h.where(F.col("c") >= least).join(near, "n").where(F.col("c") * 30 >= times * (F.col("around") - F.col("c"))).select("n")
+    near = h.select(F.explode(F.sequence(F.col("n") - reach, F.col("n") + reach)).alias("n"), "c").groupBy("n").agg(F.sum("c").alias("around"))
+    mean = (F.col("around") - F.col("c")) / (2 * reach)
+    return h.join(near, "n").where((F.col("c") >= times * mean) & (F.col("c") >= mean + sigmas * F.sqrt(mean + 1))).select("n")
 
 
 def defects(pairs: DataFrame, key: str = "pair_id", question: str = "question", answer: str = "bge_answer", disposition: str | None = "bge_final_disposition", others: tuple[str, ...] = ("hybrid_answer",)) -> DataFrame:
-    """(key, defect): one row for each released pair whose answer is defective.
+    """(key, defect, evidence): one row for each released pair whose answer is defective.
 
     ``others`` are further response columns that take part in the sort.  A null or blank answer is ``empty``; a
     null question has no copies and no language.  Kinds are tried in the order of DEFECTS, so no pair has two.
+    ``evidence`` is what showed it: ``rule``, or for truncated answers ``prefix``, ``limit`` or ``ending``.  A key that
+    stands on several rows gives a row for each.
     """
     ws = Workspace(pairs.sparkSession, "pair-defects")
     texts = pairs.select(F.col(answer).alias("t"))
@@ -171,38 +253,17 @@ def defects(pairs: DataFrame, key: str = "pair_id", question: str = "question",
         texts = texts.unionAll(pairs.select(F.col(o).alias("t")))
     short = prefix_neighbours(texts, ws)
     # the cut is inside a word, or after a word that cannot end a phrase
-    strong = _table(" ".join(STRONG.values()))
     last = F.regexp_extract(F.lower("t"), r"(\p{L}+)\s*\z", 1)
     inside = F.substr("longer", F.length("t") + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]") & F.col("t").rlike(r"[\p{L}\p{N}]\z")
-    short = short.where((F.length("t") >= 8) & ((inside & F.col("t").rlike(r"\s")) | F.array_contains(strong, last))).select(F.md5("t").alias("_m"), F.lit(True).alias("_short"))
+    cut = (F.length("t") >= 8) & ((inside & F.col("t").rlike(r"\s")) | last.isin(sorted(_STRONG)))
+    short = short.where(cut).select(F.unhex(F.md5("t")).alias("_m"), F.lit(True).alias("_short"))
 
     p = pairs.where(released(F.col(disposition))) if disposition else pairs
-    q, a = F.col(question), F.col(answer)
-    d = p.select(key, question, answer, is_empty(a).alias("_empty"), _tokens(a).alias("_ta"), _tokens(q).alias("_tq"))
-    d = d.withColumn("_la", language(a, F.col("_ta"))).withColumn("_lq", language(q, F.col("_tq")))
-    d = d.withColumn("_open", ~_ended(a)).withColumn("_sentence", _sentence_like(F.col("_ta")))
-    in_q = F.lit(0)
-    for k, w in FUNCTION_WORDS.items():
-        in_q = F.when(F.col("_lq.lang") == k, _count(F.col("_ta"), w)).otherwise(in_q)
-    lq, la = F.col("_lq.lang"), F.col("_la.lang")
-    other = (lq != la) & ((la == "ru") | (lq == "ru") | ((F.col("_la.score") >= 2) & (F.col("_la.score") > in_q)))
-    broken = F.col("_open") & (a.rlike(r"(?U)(\w|\s)(\.\.\.|…)\s*\z") | a.rlike(r"(?U)\w\s?[-–,;:]\s*\z") | F.col("_sentence"))
-    d = d.select(
-        key,
-        F.md5(answer).alias("_m"),
-        F.length(a).alias("n"),
-        F.when(F.col("_empty"), "empty")
-        .when(F.coalesce(copies_question(q, a), F.lit(False)), "copies_question")
-        .when(F.coalesce(refuses(a), F.lit(False)), "refusal")
-        .when(F.coalesce(other, F.lit(False)), "other_language")
-        .when(F.coalesce(broken, F.lit(False)), "truncated")
-        .alias("defect"),
-        # what a shortened text or a limit could still show to be truncated
-        F.coalesce(F.col("_open"), F.lit(False)).alias("_open"),
-        F.coalesce((F.size("_ta") >= 3) & ~a.rlike(r"[,;\n]"), F.lit(False)).alias("_phrase"),
-    )
-    d = ws.keep(d, "judged")  # judged once; what follows reads hashes, lengths and verdicts
-    spikes = length_spikes(d.where("_open and defect = 'truncated'").select("n")).withColumn("_spike", F.lit(True))
-    late = d.where("_open and defect is null").join(short, "_m", "left").join(spikes, "n", "left")
-    late = late.where("_short or (_spike and _phrase)").select(key, F.lit("truncated").alias("defect"))
-    return d.where("defect is not null").select(key, "defect").unionByName(late)
+    d = p.select(key, F.unhex(F.md5(answer)).alias("_m"), F.length(answer).alias("n"), _judged(F.col(question), F.col(answer)).alias("v")).select(key, "_m", "n", "v.*")
+    d = ws.keep(d, "judged")  # judged once; what follows reads digests, lengths and verdicts
+    ruled = d.where("defect is not null").select(key, "defect", F.lit("rule").alias("evidence"))
+    rest = d.where("open and defect is null")
+    spikes = length_spikes(rest.select("n")).withColumn("_spike", F.lit(True))
+    rest = rest.join(short, "_m", "left").join(spikes, "n", "left")
+    why = F.when(F.col("_short"), "prefix").when(F.col("_spike") & F.col("phrase"), "limit").when(F.col("broken"), "ending")
+    return ruled.unionByName(rest.select(key, F.lit("truncated").alias("defect"), why.alias("evidence")).where("evidence is not null"))

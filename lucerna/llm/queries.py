@@ -14,7 +14,12 @@ PILOT = 1 << 60  # pilots follow all body records in the order of nodes
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pair_defects.defects(table(spark, sf, "paired_answers")).distinct()
+    return pair_defects.defects(table(spark, sf, "paired_answers")).select("pair_id", "defect")
+
+
+def p1_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Defective pairs per kind and per step that showed them."""
+    return pair_defects.defects(table(spark, sf, "paired_answers")).groupBy("defect", "evidence").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
 def p1_rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -104,27 +109,28 @@ def p3_incremental(spark: SparkSession, sf: str) -> DataFrame:
     return both.groupBy("batch", "split").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def _truncated(spark: SparkSession, sf: str) -> DataFrame:
+def _replies(spark: SparkSession, sf: str) -> DataFrame:
     """A whole reply names the record's claims up to the last one."""
     ids = F.filter(F.transform("claims", lambda c: c["claim_id"]), lambda i: i.isNotNull())
-    r = table(spark, sf, "reaudit_outputs").select("record_id", "raw_response", "model", ids.alias("labels"))
-    return truncation.truncated(r, "record_id", "raw_response", "model", expected="labels")
+    return table(spark, sf, "reaudit_outputs").select("record_id", "raw_response", "model", ids.alias("labels"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _truncated(spark, sf).where("truncated").select("record_id")
+    return truncation.truncated(_replies(spark, sf), "record_id", "raw_response", "model", expected="labels").where("truncated").select("record_id")
 
 
 def p5_rates(spark: SparkSession, sf: str) -> DataFrame:
     """Truncation per model, and how many at a hidden limit."""
-    t = _truncated(spark, sf)
+    t = truncation.truncated(_replies(spark, sf), "record_id", "raw_response", "model", expected="labels")
     return t.groupBy("model").agg(
         F.count(F.lit(1)).alias("n_replies"), F.count_if("truncated").alias("n_truncated"), F.count("limit_measure").alias("n_at_limit"), F.round(F.avg(F.col("truncated").cast("double")), 6).alias("rate")
     )
 
 
 def p5_limits(spark: SparkSession, sf: str) -> DataFrame:
-    return truncation.limits(truncation.examine(table(spark, sf, "reaudit_outputs"), "record_id", "raw_response", "model"), "model")
+    """The hidden limits per model, under the measure that explains most cut replies, with how many it explains."""
+    t = truncation.truncated(_replies(spark, sf), "record_id", "raw_response", "model", expected="labels")
+    return t.where("limit_measure is not null").groupBy("model", "limit_measure", "limit_size").agg(F.count(F.lit(1)).alias("n_cut"))
 
 
 def _evaluation(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +190,7 @@ def p10_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_rates, p3_found, p3_assignment, p3_shares, p3_incremental, p5_found, p5_rates, p5_limits,
+    p1_found, p1_evidence, p1_rates, p3_found, p3_assignment, p3_shares, p3_incremental, p5_found, p5_rates, p5_limits,
     p6_found, p6_records, p7_found, p7_report, p8_windows, p8_summary, p9_mixture, p9_shares, p9_shares_corpus_size, p10_found, p10_texts,
 )}
 

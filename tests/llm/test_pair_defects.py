@@ -1,7 +1,6 @@
 """P1 on hand-made pairs."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from lucerna.llm import pair_defects as P
 
@@ -71,5 +70,41 @@ def test_spikes(spark):
 
 
 @pytest.mark.parametrize("text,lang", [("The drug is given in the morning", "en"), ("Le traitement par le médicament est fini", "fr"), ("In uno studio della malattia il farmaco è stato", "it"), ("QPKFW17", None), ("Препарат помогает детям", "ru")])
-def test_language(spark, text, lang):
-    assert spark.range(1).select(P.language(F.lit(text)).alias("x")).first().x.lang == lang
+def test_language(text, lang):
+    assert P.language(text, set(P._WORD.findall(text.lower())))[0] == lang
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "It is better not to stop the drug abruptly.", "The system does not support replication of the virus.", "The model cannot provide glucose to the tissue.", "Vaccination works against our most common strains.",
+        "The request was denied by the ethics board, but 40% responded.", "We do not discuss relapse as an endpoint; overall survival was longer.", "The question was rejected by the panel after two rounds of voting.",
+        "I am sorry that this took long. The gene is ABC12, and it is mutated in one third of all patients with the disease. It lies on chromosome 4.", "We cannot help but note that response rates doubled in all arms of the trial after week nine.",
+        "Patients who refuse to answer were excluded.", "No information can be drawn from the second arm.", "Unfortunately, all patients relapsed.", "As a language model organism, the zebra finch is used.",
+    ],
+)
+def test_answers_that_do_not_refuse(text):
+    assert not P.refuses(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "I'm sorry.", "I cannot provide medical advice. Please consult a physician.", "Thank you for the question, but I must decline to answer this question.", "That is a good question. This falls under topics the assistant does not cover.",
+        "My guidelines do not let me respond to this.", "Je suis désolé, mais je ne peux pas répondre à cette demande.", "Я не вправе давать медицинские советы о препарате.", "We are unable to give advice on this. Is there something else I can help with?",
+    ],
+)
+def test_answers_that_refuse(text):
+    assert P.refuses(text)
+
+
+def test_each_step_gives_rows(spark):
+    """Shortened versions are shown by their neighbour, gathered lengths by the limit, and only the rest by the ending."""
+    whole = "Carriers with the condition need screening for the variant before treatment."
+    data = [(1, whole), (2, whole[:47]), (3, "Carriers with the condition need screening")]
+    data += [(100 + i, (f"drug{i} reduced symptom scores markedly, again " + "a" * 90)[:90].replace(",", "")) for i in range(10, 50)]
+    data += [(200, "The drug blocks the enzyme in the liver and"), (201, "drug a\ndrug b"), (202, "joint pain")]
+    df = spark.createDataFrame([(k, "What is known?", a, "release", None) for k, a in data], "pair_id bigint, question string, bge_answer string, bge_final_disposition string, hybrid_answer string")
+    got = {r.pair_id: r.evidence for r in P.defects(df).collect() if r.defect == "truncated"}
+    assert got[2] == "prefix" and 1 not in got and 201 not in got and 202 not in got and got[200] == "ending"
+    assert {got[k] for k, _ in data if 100 < k < 200} == {"limit"}
