@@ -1,9 +1,10 @@
 """Deeply nested records to related flat tables with parent-child links.
 
-A bottom-up tree automaton reads the type of each node and gives every list slot and item a
-state; the states name the variant table a row is routed to.  All variant tables of a kind
-share the supertype keys (record, place in the list, own id), and children carry the key of
-the parent row, so the tables join back without loss.
+A bottom-up tree automaton gives every node a state: leaves by their type, a list by the states of its
+elements, an item by the states of its fields.  The state of an item names its variant; items are routed to a typed
+subtype table for each variant, all of which share the keys of the supertype (record, place in the list, own
+id), and children carry the key of the parent row, so the tables join back without loss.  Shapes that no rule
+knows have a table of their own with the whole item as JSON.
 
 Input is a VARIANT value, so records that hold a typed struct and records that hold JSON text
 take the same path; nothing leaves the JVM.
@@ -11,9 +12,14 @@ take the same path; nothing leaves the JVM.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import Workspace
+from .skew import union_all
+
 #: The automaton's leaf rules: head of the type of a node -> state; any other head is a scalar.
 STATES = {"OBJECT": "object", "ARRAY": "list", "STRING": "text", "VOID": "null", "NONE": "absent"}
 
@@ -74,83 +80,145 @@ def graph_roots(df: DataFrame, record_key: str = "record_id", struct_col: str =
     )
 
 
-def _items(roots: DataFrame, record_key: str, slot: str) -> DataFrame:
-    """One row for each non-null element of a list slot; places count null elements too."""
-    x = roots.select(record_key, F.posexplode(slot).alias("_p", "item"))
-    return x.where(is_some(F.col("item"))).select(record_key, (F.col("_p") + 1).cast("int").alias("item_pos"), "item")
+#: Slots of a record and the kind of their items.
+SLOTS = {"entity": "entities", "relation": "relations", "aspect": "answer_aspects"}
+#: Text fields an item of a kind may have; the first present of ``KEYS`` is its own id.
+FIELDS = {"entity": ("entity_id", "id", "name", "label", "type"), "relation": ("edge_id", "source", "relation", "target", "question_relevance"), "aspect": ("aspect_id", "description", "question_relevance")}
+KEYS = {"entity": ("entity_id", "id"), "relation": ("edge_id",), "aspect": ("aspect_id",)}
+EVIDENCE = "evidence_snippet_ids"
+#: The typed columns of each subtype table beside the keys of the supertype.  ``other`` holds
+#: every shape no rule knows.
+SUBTYPES = {
+    ("entity", "standard"): ("entity_id", "name", "type"),
+    ("entity", "alias"): ("id", "label", "type"),
+    ("entity", "mixed"): ("entity_id", "id", "name", "label", "type"),
+    ("entity", "nameless"): ("type",),
+    **{(k, v): (*FIELDS[k], *e) for k in ("relation", "aspect") for v, e in {"cited": ("evidence",), "cited_nested": ("evidence",), "cited_one": ("evidence_one",), "uncited": ()}.items()},
+    **{(k, "bare"): ("text",) for k in SLOTS},
+    ("entity", "other"): ("item",),
+    **{(k, "other"): ("item", "evidence") for k in ("relation", "aspect")},
+}
+
+
+def _leaf(state: Column) -> Column:
+    return state.isin("text", "scalar", "null", "absent")
+
+
+def variant_of(kind: str, v: Column) -> Column:
+    """The automaton's step from the states of an item's children to the state of the item, which names its table.
+
+    text: ``bare``.  An object with a list or object where a text belongs, a list and a scalar: ``other``.  Entities:
+    ``standard`` by entity_id or name, ``alias`` by id or label, ``mixed`` by both, else ``nameless``.  Relations and
+    aspects: by the state of their evidence, itself made from its elements: ``cited``, ``cited_nested`` (objects or
+    lists among them), ``cited_one`` (no list), ``uncited``.
+    """
+    own = state_of(v)
+    child = {f: state_of(F.try_variant_get(v, f"$.{f}", "variant")) for f in FIELDS[kind]}
+    some = {f: c.isin("text", "scalar") for f, c in child.items()}
+    plain = reduce(lambda a, b: a & b, [_leaf(c) for c in child.values()])
+    if kind == "entity":
+        mine, other = some["entity_id"] | some["name"], some["id"] | some["label"]
+        shape = F.when(mine & other, "mixed").when(mine, "standard").when(other, "alias").otherwise("nameless")
+    else:
+        ev = F.try_variant_get(v, f"$.{EVIDENCE}", "variant")
+        deep = F.exists(F.try_variant_get(ev, "$", "array<variant>"), lambda e: state_of(e).isin("object", "list"))
+        s = state_of(ev)
+        shape = F.when(s == "list", F.when(deep, "cited_nested").otherwise("cited")).when(s.isin("null", "absent"), "uncited").otherwise("cited_one")
+    return F.when(own == "text", "bare").when((own == "object") & plain, shape).otherwise("other")
+
+
+def routed(df: DataFrame, ws: Workspace, record_key: str = "record_id", struct_col: str = "graph", text_col: str = "graph_json") -> DataFrame:
+    """Every non-null item of every record, in the table of its kind and variant.
+
+    Each record is parsed once.  Rows are gathered by (kind, variant) into files of even size (a variant of a third of
+    all rows fills many) and written to a folder for each, so a subtype table reads its own rows only.
+    Columns: the supertype's (record, item_pos, item_key), the typed fields, kind and variant.
+    """
+    g, i = F.col("_g"), F.col("item")
+    base = df.select(F.col(record_key), graph_variant(struct_col, text_col).alias("_v")).select(record_key, unwrapped(F.col("_v")).alias("_g"))
+    slots = F.array(*[F.struct(F.lit(k).alias("kind"), F.try_variant_get(g, f"$.{n}", "variant").alias("slot")) for k, n in SLOTS.items()])
+    x = base.select(record_key, F.explode(slots).alias("s")).where("s.slot is not null")
+    x = x.select(record_key, "s.kind", F.posexplode(as_list(F.col("s.slot"))).alias("_p", "item")).where(is_some(i))
 
+    def by_kind(one) -> Column:
+        kinds = list(SLOTS)
+        out = F.when(F.col("kind") == kinds[0], one(kinds[0]))
+        for k in kinds[1:]:
+            out = out.when(F.col("kind") == k, one(k))
+        return out
 
-def entities(roots: DataFrame, record_key: str = "record_id") -> DataFrame:
-    """Entity table; ``variant``: standard (entity_id/name), alias (id/label), bare (text) or partial."""
-    i = F.col("item")
-    own = F.try_variant_get(i, "$.entity_id", "string").isNotNull() | F.try_variant_get(i, "$.name", "string").isNotNull()
-    alias = F.try_variant_get(i, "$.id", "string").isNotNull() | F.try_variant_get(i, "$.label", "string").isNotNull()
-    return _items(roots, record_key, "entities").select(
+    x = x.withColumn("variant", by_kind(lambda k: variant_of(k, i)))
+    ev = F.when(F.col("kind") != "entity", F.try_variant_get(i, f"$.{EVIDENCE}", "variant"))
+    # an object in an evidence list is kept as its JSON text: a row is never dropped for its shape
+    texts = F.transform(as_list(ev), lambda e: F.when(is_some(e), F.coalesce(F.try_variant_get(e, "$", "string"), F.to_json(e))))
+    fields = {f: [k for k in SLOTS if f in FIELDS[k]] for k in SLOTS for f in FIELDS[k]}
+    x = x.select(
         record_key,
-        "item_pos",
-        F.coalesce(field(i, "entity_id", "id"), F.lit("")).alias("entity_key"),
-        F.coalesce(field(i, "name", "label"), F.when(state_of(i) == "text", i.cast("string"))).alias("name"),
-        field(i, "type").alias("type"),
-        F.when(state_of(i) == "text", "bare").when(own, "standard").when(alias, "alias").otherwise("partial").alias("variant"),
+        (F.col("_p") + 1).cast("int").alias("item_pos"),
+        F.coalesce(by_kind(lambda k: field(i, *KEYS[k])), F.lit("")).alias("item_key"),
+        *[F.when(F.col("kind").isin(ks), field(i, f)).alias(f) for f, ks in fields.items()],
+        F.when(F.size(texts) > 0, texts).alias("evidence"),
+        F.when(F.col("variant") == "bare", F.try_variant_get(i, "$", "string")).alias("text"),
+        F.when(F.col("variant") == "other", F.to_json(i)).alias("item"),
+        "kind",
+        "variant",
     )
+    return ws.route(x.hint("rebalance", "kind", "variant"), "items", ["kind", "variant"])
 
 
-def _with_evidence(roots: DataFrame, record_key: str, slot: str, key: str, fields: dict[str, str]) -> DataFrame:
-    i = F.col("item")
-    ev = F.try_variant_get(i, "$.evidence_snippet_ids", "variant")
-    return _items(roots, record_key, slot).select(
-        record_key,
-        "item_pos",
-        F.coalesce(field(i, key), F.lit("")).alias(key.replace("_id", "_key")),
-        *[field(i, src).alias(name) for name, src in fields.items()],
-        F.concat(state_of(i), F.lit("("), state_of(ev), F.lit(")")).alias("variant"),
-        as_list(ev).alias("_evidence"),
-    )
+def variants(items: DataFrame) -> list[tuple[str, str]]:
+    """The (kind, variant) pairs that occur: at most as many as SUBTYPES."""
+    return sorted(map(tuple, items.select("kind", "variant").distinct().collect()))
 
 
-def relations(roots: DataFrame, record_key: str = "record_id") -> DataFrame:
-    """Relation table; ``source_ref`` and ``target_ref`` hold what the record gave: an entity's id or its name."""
-    f = {"relation": "relation", "source_ref": "source", "target_ref": "target", "question_relevance": "question_relevance"}
-    return _with_evidence(roots, record_key, "relations", "edge_id", f)
+def subtype(items: DataFrame, kind: str, variant: str, record_key: str = "record_id") -> DataFrame:
+    """The typed table of one variant: the supertype's keys and its own columns."""
+    t = items.where((F.col("kind") == kind) & (F.col("variant") == variant))
+    cols = [F.get("evidence", F.lit(0)).alias(c) if c == "evidence_one" else F.col(c) for c in SUBTYPES[kind, variant]]
+    return t.select(record_key, "item_pos", "item_key", *cols)
 
 
-def aspects(roots: DataFrame, record_key: str = "record_id") -> DataFrame:
-    return _with_evidence(roots, record_key, "answer_aspects", "aspect_id", {"description": "description", "question_relevance": "question_relevance"})
+def _all(tables: list[DataFrame], spark, schema: str) -> DataFrame:
+    return union_all(tables) if tables else spark.createDataFrame([], schema)
 
 
-def evidence(parents: DataFrame, parent_kind: str, record_key: str = "record_id") -> DataFrame:
-    """Evidence table of one parent kind: parent place, place in its list from 1, snippet id."""
-    x = parents.select(record_key, "item_pos", F.posexplode("_evidence").alias("_p", "e"))
-    # an object in an evidence list is kept as its JSON text: a row is never dropped for its shape
-    text = F.coalesce(F.try_variant_get("e", "$", "string"), F.to_json("e"))
-    return x.where(is_some(F.col("e"))).select(record_key, F.lit(parent_kind).alias("parent"), "item_pos", (F.col("_p") + 1).cast("int").alias("sub_pos"), text.alias("snippet_id"))
+def of_kind(items: DataFrame, kind: str, columns: dict[str, tuple[str, ...]], record_key: str = "record_id") -> DataFrame:
+    """Union of a kind's subtype tables under common names: each column is the first of its source fields that the
+    subtype has and that is not null."""
+    out = []
+    for k, v in variants(items):
+        if k == kind:
+            t = subtype(items, k, v, record_key)
+            cols = [F.coalesce(*[F.col(c) for c in src if c in t.columns], F.lit(None).cast("string")).alias(name) for name, src in columns.items()]
+            out.append(t.select(record_key, "item_pos", "item_key", *cols, F.lit(v).alias("variant")))
+    kinds = ", ".join(f"{c} string" for c in columns)
+    return _all(out, items.sparkSession, f"{record_key} {dict(items.dtypes)[record_key]}, item_pos int, item_key string, {kinds}, variant string")
 
 
-def all_items(df: DataFrame, record_key: str = "record_id", struct_col: str = "graph", text_col: str = "graph_json") -> DataFrame:
-    """Supertype table (record, child, item_pos, sub_pos, item_key) over every variant table.
+def evidence(items: DataFrame, kind: str, record_key: str = "record_id") -> DataFrame:
+    """(record, parent, item_pos, sub_pos, snippet_id): the child table of a kind's citing subtypes.
 
-    The source is read and parsed once: record -> its three slots -> their items -> the item and its
-    evidence, three chained explodes and no shuffle.
+    Places count from 1; null elements give no row but keep their place.
     """
-    g, i, ev = F.col("_g"), F.col("item"), F.col("ev")
-    base = df.select(F.col(record_key), graph_variant(struct_col, text_col).alias("_v")).select(record_key, unwrapped(F.col("_v")).alias("_g"))
-    slots = {"entity": "entities", "relation": "relations", "aspect": "answer_aspects"}
-    x = base.select(
-        record_key, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.try_variant_get(g, f"$.{n}", "variant").alias("slot")) for k, n in slots.items()])).alias("s")
-    )
-    x = x.select(record_key, "s.kind", F.posexplode(as_list(F.col("s.slot"))).alias("_p", "item")).where(is_some(i))
-    key = (
-        F.when(F.col("kind") == "entity", field(i, "entity_id", "id"))
-        .when(F.col("kind") == "relation", field(i, "edge_id"))
-        .otherwise(field(i, "aspect_id"))
-    )
-    under = F.when(F.col("kind") != "entity", F.try_variant_get(i, "$.evidence_snippet_ids", "variant"))
-    x = x.select(record_key, "kind", (F.col("_p") + 1).cast("int").alias("item_pos"), F.coalesce(key, F.lit("")).alias("own"), under.alias("ev"))
-    me = F.array(F.struct(F.lit(0).alias("q"), F.col("own").alias("k")))
-    sub = F.transform(as_list(ev), lambda e, q: F.when(is_some(e), F.struct((q + 1).alias("q"), F.coalesce(F.try_variant_get(e, "$", "string"), F.to_json(e)).alias("k"))))
-    x = x.select(record_key, "kind", "item_pos", F.explode(F.concat(me, sub)).alias("y")).where("y is not null")
-    child = F.when(F.col("y.q") == 0, F.col("kind")).otherwise(F.concat("kind", F.lit("_evidence")))
-    return x.select(record_key, child.alias("child"), "item_pos", F.col("y.q").cast("int").alias("sub_pos"), F.col("y.k").alias("item_key"))
+    out = []
+    for k, v in variants(items):
+        if k != kind or not SUBTYPES[k, v] or not SUBTYPES[k, v][-1].startswith("evidence"):
+            continue
+        t = subtype(items, k, v, record_key)
+        one = F.array("evidence_one") if "evidence_one" in t.columns else F.col("evidence")
+        x = t.select(record_key, "item_pos", F.posexplode(one).alias("_p", "snippet_id")).where("snippet_id is not null")
+        out.append(x.select(record_key, F.lit(kind).alias("parent"), "item_pos", (F.col("_p") + 1).cast("int").alias("sub_pos"), "snippet_id"))
+    return _all(out, items.sparkSession, f"{record_key} {dict(items.dtypes)[record_key]}, parent string, item_pos int, sub_pos int, snippet_id string")
+
+
+def supertype(items: DataFrame, record_key: str = "record_id") -> DataFrame:
+    """(record, child, item_pos, sub_pos, item_key): the union of the keys of all subtype tables and their children.
+
+    A record that stands on several rows gives its rows for each; the record key is unique in clean input.
+    """
+    own = [subtype(items, k, v, record_key).select(record_key, F.lit(k).alias("child"), "item_pos", F.lit(0).alias("sub_pos"), "item_key") for k, v in variants(items)]
+    below = [evidence(items, k, record_key).select(record_key, F.concat("parent", F.lit("_evidence")).alias("child"), "item_pos", "sub_pos", F.col("snippet_id").alias("item_key")) for k in SLOTS if k != "entity"]
+    return union_all([*own, *below])
 
 
 def relation_links(roots: DataFrame, record_key: str = "record_id") -> DataFrame:

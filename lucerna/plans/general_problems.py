@@ -8,10 +8,21 @@ from pyspark.sql import functions as F
 from ..operators import flatten, orphans
 from ..operators.skew import heavy_keys, union_all
 from ..session import table
+from ..workspace import Workspace
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    return flatten.routed(table(spark, sf, "graph_routing"), Workspace(spark, "variants"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return flatten.all_items(table(spark, sf, "graph_routing")).distinct()
+    """The keys of all variant tables and of their children."""
+    return flatten.supertype(_items(spark, sf))
+
+
+def p2_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each variant table."""
+    return _items(spark, sf).groupBy("kind", "variant").agg(F.count(F.lit(1)).alias("n_items"), F.count_distinct("record_id").alias("n_records"))
 
 
 def _roots(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,20 +30,21 @@ def _roots(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return flatten.entities(_roots(spark, sf))
+    return flatten.of_kind(_items(spark, sf), "entity", {"name": ("name", "label", "text"), "type": ("type",)})
 
 
 def p2_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return flatten.relations(_roots(spark, sf)).drop("_evidence")
+    """``source_ref`` and ``target_ref`` hold what the record gave: an entity's id or its name."""
+    return flatten.of_kind(_items(spark, sf), "relation", {"relation": ("relation",), "source_ref": ("source",), "target_ref": ("target",), "question_relevance": ("question_relevance",)})
 
 
 def p2_aspects(spark: SparkSession, sf: str) -> DataFrame:
-    return flatten.aspects(_roots(spark, sf)).drop("_evidence")
+    return flatten.of_kind(_items(spark, sf), "aspect", {"description": ("description",), "question_relevance": ("question_relevance",)})
 
 
 def p2_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    r = _roots(spark, sf)
-    return flatten.evidence(flatten.relations(r), "relation").unionByName(flatten.evidence(flatten.aspects(r), "aspect"))
+    items = _items(spark, sf)
+    return flatten.evidence(items, "relation").unionByName(flatten.evidence(items, "aspect"))
 
 
 def p2_relation_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,6 +144,7 @@ WHERE r.k IS NOT NULL AND r.k <> '' AND (NOT s.ok OR NOT EXISTS (SELECT 1 FROM i
 
 QUERIES = {
     "p2_found": p2_found,
+    "p2_variants": p2_variants,
     "p2_entities": p2_entities,
     "p2_relations": p2_relations,
     "p2_aspects": p2_aspects,
@@ -153,14 +166,25 @@ item AS (SELECT record_id, kind, unnest(l) i, unnest(range(1, len(l) + 1)) p FRO
 good AS (SELECT * FROM item WHERE i IS NOT NULL AND json_type(i) <> 'NULL'),
 ev AS (SELECT record_id, kind, p, CASE json_type(i, '$.evidence_snippet_ids') WHEN 'ARRAY' THEN json_extract(i, '$.evidence_snippet_ids')::JSON[] ELSE [json_extract(i, '$.evidence_snippet_ids')] END l
   FROM good WHERE kind <> 'entity' AND json_type(i, '$.evidence_snippet_ids') IS NOT NULL),
-evi AS (SELECT record_id, kind, p, unnest(l) e, unnest(range(1, len(l) + 1)) q FROM ev)
-SELECT record_id, kind AS child, p::INT AS item_pos, 0 AS sub_pos,
-  coalesce(CASE kind WHEN 'entity' THEN coalesce(i->>'$.entity_id', i->>'$.id') WHEN 'relation' THEN i->>'$.edge_id' ELSE i->>'$.aspect_id' END, '') AS item_key FROM good
-UNION SELECT record_id, kind || '_evidence', p::INT, q::INT, e->>'$' FROM evi WHERE e IS NOT NULL AND json_type(e) <> 'NULL'
+evi AS (SELECT record_id, kind, p, unnest(l) e, unnest(range(1, len(l) + 1)) q FROM ev),
+own AS (SELECT record_id, kind, p::INT item_pos, i, coalesce(CASE kind WHEN 'entity' THEN coalesce(i->>'$.entity_id', i->>'$.id') WHEN 'relation' THEN i->>'$.edge_id' ELSE i->>'$.aspect_id' END, '') item_key FROM good),
+st AS (SELECT *, json_type(i) t, list_transform(CASE kind WHEN 'entity' THEN ['entity_id', 'id', 'name', 'label', 'type'] WHEN 'relation' THEN ['edge_id', 'source', 'relation', 'target', 'question_relevance'] ELSE ['aspect_id', 'description', 'question_relevance'] END,
+  lambda f: json_type(i, '$.' || f)) fs, json_type(i, '$.evidence_snippet_ids') et FROM own),
+var AS (SELECT *, CASE WHEN t = 'VARCHAR' THEN 'bare' WHEN t <> 'OBJECT' OR list_contains(fs, 'OBJECT') OR list_contains(fs, 'ARRAY') THEN 'other'
+  WHEN kind = 'entity' THEN CASE WHEN m AND o THEN 'mixed' WHEN m THEN 'standard' WHEN o THEN 'alias' ELSE 'nameless' END
+  WHEN et = 'ARRAY' THEN CASE WHEN len(list_filter(json_extract(i, '$.evidence_snippet_ids')::JSON[], lambda x: coalesce(json_type(x) IN ('OBJECT', 'ARRAY'), false))) > 0 THEN 'cited_nested' ELSE 'cited' END
+  WHEN coalesce(et, 'NULL') = 'NULL' THEN 'uncited' ELSE 'cited_one' END variant
+  FROM (SELECT *, coalesce(fs[1], 'NULL') <> 'NULL' OR coalesce(fs[3], 'NULL') <> 'NULL' m, coalesce(fs[2], 'NULL') <> 'NULL' OR coalesce(fs[4], 'NULL') <> 'NULL' o FROM st))
 """
+_P2_EVIDENCE = "SELECT record_id, kind, p::INT item_pos, q::INT sub_pos, e->>'$' k FROM evi WHERE e IS NOT NULL AND json_type(e) <> 'NULL'"
 
 ORACLE = {
-    "p2_found": _P2_SQL,
+    "p2_found": _P2_SQL + f"SELECT record_id, kind AS child, item_pos, 0 AS sub_pos, item_key FROM own UNION SELECT record_id, kind || '_evidence', item_pos, sub_pos, k FROM ({_P2_EVIDENCE})",
+    "p2_variants": _P2_SQL + "SELECT kind, variant, count(*) AS n_items, count(DISTINCT record_id) AS n_records FROM var GROUP BY 1, 2",
+    "p2_entities": _P2_SQL + "SELECT record_id, item_pos, item_key, CASE WHEN variant = 'bare' THEN i->>'$' WHEN variant <> 'other' THEN coalesce(i->>'$.name', i->>'$.label') END AS name, CASE WHEN variant NOT IN ('bare', 'other') THEN i->>'$.type' END AS type, variant FROM var WHERE kind = 'entity'",
+    "p2_relations": _P2_SQL + "SELECT record_id, item_pos, item_key, CASE WHEN ok THEN i->>'$.relation' END AS relation, CASE WHEN ok THEN i->>'$.source' END AS source_ref, CASE WHEN ok THEN i->>'$.target' END AS target_ref, CASE WHEN ok THEN i->>'$.question_relevance' END AS question_relevance, variant FROM (SELECT *, variant NOT IN ('bare', 'other') ok FROM var WHERE kind = 'relation')",
+    "p2_aspects": _P2_SQL + "SELECT record_id, item_pos, item_key, CASE WHEN ok THEN i->>'$.description' END AS description, CASE WHEN ok THEN i->>'$.question_relevance' END AS question_relevance, variant FROM (SELECT *, variant NOT IN ('bare', 'other') ok FROM var WHERE kind = 'aspect')",
+    "p2_evidence": _P2_SQL + f"SELECT record_id, kind AS parent, item_pos, sub_pos, k AS snippet_id FROM ({_P2_EVIDENCE})",
     "p4_found": _P4_SQL + "SELECT * FROM all_orphans",
     "p4_report": _P4_SQL + "SELECT src_table, ref_field, period, reason, count(*)::BIGINT AS n_orphans FROM all_orphans GROUP BY ALL",
 }

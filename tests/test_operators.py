@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lucerna.operators import annotate, bootstrap, corpus, dense, evidence, flatten, fusion, graph, jobs, lexical, metrics, orphans, sampling, skew, validate
+from lucerna.workspace import Workspace
 
 
 def rows(df, *cols):
@@ -112,13 +113,34 @@ def test_flatten_variants(spark):
     want = set()
     for i, g in enumerate(GRAPHS):
         want |= brute_items(i, g["graph"] if "graph" in g else g)
-    got = flatten.all_items(df)
+    items = flatten.routed(df.withColumn("kind", F.lit("clash")), Workspace(spark, "test"))
+    got = flatten.supertype(items)
     assert set(map(tuple, got.collect())) == want and got.count() == len(want)
-    r = flatten.graph_roots(df)
-    assert r.count() == len(data)
-    assert flatten.entities(r).count() == sum(1 for x in want if x[1] == "entity")
-    assert flatten.evidence(flatten.relations(r), "relation").count() == sum(1 for x in want if x[1] == "relation_evidence")
-    assert flatten.all_items(df.limit(0)).count() == 0
+    assert flatten.graph_roots(df).count() == len(data)
+    assert flatten.evidence(items, "relation").count() == sum(1 for x in want if x[1] == "relation_evidence")
+    none = flatten.routed(df.limit(0), Workspace(spark, "test"))
+    assert flatten.supertype(none).count() == 0 and flatten.of_kind(none, "entity", {"name": ("name",)}).count() == 0
+
+
+def test_each_variant_has_its_table(spark):
+    def one(entities=None, relations=None, aspects=None):
+        return json.dumps({"entities": entities, "relations": relations, "answer_aspects": aspects})
+
+    ev = "evidence_snippet_ids"
+    data = [
+        one([{"entity_id": "e1", "name": "n", "type": "t"}, {"id": "e2", "label": "l"}, {"id": "e3", "name": "n"}, {"type": "t"}, "bare", 7, {"entity_id": {"deep": 1}}, None]),
+        one(None, [{"edge_id": "r1", ev: ["s1", None, "s2"]}, {"edge_id": "r2", ev: "s3"}, {"edge_id": "r3", ev: None}, {"edge_id": "r4", ev: [{"x": 1}, "s4"]}, {"edge_id": "r5", "source": ["a"], ev: ["s5"]}]),
+        one(aspects={"aspect_id": "a1", ev: []}),
+    ]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "record_id bigint, graph_json string").selectExpr("record_id", "cast(null as struct<entities:array<string>>) graph", "graph_json")
+    items = flatten.routed(df, Workspace(spark, "test"))
+    assert flatten.variants(items) == sorted(
+        [("entity", v) for v in ("standard", "alias", "mixed", "nameless", "bare", "other")] + [("relation", v) for v in ("cited", "cited_one", "uncited", "cited_nested", "other")] + [("aspect", "cited")]
+    )
+    assert rows(flatten.subtype(items, "entity", "alias")) == [(0, 2, "e2", "e2", "l", None)]
+    assert rows(flatten.subtype(items, "entity", "other")) == [(0, 6, "", "7"), (0, 7, '{"deep":1}', '{"entity_id":{"deep":1}}')]
+    assert flatten.subtype(items, "relation", "cited_one").columns == ["record_id", "item_pos", "item_key", "edge_id", "source", "relation", "target", "question_relevance", "evidence_one"]
+    assert rows(flatten.evidence(items, "relation"), "item_pos", "sub_pos", "snippet_id") == [(1, 1, "s1"), (1, 3, "s2"), (2, 1, "s3"), (4, 1, '{"x":1}'), (4, 2, "s4"), (5, 1, "s5")]
 
 
 def test_relation_links(spark):
