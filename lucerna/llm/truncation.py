@@ -262,7 +262,8 @@ def examine(records: DataFrame, key: str, text: str, source: str, share: float =
     repaired = (F.col("form") == "json") & (F.col("verdict") != "open")
     reach = F.when(repaired, F.zip_with("sizes", "closers", lambda a, b: a - b)).otherwise(F.col("sizes"))
     unfinished = (F.col("verdict") == "open") | F.coalesce("_broken", F.lit(False))
-    return d.select(key, source, "form", reach.alias("reach"), ((F.col("verdict") == "ended") & ~F.col("inside")).alias("whole"), unfinished.alias("unfinished"))
+    whole = (F.col("verdict") == "ended") & ~F.col("inside")
+    return ws.keep(d.select(key, source, "form", reach.alias("reach"), whole.alias("whole"), unfinished.alias("unfinished")), "examined")
 
 
 def truncated(records: DataFrame, key: str, text: str, source: str, expected: str | None = None, with_limits: bool = True) -> DataFrame:
