@@ -40,12 +40,13 @@ def reachable_total(sizes: dict[str, float], weights: dict[str, float], caps: di
     return min((caps[s] * sizes[s] * norm / w for s, w in weights.items() if w > 0 and sizes.get(s, 0) > 0), default=0.0)
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "tokens", total: float | str = "reachable", seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", size: str = "tokens", total: float | str = "corpus", seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """((key, source, tokens, copies), shares per source).
 
     ``targets`` is (source, target_share, max_repeats), a small dimension table; documents of other or null sources,
-    or of null size, are not used.  ``total``: tokens to reach, ``reachable`` (every source exactly at its share) or
-    ``corpus`` (the size of the corpus; small sources are clamped at their cap).
+    or of null size, are not used.  ``total``: tokens to reach; ``corpus``, the size of the corpus (small
+    sources are clamped at their cap, and the rest goes to the others); or ``reachable``, the largest total at which every
+    source is exactly at its share, which the scarcest source may keep far below the corpus.
     """
     ws = Workspace(docs.sparkSession, "mixing")
     t = {r[0]: (float(r[1] or 0), float(r[2] or 0)) for r in targets.select(source, "target_share", "max_repeats").where(F.col(source).isNotNull()).collect()}
