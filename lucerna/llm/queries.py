@@ -168,21 +168,36 @@ def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
     return packing.summary(p8_windows(spark, sf), table(spark, sf, "container_sizes"))
 
 
+def _mixed(spark: SparkSession, sf: str, total: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_sized(spark, sf, "source"), table(spark, sf, "mixture_targets"), total=total)
+
+
 def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(_sized(spark, sf, "source"), table(spark, sf, "mixture_targets"))[0]
+    """A mixture of the size of the corpus: sources too small for their share are clamped at their cap, the others take the rest."""
+    return _mixed(spark, sf, "corpus")[0]
 
 
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(_sized(spark, sf, "source"), table(spark, sf, "mixture_targets"))[1]
+    """Shares reached by ``p9_mixture``, tokens used and available, and which sources are clamped."""
+    return _mixed(spark, sf, "corpus")[1]
+
 
+def p9_exact_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest mixture in which every source reaches its share within its cap; the scarcest source sets its size."""
+    return _mixed(spark, sf, "reachable")[0]
 
-def p9_shares_corpus_size(spark: SparkSession, sf: str) -> DataFrame:
-    """The same at the size of the corpus: sources too small for that are clamped at their cap."""
-    return mixing.mix(_sized(spark, sf, "source"), table(spark, sf, "mixture_targets"), total="corpus")[1]
+
+def p9_exact_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf, "reachable")[1]
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return confusables.look_alike_pairs(table(spark, sf, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
+    return confusables.look_alike_pairs(table(spark, sf, "documents")).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that read like another but differ in characters, with their class."""
+    return confusables.look_alike_classes(table(spark, sf, "documents")).select("doc_id", F.lower(F.hex("class_id")).alias("class_id"))
 
 
 def p10_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +206,7 @@ def p10_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     p1_found, p1_evidence, p1_rates, p3_found, p3_assignment, p3_shares, p3_incremental, p5_found, p5_rates, p5_limits,
-    p6_found, p6_records, p7_found, p7_report, p8_windows, p8_summary, p9_mixture, p9_shares, p9_shares_corpus_size, p10_found, p10_texts,
+    p6_found, p6_records, p7_found, p7_report, p8_windows, p8_summary, p9_mixture, p9_shares, p9_exact_mixture, p9_exact_shares, p10_found, p10_classes, p10_texts,
 )}
 
 _P6 = r"""

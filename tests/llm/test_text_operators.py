@@ -207,3 +207,16 @@ def test_skeleton_column_and_pairs(spark):
     forms = {r.doc_id: (r.canonical, r.changed) for r in C.consistent_form(df).collect()}
     assert forms[2][0] == forms[1][0] == unicodedata.normalize("NFC", "naïve text") and forms[5] == (None, None) and forms[6] == ("", False)
     assert C.look_alike_pairs(df.limit(0)).count() == 0
+    assert {r.doc_id for r in C.look_alike_classes(df).collect()} == {i for p in want for i in p}
+
+
+def test_copies_of_a_hot_text_meet_only_the_others(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("na\u00efve")).when(F.col("id") == 1, F.lit("nai\u0308ve")).otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    got = C.look_alike_pairs(df)
+    assert got.count() == 10_000 and got.where("a = 1 or b = 1").count() == 10_000
+
+
+def test_public_table(tmp_path):
+    f = tmp_path / "t.txt"
+    f.write_text("\ufeff# remark\n0251 ;\t0061 ;\tMA\t# x\n03B1 ; 0061 ; MA\n0030 ; 004F ; MA\n0661 ; 006C ; MA\n13A0 ; 0044 ; MA\n006D ; 0072 006E ; MA\n")
+    assert C.read_table(str(f)) == {0x251: "a", 0x13A0: "D"} and C.skeleton_of("ɑα", str(f)) == "aα"
