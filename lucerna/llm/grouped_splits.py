@@ -1,13 +1,13 @@
 """Splits that keep related records together.
 
-A component table is kept from batch to batch.  Records are tied through keys; each key's
+Components are kept from batch to batch, in tables that only grow.  Records are tied through keys; each key's
 smallest record is its hub, so a key in a third of all rows is a star and never a clique.  The graph
 is contracted with pointer jumping: every node points to its smallest neighbour, pointers are
 followed once more, the edges are rewritten to the pointed-to labels, and what remains is
 contracted again until no edge is left.
 
 Components that have a split keep it; new ones fill the deficits of the splits; a merge of
-components with different splits is quarantined.
+components with different splits is quarantined and its older records are reported.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import salted_join
+from ..operators.skew import heavy_keys, salted_join
 from ..workspace import Workspace
 
 QUARANTINE = "quarantine"
@@ -68,51 +68,72 @@ def contract(edges: DataFrame, ws: Workspace, most_rounds: int = 60) -> DataFram
 
 @dataclass
 class Components:
-    """The persisted state: keys -> component, and component -> (split, weight)."""
+    """The persisted state, of tables that only grow and one small table of renamed components.
+
+    A batch adds rows for its own keys, records and weights and never rewrites those of earlier ones: a component
+    that was merged away keeps its old number there, and ``renames`` leads to the one it is part of now.
+    """
 
     keys: DataFrame  # key binary, comp bigint
-    comps: DataFrame  # comp bigint, split string, weight bigint
+    sizes: DataFrame  # comp bigint, split string, weight bigint: added to, so several rows may belong together
+    nodes: DataFrame  # node bigint, comp bigint, split string: what every record was given
+    renames: DataFrame  # comp bigint, root bigint: one row per component merged away, always to a living one
+    added: tuple[DataFrame, DataFrame, DataFrame] | None = None  # the last batch's rows of the first three
+
+    _TABLES = ("keys", "sizes", "nodes")
 
     @staticmethod
     def empty(spark: SparkSession) -> "Components":
-        return Components(spark.createDataFrame([], "key binary, comp bigint"), spark.createDataFrame([], "comp bigint, split string, weight bigint"))
+        return Components(*[spark.createDataFrame([], x) for x in ("key binary, comp bigint", "comp bigint, split string, weight bigint", "node bigint, comp bigint, split string", "comp bigint, root bigint")])
 
-    def save(self, path: str) -> None:
-        self.keys.write.mode("overwrite").parquet(f"{path}/keys")
-        self.comps.write.mode("overwrite").parquet(f"{path}/comps")
+    def save(self, path: str, batch: int) -> None:
+        """Append the last batch's rows; the renames are written beside those of earlier batches, which stay readable."""
+        for name, rows in zip(self._TABLES, self.added or (self.keys, self.sizes, self.nodes)):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+        self.renames.write.mode("overwrite").parquet(f"{path}/renames/batch={batch}")
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "Components":
-        return Components(spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/comps"))
+    def load(spark: SparkSession, path: str, batch: int) -> "Components":
+        """The state after ``batch``; files of a later batch that failed half-way are not seen."""
+        none = Components.empty(spark)
+        kept = [spark.read.schema(f"{x}, batch int").parquet(f"{path}/{name}").where(F.col("batch") <= batch).drop("batch") for name, x in zip(none._TABLES, [", ".join(f"{c} {k}" for c, k in t.dtypes) for t in (none.keys, none.sizes, none.nodes)])]
+        return Components(*kept, spark.read.parquet(f"{path}/renames/batch={batch}"))
+
+    def current(self, rows: DataFrame, salt_with: str) -> DataFrame:
+        """``rows`` with ``comp`` led to the living component."""
+        up = self.renames.select("comp", "root")
+        return salted_join(rows, up, ["comp"], "left", heavy_keys(rows, "comp"), F.col(salt_with)).withColumn("comp", F.coalesce("root", "comp")).drop("root")
 
 
 def key_hash(*parts):
     return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
 
 
-def attach(state: Components, nodes: DataFrame, ties: DataFrame, ws: Workspace, fresh: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(members (node, comp), keys (key, comp)) after a batch joined the state.
+def attach(state: Components, nodes: DataFrame, ties: DataFrame, ws: Workspace, fresh: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members (node, comp), new keys (key, comp), merged (comp, root)) after a batch joined the state.
 
     ``nodes`` is (node), ``ties`` (node, key).  A component is named by its smallest node, so nodes of later
-    batches should have larger numbers; if not, components are renamed and ``keys`` follows.
+    batches should have larger numbers; if not, the older component is merged into the newer name.
     """
     ties = ws.keep(ties.where("key is not null and node is not null").distinct(), "ties")
-    hubs = ties.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"))
-    hubs = ws.keep(hubs, "hubs")
+    hubs = ws.keep(ties.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")), "hubs")
     heavy = _heavy(hubs.select("key", "n"), "key")
     h = hubs.select("key", "hub")
     edges = salted_join(ties, h, ["key"], "inner", heavy, F.col("node"), ways=48).select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    known = None
     if not fresh:
-        old = state.keys.join(h, "key").select(F.col("hub").alias("u"), F.col("comp").alias("v"))
-        edges = edges.unionByName(old)
+        # of the state only the batch's own keys go on, and where they lead now
+        known = ws.keep(state.current(state.keys.join(h, "key"), "key").select("key", "hub", "comp"), "known")
+        edges = edges.unionByName(known.select(F.col("hub").alias("u"), F.col("comp").alias("v")))
     roots = ws.keep(contract(edges, ws), "roots")
     members = nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
-    moved = roots.select(F.col("node").alias("comp"), "root")
-    keys = h.join(roots.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("root", "hub").alias("comp"))
-    if not fresh:
-        kept = state.keys.join(moved, "comp", "left").select("key", F.coalesce("root", "comp").alias("comp"))
-        keys = kept.unionByName(keys).distinct()
-    return ws.keep(members, "members"), ws.keep(keys, "keys")
+    new = h if known is None else h.join(known.select("key"), "key", "left_anti")
+    keys = new.join(roots.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("root", "hub").alias("comp"))
+    if known is None:
+        merged = state.renames
+    else:
+        merged = known.select("comp").distinct().join(roots.withColumnRenamed("node", "comp"), "comp").where("comp <> root").select("comp", "root")
+    return ws.keep(members, "members"), ws.keep(keys, "keys"), ws.keep(merged, "merged")
 
 
 def fill_deficits(new: DataFrame, placed: dict[str, int], targets: dict[str, float], seed: int = 20260725, large: float = 0.001, buckets: int = 4096) -> DataFrame:
@@ -157,25 +178,45 @@ def fill_deficits(new: DataFrame, placed: dict[str, int], targets: dict[str, flo
 def advance(state: Components, nodes: DataFrame, ties: DataFrame, targets: dict[str, float], ws: Workspace, seed: int = 20260725) -> tuple[Components, DataFrame]:
     """One batch: (new state, (node, comp, split) of the batch's nodes).
 
-    A component tied to exactly one split keeps it; tied to several it is quarantined, and stays so, while the
-    records already placed keep what they were given; a new component fills a deficit.
+    A component tied to exactly one split keeps it; tied to several it is quarantined, and stays so: its new records
+    are held back, the older ones keep what they were given (``conflicts`` names them) and count there when the deficits
+    are filled.  A new component fills a deficit.  Records that were given a split before are not given another:
+    a batch should bring new ones.
     """
-    fresh = state.comps.limit(1).count() == 0
-    members, keys = attach(state, nodes, ties, ws, fresh)
+    fresh = state.keys.limit(1).count() == 0 and state.sizes.limit(1).count() == 0
+    members, keys, merged = attach(state, nodes, ties, ws, fresh)
+    # the small table of renames: earlier ones whose target was merged now are led on
+    onward = merged.select(F.col("comp").alias("root"), F.col("root").alias("next"))
+    renames = state.renames.join(onward, "root", "left").select("comp", F.coalesce("next", "root").alias("root")).unionByName(merged)
+    after = Components(state.keys, state.sizes, state.nodes, ws.keep(renames, "renames"))
+
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("weight"))
     if fresh:
         held = sizes.withColumn("split", F.lit(None).cast("string"))
+        placed: dict[str, int] = {}
     else:
-        roots = ws.spark.read.parquet(f"{ws.path}/roots").select(F.col("node").alias("comp"), "root")
-        old = state.comps.join(roots, "comp", "left").select(F.coalesce("root", "comp").alias("comp"), "split", "weight")
-        old = old.groupBy("comp").agg(F.min("split").alias("a"), F.max("split").alias("b"), F.sum("weight").alias("old"))
-        held = sizes.join(old, "comp", "full").select("comp", (F.coalesce("weight", F.lit(0)) + F.coalesce("old", F.lit(0))).alias("weight"), F.when(F.col("a") == F.col("b"), F.col("a")).when(F.col("a").isNotNull(), QUARANTINE).alias("split"))
+        old = after.current(state.sizes.groupBy("comp", "split").agg(F.sum("weight").alias("weight")), "split").groupBy("comp", "split").agg(F.sum("weight").alias("weight"))
+        old = ws.keep(old, "old")
+        placed = {r["split"]: r["w"] for r in old.where(F.col("split") != QUARANTINE).groupBy("split").agg(F.sum("weight").alias("w")).collect()}
+        status = old.groupBy("comp").agg(F.min("split").alias("a"), F.max("split").alias("b")).select("comp", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(QUARANTINE).alias("split"))
+        held = sizes.join(status, "comp", "left").select("comp", "weight", "split")
     held = ws.keep(held, "held")
-    placed = {r["split"]: r["w"] for r in held.where("split is not null").groupBy("split").agg(F.sum("weight").alias("w")).collect()}
-    placed.pop(QUARANTINE, None)
+    for r in held.where("split is not null").groupBy("split").agg(F.sum("weight").alias("w")).collect():
+        if r["split"] != QUARANTINE:
+            placed[r["split"]] = placed.get(r["split"], 0) + r["w"]
     filled = fill_deficits(held.where("split is null").select("comp", "weight"), placed, targets, seed)
-    comps = held.where("split is not null").select("comp", "split", "weight").unionByName(held.drop("split").join(filled, "comp").select("comp", "split", "weight"))
-    comps = ws.keep(comps, "comps")
-    heavy = [r[0] for r in comps.orderBy(F.desc("weight")).limit(50).where("weight >= 20000").select("comp").collect()]
-    placed_nodes = salted_join(members, comps.select("comp", "split"), ["comp"], "inner", heavy, F.col("node"))
-    return Components(keys, comps), placed_nodes.select("node", "comp", "split")
+    grown = held.where("split is not null").select("comp", "split", "weight").unionByName(held.drop("split").join(filled, "comp").select("comp", "split", "weight"))
+    grown = ws.keep(grown, "grown")
+    heavy = _heavy(grown.select("comp", F.col("weight").alias("n")), "comp")
+    given = salted_join(members, grown.select("comp", "split"), ["comp"], "inner", heavy, F.col("node")).select("node", "comp", "split")
+    given = ws.keep(given, "given")
+    new = Components(state.keys.unionByName(keys), state.sizes.unionByName(grown), state.nodes.unionByName(given), after.renames, (keys, grown, given))
+    return new, given
+
+
+def conflicts(state: Components) -> DataFrame:
+    """(node, comp, split): records already placed whose component now holds several splits: the leak a merge uncovered."""
+    sizes = state.current(state.sizes, "split").where(F.col("split") != QUARANTINE)
+    torn = sizes.groupBy("comp").agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b").select("comp")
+    placed = state.current(state.nodes.where(F.col("split") != QUARANTINE), "node")
+    return salted_join(placed, torn, ["comp"], "left_semi", heavy_keys(placed, "comp"), F.col("node")).select("node", "comp", "split")

@@ -65,7 +65,7 @@ def _member(df: DataFrame) -> DataFrame:
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     ws = Workspace(spark, "groups")
     nodes, ties = _p3_batch(table(spark, sf, "body_records"), table(spark, sf, "graph_claim_pilot_manifest"))
-    members, _ = grouped_splits.attach(grouped_splits.Components.empty(spark), nodes, ties, ws, fresh=True)
+    members, _, _ = grouped_splits.attach(grouped_splits.Components.empty(spark), nodes, ties, ws, fresh=True)
     sizes = ws.keep(members.where(F.col("comp") < PILOT).groupBy("comp").agg(F.count(F.lit(1)).alias("n")), "sizes")
     heavy = grouped_splits._heavy(sizes, "comp")
     m = salted_join(members, sizes.where("n > 1").select("comp"), ["comp"], "inner", heavy, F.col("node"))
@@ -98,17 +98,30 @@ def grouped_splits_all():
     return Window.partitionBy(F.lit(1))
 
 
-def p3_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """Two batches: records logged before the middle of the year, then all others; shares and quarantined records of each."""
+def _two_batches(spark: SparkSession, sf: str) -> tuple[grouped_splits.Components, DataFrame, DataFrame]:
+    """Two batches: records logged before the middle of the year, then all others."""
     b, p = table(spark, sf, "body_records"), table(spark, sf, "graph_claim_pilot_manifest")
-    late_b, late_p = F.coalesce(F.col("logged_at") >= F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(True)), F.coalesce(F.col("selected_at") >= F.lit("2025-07-01").cast("timestamp_ntz"), F.lit(True))
+    half = F.lit("2025-07-01").cast("timestamp_ntz")
+    late_b, late_p = F.coalesce(F.col("logged_at") >= half, F.lit(True)), F.coalesce(F.col("selected_at") >= half, F.lit(True))
     t = _targets(spark, sf)
     state, one = grouped_splits.advance(grouped_splits.Components.empty(spark), *_p3_batch(b.where(~late_b), p.where(~late_p)), t, Workspace(spark, "splits-a"))
-    _, two = grouped_splits.advance(state, *_p3_batch(b.where(late_b), p.where(late_p)), t, Workspace(spark, "splits-b"))
+    state, two = grouped_splits.advance(state, *_p3_batch(b.where(late_b), p.where(late_p)), t, Workspace(spark, "splits-b"))
+    return state, one, two
+
+
+def p3_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Records per split, quarantined ones included, of each of two batches."""
+    _, one, two = _two_batches(spark, sf)
     both = one.withColumn("batch", F.lit(1)).unionByName(two.withColumn("batch", F.lit(2)))
     return both.groupBy("batch", "split").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def p3_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the first batch whose group the second one tied to a group of another split."""
+    state, _, _ = _two_batches(spark, sf)
+    return _member(grouped_splits.conflicts(state)).select("member_table", "member_id", F.col("comp").alias("group_id"), "split")
+
+
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
     """A whole reply names the record's claims up to the last one."""
     ids = F.filter(F.transform("claims", lambda c: c["claim_id"]), lambda i: i.isNotNull())
@@ -205,7 +218,7 @@ def p10_texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_evidence, p1_rates, p3_found, p3_assignment, p3_shares, p3_incremental, p5_found, p5_rates, p5_limits,
+    p1_found, p1_evidence, p1_rates, p3_found, p3_assignment, p3_shares, p3_incremental, p3_conflicts, p5_found, p5_rates, p5_limits,
     p6_found, p6_records, p7_found, p7_report, p8_windows, p8_summary, p9_mixture, p9_shares, p9_exact_mixture, p9_exact_shares, p10_found, p10_classes, p10_texts,
 )}
 
@@ -216,7 +229,20 @@ WITH c AS (SELECT record_id, coalesce('=' || regexp_replace(lower(normalised_bod
 s AS (SELECT b, i, e, min(record_id) keep_id, count(*) copies FROM c GROUP BY ALL)
 """
 
+_P3 = r"""
+WITH RECURSIVE tie AS (SELECT record_id n, 'i' || unnest(ids) k FROM body_records UNION SELECT record_id, 'b' || regexp_replace(lower(normalised_body), '[^\p{L}\p{N}]', '', 'g') FROM body_records
+  UNION SELECT pilot_id + 1152921504606846976, 'i' || question_id FROM graph_claim_pilot_manifest),
+t AS (SELECT DISTINCT n, k FROM tie WHERE k IS NOT NULL AND length(k) > 1), h AS (SELECT k, min(n) m FROM t GROUP BY 1),
+e AS (SELECT DISTINCT t.n u, h.m v FROM t JOIN h USING (k) WHERE t.n <> h.m), adj AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT u a, v b FROM adj UNION SELECT r.a, adj.v FROM r JOIN adj ON adj.u = r.b),
+c AS (SELECT a n, least(a, min(b)) comp FROM r GROUP BY a),
+keep AS (SELECT comp FROM c GROUP BY 1 HAVING count(*) > 1 AND min(n) < 1152921504606846976)
+SELECT comp AS group_id, CASE WHEN n < 1152921504606846976 THEN 'body_records' ELSE 'graph_claim_pilot_manifest' END AS member_table, CASE WHEN n < 1152921504606846976 THEN n ELSE n - 1152921504606846976 END AS member_id
+FROM c JOIN keep USING (comp)
+"""
+
 ORACLE = {
+    "p3_found": _P3,
     "p6_found": _P6 + "SELECT s.keep_id, c.record_id AS copy_id FROM c JOIN s ON c.b = s.b AND c.i = s.i AND c.e = s.e WHERE c.record_id <> s.keep_id",
     "p6_records": _P6 + "SELECT keep_id AS record_id, copies FROM s",
 }

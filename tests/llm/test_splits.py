@@ -49,21 +49,55 @@ def test_incremental_keeps_fills_and_quarantines(spark, tmp_path):
     assert len(one) == 400 and all(one[i][1] == one[i ^ 1][1] for i in range(400))
     n = {s: sum(v[1] == s for v in one.values()) for s in TARGETS}
     assert all(abs(n[s] / 400 - t) < 0.03 for s, t in TARGETS.items())
-    state.save(str(tmp_path / "state"))
-    state = G.Components.load(spark, str(tmp_path / "state"))
+    path = str(tmp_path / "state")
+    state.save(path, 1)
+    state = G.Components.load(spark, path, 1)
     a = next(i for i in range(400) if one[i][1] == "train")
     b = next(i for i in range(400) if one[i][1] == "test")
     second = [(1000, [f"k{a // 2}"]), (1001, [f"k{a // 2}", f"k{b // 2}"]), (1002, ["new"]), (1003, ["new"]), (1004, [])]
     second += [(1100 + i, [f"n{r.randrange(60)}"]) for i in range(200)]
-    _, placed = G.advance(state, *batch(spark, second), TARGETS, Workspace(spark, "two"))
+    later, placed = G.advance(state, *batch(spark, second), TARGETS, Workspace(spark, "two"))
     two = {x.node: (x.comp, x.split) for x in placed.collect()}
     assert two[1001][1] == G.QUARANTINE and two[1000][1] == G.QUARANTINE  # both are tied to the conflicting merge
     assert two[1002] == (1002, two[1003][1]) and two[1004][1] in TARGETS and len(two) == 205
+    want = {(i, one[i][1]) for x in (a, b) for i in (x, x ^ 1)}
+    assert {(x.node, x.split) for x in G.conflicts(later).collect()} == want and G.conflicts(state).count() == 0
+    # a delta, read back with the first batch, says the same; the pair keeps being quarantined
+    later.save(path, 2)
+    assert spark.read.parquet(f"{path}/nodes/batch=2").count() == 205
+    again = G.Components.load(spark, path, 2)
+    assert {(x.node, x.split) for x in G.conflicts(again).collect()} == want
+    _, third = G.advance(again, *batch(spark, [(3000, [f"k{b // 2}"]), (3001, ["new"])]), TARGETS, Workspace(spark, "four"))
+    three = {x.node: (x.comp, x.split) for x in third.collect()}
+    assert three[3000] == (min(a, a ^ 1, b, b ^ 1), G.QUARANTINE) and three[3001] == two[1002]
     c = next(i for i in range(400) if one[i][1] == "dev" and i not in (a, b))
     _, placed = G.advance(state, *batch(spark, [(2000, [f"k{c // 2}"])]), TARGETS, Workspace(spark, "three"))
     assert placed.first().split == "dev"
 
 
+def test_quarantined_records_count_where_they_sit(spark):
+    """All of dev and test are torn by the second batch; what is new must still fill up train only."""
+    state, placed = G.advance(G.Components.empty(spark), *batch(spark, [(i, [f"k{i}"]) for i in range(100)]), {"train": 0.5, "dev": 0.5}, Workspace(spark, "one"))
+    one = {x.node: x.split for x in placed.collect()}
+    dev, train = [i for i in one if one[i] == "dev"], [i for i in one if one[i] == "train"]
+    tear = [(1000, [f"k{i}" for i in dev] + [f"k{train[0]}"])]
+    _, placed = G.advance(state, *batch(spark, tear + [(2000 + i, [f"n{i}"]) for i in range(100)]), {"train": 0.5, "dev": 0.5}, Workspace(spark, "two"))
+    new = [x.split for x in placed.collect() if x.node >= 2000]
+    assert abs(new.count("dev") + len(dev) - 100) < 8
+
+
+def test_hot_key_and_hot_component(spark):
+    """A key in a third of the rows, and then a batch that meets it again."""
+    nodes = spark.range(60_000).select(F.col("id").alias("node"))
+    key = F.when(F.col("node") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("node") / 2).cast("long").cast("string")))
+    ties = nodes.select("node", G.key_hash(key).alias("key")).unionByName(nodes.where("node % 6 = 0").select("node", G.key_hash(F.concat(F.lit("own"), "node")).alias("key")))
+    state, placed = G.advance(G.Components.empty(spark), nodes, ties, TARGETS, Workspace(spark, "one"))
+    assert placed.where("comp = 0").count() == 20_000 and placed.where("comp = 0").select("split").distinct().count() == 1
+    late = spark.range(100_000, 100_500).select(F.col("id").alias("node"))
+    _, placed = G.advance(state, late, late.select("node", G.key_hash(F.concat(F.lit("own"), ((F.col("node") - 100_000) * 6).cast("string"))).alias("key")), TARGETS, Workspace(spark, "two"))
+    assert placed.where("comp = 0").count() == 500
+
+
 def test_large_groups_and_empty(spark):
     new = spark.createDataFrame([(0, 500)] + [(i, 1) for i in range(1, 1001)], "comp bigint, weight bigint")
     got = G.fill_deficits(new, {}, TARGETS).join(new, "comp").groupBy("split").agg(F.sum("weight").alias("w")).collect()
