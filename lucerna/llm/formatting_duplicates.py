@@ -53,7 +53,8 @@ def encode(records: DataFrame, key: str, columns: dict[str, Callable[[Column], C
 
     The dictionary of a column holds its distinct raw values with their counts (combined map-side, so a
     value in a third of the rows costs one row per task).  Values that the counts show to hold ``share``
-    of the rows, at most ``1/share`` for each column, are salted in the join back.
+    of the rows, at most ``1/share`` for each column, are salted in the join back, and so are tokens that very many
+    different raw values share.
     """
     out = records.select(key, *[F.col(c).alias(f"r{i}") for i, c in enumerate(columns)])
     raws = []
@@ -66,9 +67,13 @@ def encode(records: DataFrame, key: str, columns: dict[str, Callable[[Column], C
     heavy: dict[int, list] = {}
     for r in raw.where((F.col("rows") >= max(20_000, share * total))).select("col", "_m").collect():
         heavy.setdefault(r["col"], []).append(r["_m"])
-    tokens = raw.select("col", F.explode("tokens").alias("token")).distinct().select("col", "token", F.monotonically_increasing_id().alias("n"))
+    exploded = raw.select("col", "_m", F.explode("tokens").alias("token"))
+    tokens = exploded.groupBy("col", "token").agg(F.count(F.lit(1)).alias("rows")).select("col", "token", "rows", F.monotonically_increasing_id().alias("n"))
     dictionary = ws.keep(tokens, "dictionary")  # written, so that every reader sees the same integers
-    coded = raw.select("col", "_m", F.explode("tokens").alias("token")).join(dictionary, ["col", "token"]).groupBy("col", "_m").agg(F.collect_set("n").alias("ns"))
+    seen = dictionary.agg(F.sum("rows")).first()[0] or 0
+    hot = [r[0] for r in dictionary.where(F.col("rows") >= max(20_000, share * seen)).select("token").collect()]  # at most 1/share
+    numbered = salted_join(exploded, dictionary.select("col", "token", "n"), ["col", "token"], "inner", hot, F.col("_m"), heavy_col="token")
+    coded = numbered.groupBy("col", "_m").agg(F.collect_set("n").alias("ns"))
     coded = ws.keep(coded, "coded")
     out = out.select(key, *[_digest(F.col(f"r{i}")).alias(f"m{i}") for i in range(len(columns))])  # no text from here on
     for i in range(len(columns)):

@@ -136,6 +136,13 @@ def test_hot_value_is_salted(spark):
     assert [(r.keep_id, r["count"]) for r in got] == [(1, 20_000)]
 
 
+def test_hot_token_is_salted(spark):
+    """One id in all lists, though no two lists are equal."""
+    df = spark.range(25_000).select(F.col("id").alias("k"), F.lit("x").alias("b"), F.array(F.lit("hot"), F.concat(F.lit("i"), (F.col("id") % 24_990).cast("string"))).alias("i"), F.lit("{}").alias("e"))
+    got = {(r.k, r.keep_id) for r in D.collapse(df, "k", COLS).where("k <> keep_id").collect()}
+    assert got == {(24_990 + i, i) for i in range(10)}
+
+
 # P7
 
 
