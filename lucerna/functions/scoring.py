@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import score_form
+from .text import GREEK, score_form
 
 # Generic words dropped in the lenient comparison.
 GENERIC = "cancer disease disorder syndrome carcinoma tumor tumour protein gene mutation mutations"
@@ -28,42 +28,59 @@ def _decomposed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")
 
 
-def normal_form(c: Column) -> Column:
-    """only text with characters beyond ASCII leaves the JVM."""
+def decomposed(c: Column) -> Column:
+    """NFKD; only text with characters beyond ASCII leaves the JVM."""
     plain = c.rlike(r"\A[\x00-\x7f]*\z")
-    return score_form(F.when(plain, c).otherwise(_decomposed(F.when(~plain, c))))
+    return F.when(plain, c).otherwise(_decomposed(F.when(~plain, c)))
+
+
+def normal_form(c: Column) -> Column:
+    """the scoring form of a text as it was written."""
+    return score_form(decomposed(c))
+
+
+_BORDER = re.compile(r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])")
+_ARTICLE = re.compile(r"\b(?:a|an|the)\b")
+
+
+def normal_form_of(text: str) -> str:
+    """F4 of one text, as ``normal_form`` gives it for a column."""
+    t = unicodedata.normalize("NFKD", text)
+    for letter, name in GREEK.items():
+        t = t.replace(letter, f" {name} ")
+    t = re.sub("[^a-z0-9]+", " ", _BORDER.sub(" ", t.lower()))
+    return " ".join(_ARTICLE.sub(" ", t).split())
+
+
+def _literal(text: str) -> list[str] | None:
+    if not (text.startswith("[") and text.endswith("]")):
+        return None
+    try:
+        v = ast.literal_eval(text)
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return None
+    return [str(x) for x in v] if isinstance(v, (list, tuple)) else None
 
 
 def items_of(text: str | None) -> list[str]:
-    """the items of a list answer: a literal list, else by semicolons and lines, else by numbering, else by
-    commas if it is short, else the whole; quotes stripped, repeats by normal form and bare articles dropped."""
-    if text is None or not text.strip():
-        return []
-    t = text.strip()
-    parts: list[str] | None = None
-    if t[0] in "[(" and t[-1] in "])":
-        try:
-            v = ast.literal_eval(t)
-            parts = [str(x) for x in v] if isinstance(v, (list, tuple)) else None
-        except (ValueError, SyntaxError, MemoryError, RecursionError):
-            parts = None
+    """the items of a list answer: a bracketed literal, else by semicolons and lines, else by numbers, else by commas
+    if it is short, else the whole; quotes and brackets around an item and repeats by normal form are dropped."""
+    t = (text or "").strip()
+    parts = _literal(t)
     if parts is None:
-        if re.search(r"[;\n]", t):
-            parts = re.split(r"[;\n]+", t)
-        elif len(re.findall(r"(?:^|\s)\d+[.)]\s", t)) > 1:
-            parts = re.split(r"(?:^|\s)\d+[.)]\s+", t)
-        elif "," in t and len(t.split()) < 40:
-            parts = t.split(",")
+        t = re.sub(r"^[-*•]\s*", "", t)
+        for pattern, short in ((r"[;\n]", False), (r"\b\d+[.)]\s+", False), (",", True)):
+            if re.search(pattern, t) and not (short and len(t.split()) >= 40):
+                parts = re.split(pattern, t)
+                break
         else:
             parts = [t]
-    out, seen = [], set()
+    kept: dict[str, str] = {}
     for p in parts:
-        p = re.sub(r"^\s*(?:[-*•]|\d+[.)])\s+", "", p).strip().strip("\"'").strip()
-        form = re.sub(r"\s+", " ", re.sub(r"\b(?:a|an|the)\b", " ", re.sub(r"[^a-z0-9]+", " ", unicodedata.normalize("NFKD", p).lower()))).strip()
-        if form and form not in seen:
-            seen.add(form)
-            out.append(p)
-    return out
+        item = p.strip().strip("[]'\" ")
+        if form := normal_form_of(item):
+            kept.setdefault(form, item)
+    return list(kept.values())
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -199,3 +216,87 @@ def repaired_json(text: str | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def repair_json(s: pd.Series) -> pd.Series:
     return s.map(repaired_json)
+
+
+def gold_values(answer: Column) -> Column:
+    """a VARIANT answer as one flat list of texts: lists of lists are joined, a text alone is a list of one, null and
+    empty text give none."""
+    text = F.try_variant_get(answer, "$", "string")
+    nested = F.flatten(F.transform(gold_groups(answer), lambda g: g))
+    alone = F.when(F.coalesce(text, F.lit("")) != "", F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.schema_of_variant(answer).startswith("ARRAY"), nested).otherwise(alone)
+
+
+def gold_groups(answer: Column) -> Column:
+    """a VARIANT list answer as groups of synonyms: an element that is no list is a group of one; no list gives none."""
+    items = F.try_variant_get(answer, "$", "array<variant>")
+    group = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<string>"), F.array(F.try_variant_get(x, "$", "string")))
+    return F.coalesce(F.transform(items, group), F.expr("cast(array() as array<array<string>>)"))
+
+
+def gold_for(kind: Column, answer: Column) -> Column:
+    """gold as ``scored`` takes it: a list question's groups of synonyms, for other types each value as a group."""
+    return F.when(kind == "list", gold_groups(answer)).otherwise(F.transform(gold_values(answer), lambda x: F.array(x)))
+
+
+_SCORE = "primary_score double, strict_score double"
+
+
+def _alias_set(text: str, generic: frozenset[str]) -> set[str]:
+    raw = [text, *(x.strip() for pair in re.findall(r"([^()]*)\(([^()]*)\)", text) for x in pair if x.strip())]
+    forms = {normal_form_of(x) for x in raw}
+    if generic:
+        forms |= {" ".join(w for w in f.split() if w not in generic) for f in forms}
+    return forms - {""}
+
+
+def _same(a: set[str], b: set[str], lenient: bool) -> bool:
+    return bool(a & b) or (lenient and any(token_f1(x.split(), y.split()) >= 0.85 for x in a for y in b))
+
+
+def score_of(kind: str | None, answer: str | None, exact: list[list[str]], ideal: list[str]) -> tuple[float, float] | None:
+    """(primary, strict) score of an answer by question type; None for a type without a rule.
+
+    factoid: reciprocal place of the first item that matches any gold value; list: F1 of the best one-to-one matching
+    of items to gold groups; yesno: the word matches; summary: best ROUGE-L.  Primary is lenient where the two differ.
+    """
+    answer = answer or ""
+    if kind in ("factoid", "list"):
+        items, out = items_of(answer), []
+        for generic in (frozenset(GENERIC.split()), frozenset()):
+            mine = [_alias_set(x, generic) for x in items]
+            gold = [[_alias_set(x, generic) for x in group] for group in exact]
+            hits = [[any(_same(m, g, bool(generic)) for g in group) for group in gold] for m in mine]
+            if kind == "list":
+                out.append(matched_f1(hits))
+            else:
+                out.append(next((1.0 / (i + 1) for i, row in enumerate(hits) if any(row)), 0.0))
+        return out[0], out[1]
+    if kind == "yesno":
+        said = normal_form_of(answer).split()
+        word = "yes" if "yes" in said else "no" if "no" in said else None
+        score = float(word is not None and word == normal_form_of(" ".join(x for g in exact for x in g)))
+        return score, score
+    if kind == "summary":
+        a, best = normal_form_of(answer).split(), 0.0
+        for r in (normal_form_of(x).split() for x in ideal):
+            n = lcs_length(a, r)
+            best = max(best, 2 * n / (len(a) + len(r))) if n else best
+        return best, best
+    return None
+
+
+def scored(df: DataFrame, kind: str, answer: str, exact: str, ideal: str) -> DataFrame:
+    """``df`` with primary_score and strict_score; null where the type has no rule.
+
+    ``exact`` is an array of groups of synonyms (see ``gold_for``), ``ideal`` an array of reference texts.
+    """
+
+    @F.pandas_udf(_SCORE)
+    def score(k: pd.Series, a: pd.Series, e: pd.Series, i: pd.Series) -> pd.DataFrame:
+        lists = lambda x: [list(y) for y in x] if x is not None else []
+        rows = [score_of(kk, aa, lists(ee), list(ii) if ii is not None else []) or (None, None) for kk, aa, ee, ii in zip(k, a, e, i)]
+        return pd.DataFrame(rows, columns=["primary_score", "strict_score"]).astype("float64")
+
+    s = df.withColumn("_score", score(F.col(kind), F.col(answer), F.col(exact), F.col(ideal)))
+    return s.withColumn("primary_score", F.nanvl("_score.primary_score", F.lit(None).cast("double"))).withColumn("strict_score", F.nanvl("_score.strict_score", F.lit(None).cast("double"))).drop("_score")

@@ -6,6 +6,8 @@ Null in, null out, unless stated.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,14 +18,43 @@ RELATION_CUES = (
 )
 COMPARISON_CUES = r"compare difference versus vs\.? better worse higher lower similar different most least"
 CLAUSE_CUES = "and or while whereas however respectively"
-EXPLANATION_STARTS = r"how|why|describe|explain|what (?:is|are) the mechanisms?"
-
-# Weights of the graph-suitability lexicon (substring matches).
-GRAPH_LEXICON = {
-    4: "mechanism pathway interact interaction inhibit activate relationship",
-    3: "target receptor gene protein mutation mutated associated association cause causes regulate linked biomarker mediated",
-    2: "role effect affect derived responsible",
+EXPLANATION_STARTS = r"how|why|describe|explain|what are the mechanisms?"
+# Where the risk score of a question starts, by its type; other types start at 1.
+RISK_BASE = {"yesno": 0, "factoid": 0, "list": 1, "summary": 2}
+
+# Weights of the graph-suitability terms (substring matches).
+GRAPH_TERMS = {
+    "mechanism": 4,
+    "pathway": 4,
+    "interact": 4,
+    "interaction": 4,
+    "inhibit": 4,
+    "activate": 4,
+    "relationship": 4,
+    "target": 3,
+    "receptor": 3,
+    "gene": 3,
+    "protein": 3,
+    "mutation": 3,
+    "mutated": 3,
+    "associated": 3,
+    "association": 3,
+    "cause": 3,
+    "causes": 3,
+    "regulate": 3,
+    "linked": 3,
+    "biomarker": 3,
+    "mediated": 3,
+    "role": 2,
+    "effect": 2,
+    "affect": 2,
+    "derived": 2,
+    "responsible": 2,
 }
+# The bonuses of the graph-suitability score.
+GRAPH_PHRASES, PHRASE_BONUS = ("how does", "what is the role"), 4
+WHICH_TERMS, WHICH_BONUS = ("target", "gene", "protein", "receptor", "pathway"), 2
+LONG_QUESTION, LENGTH_BONUS = 18, 1
 
 # Greek letters spelled out by the scoring normaliser.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "κ": "kappa"}
@@ -62,11 +93,31 @@ def starts_explaining(c: Column) -> Column:
     return F.coalesce(c.rlike(rf"(?i)^\s*(?:{EXPLANATION_STARTS})\b"), F.lit(False))
 
 
-def lexicon_score(c: Column, lexicon: dict[int, str] | None = None) -> Column:
-    """Sum of weights of the terms that occur as substrings of the alnum form, once each."""
+def risk_score(kind: Column, question: Column) -> Column:
+    """The start of the question's type plus one for each cue: relation, comparison, explanation, long with clauses."""
+    base = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in RISK_BASE.items() for x in kv]), F.lower(F.trim(F.coalesce(kind, F.lit("missing"))))), F.lit(1))
+    cues = [has_cue(question, RELATION_CUES), has_cue(question, COMPARISON_CUES), starts_explaining(question), has_cue(question, CLAUSE_CUES) & (word_count(question) >= 12)]
+    return reduce(lambda a, b: a + b, [c.cast("int") for c in cues], base)
+
+
+def risk_label(score: Column) -> Column:
+    """Up to 1 low, up to 3 medium, else high."""
+    return F.when(score <= 1, "low").when(score <= 3, "medium").when(score.isNotNull(), "high")
+
+
+def graph_score(c: Column, terms: dict[str, int] | None = None) -> Column:
+    """Weights of the terms that occur as substrings of the alnum form, once each, and the three bonuses; null counts 0."""
     n = alnum(c)
-    parts = [F.when(F.contains(n, F.lit(t)), w).otherwise(0) for w, ts in (lexicon or GRAPH_LEXICON).items() for t in ts.split()]
-    return F.coalesce(sum(parts[1:], parts[0]), F.lit(0))
+
+    def holds(words: tuple[str, ...]) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(n, F.lit(w)) for w in words])
+
+    words = F.split(n, " ")
+    parts = [F.when(F.contains(n, F.lit(t)), w).otherwise(0) for t, w in (terms or GRAPH_TERMS).items()]
+    parts.append(F.when(holds(GRAPH_PHRASES), PHRASE_BONUS).otherwise(0))
+    parts.append(F.when(F.array_contains(words, "which") & holds(WHICH_TERMS), WHICH_BONUS).otherwise(0))
+    parts.append(F.when(F.size(words) >= LONG_QUESTION, LENGTH_BONUS).otherwise(0))
+    return F.coalesce(reduce(lambda a, b: a + b, parts), F.lit(0))
 
 
 def bucket(c: Column, edges: list[float], labels: list[str]) -> Column:
@@ -78,15 +129,16 @@ def bucket(c: Column, edges: list[float], labels: list[str]) -> Column:
 
 
 def spell_greek(c: Column) -> Column:
+    """The lower-case letters of GREEK by name, set off by blanks."""
     out = c
     for k, v in GREEK.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
+        out = F.replace(out, F.lit(k), F.lit(f" {v} "))
     return out
 
 
 def score_form(c: Column) -> Column:
     """F4 for text that is decomposed already: Greek spelled, letter/digit borders split, articles dropped."""
-    t = F.lower(spell_greek(F.lower(c)))
+    t = F.lower(spell_greek(c))
     t = F.regexp_replace(t, r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ")
     t = F.regexp_replace(t, "[^a-z0-9]+", " ")
     t = F.regexp_replace(t, r"\b(?:a|an|the)\b", " ")
@@ -178,3 +230,9 @@ def edges_text(edges: Column, none: str = "NO_SUPPORTED_GRAPH_EDGE") -> Column:
 def output_budget(n: Column, base: int, per: int, most: int, least: int = 0) -> Column:
     """base + per x n, held between least and most."""
     return F.least(F.lit(most), F.greatest(F.lit(least), F.lit(base) + F.lit(per) * n))
+
+
+def enum_order(c: Column, values: list[str]) -> Column:
+    """T4: the place of a value in a fixed list, from 1; values outside come last."""
+    place = F.array_position(F.array(*[F.lit(v) for v in values]), c)
+    return F.coalesce(F.nullif(place, F.lit(0).cast("long")), F.lit(len(values) + 1).cast("long")).cast("int")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,24 +16,31 @@ from pyspark.sql.window import Window
 RESAMPLES, SEED, LOWER, UPPER = 10_000, 20260726, 0.025, 0.975
 
 
-def hashed_means(df: DataFrame, key: str, value: str, resamples: int = 1000, seed: int = SEED, stratum: str | None = None) -> DataFrame:
-    """(b, mean): means of Poisson-free hash resamples: draw i of resample b takes row ``hash(b, i, seed) mod n``.
+#: Weight 0, 1, 2 ... of a draw of 16 bits: the bounds of a Poisson distribution of mean 1.
+POISSON = tuple(round(65536 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(8))
+_DRAWS = 8  # draws of 16 bits in one digest
 
-    Rows are numbered by key within the stratum.  With strata the mean is that of the strata's means.  Draws are
-    counted per (b, row) before the values are joined, so what is shuffled is at most one row per pair.
+
+def poisson_means(df: DataFrame, key: str, value: str, resamples: int = RESAMPLES, seed: int = SEED, stratum: str | None = None) -> DataFrame:
+    """(b, mean): resample means in which every row has a Poisson weight from a hash of its key.
+
+    Each row draws its own weights, so rows need no numbers and no order; sums are combined in the map tasks and one row
+    per resample and stratum is shuffled.  With strata the mean is that of the strata's means.  Null values do not
+    count; a resample that draws no row of a stratum leaves the stratum out.
     """
     s = F.col(stratum) if stratum else F.lit("all")
     v = df.where(F.col(value).isNotNull()).select(s.alias("s"), F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"))
-    v = v.withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("k")) - 1)
-    n = v.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # one row per stratum, times the resamples; spread before the draws are made
-    each = n.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(parts, "s", "b")
-    draws = each.select("s", "n", "b", F.explode(F.expr("sequence(0L, n - 1)")).alias("d"))
-    pos = F.pmod(F.conv(F.substr(F.md5(F.concat_ws("|", F.col("b"), F.col("d"), F.lit(seed), F.col("s"))), F.lit(1), F.lit(15)), 16, 10).cast("long"), F.col("n"))
-    times = draws.groupBy("s", "b", pos.alias("i")).agg(F.count(F.lit(1)).alias("c"))
-    per = times.join(v, ["s", "i"]).groupBy("s", "b").agg((F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("m"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    v = v.repartition(parts, "k")  # the work is in the draws: a small table is spread before they are made
+    each = v.select("s", "k", "v", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // _DRAWS) - 1))).alias("c"))
+    each = each.withColumn("h", F.md5(F.concat_ws("|", "c", "k", F.lit(seed))))
+    long = lambda at, n: F.conv(F.substr("h", F.lit(at), F.lit(n)), 16, 10).cast("long")
+    each = each.select("s", "v", "c", long(1, 12).alias("h0"), long(13, 12).alias("h1"), long(25, 8).alias("h2"))
+    cut = [(h, shift) for h, n in (("h0", 3), ("h1", 3), ("h2", 2)) for shift in range(16 * (n - 1), -1, -16)]  # hexadecimal digits in fours, left to right
+    bits = F.array(*[F.struct(F.lit(j).alias("j"), F.shiftright(h, shift).bitwiseAND(0xFFFF).cast("int").alias("u")) for j, (h, shift) in enumerate(cut)])
+    d = each.select("s", "v", "c", F.explode(bits).alias("d")).select("s", "v", (F.col("c") * _DRAWS + F.col("d.j")).alias("b"), F.col("d.u").alias("u"))
+    d = d.withColumn("w", reduce(lambda x, y: x + y, [(F.col("u") >= t).cast("int") for t in POISSON])).where(f"w > 0 and b < {resamples}")
+    per = d.groupBy("s", "b").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
     return per.groupBy("b").agg(F.round(F.avg("m"), 10).alias("mean"))
 
 

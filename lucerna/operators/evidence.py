@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .skew import heavy_keys, salted_join
+from .validate import require
+
 
 def evidence_packets(df: DataFrame, key: str, ids: str, corpus: DataFrame, ckey: str, text: str, n: int = 5) -> DataFrame:
     """(key, packet, n_missing): the first ``n`` distinct listed ids that exist, numbered E1.. without gaps.
@@ -14,7 +17,7 @@ def evidence_packets(df: DataFrame, key: str, ids: str, corpus: DataFrame, ckey:
     """
     p = df.select(F.col(key).alias("k"), F.posexplode(F.array_distinct(F.col(ids))).alias("pos", "sid")).where("sid is not null")
     c = corpus.where(F.col(ckey).isNotNull()).groupBy(F.col(ckey).alias("sid")).agg(F.min(text).alias("text"), F.lit(True).alias("known"))
-    j = p.join(c, "sid", "left")
+    j = salted_join(p, c, ["sid"], "left", heavy_keys(p, "sid"), F.col("k"))  # popular snippets are spread
     found = j.where("known").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("pos"))).where(F.col("r") <= n)
     packet = F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit("E"), F.col("r")).alias("evidence_id"), F.col("sid").alias("snippet_id"), "text")))
     lost = j.groupBy("k").agg(F.count_if(F.col("known").isNull()).alias("n_missing"))
@@ -30,9 +33,45 @@ def verified_claims(claims: DataFrame, checks: DataFrame, on: list[str], statuse
 
 
 def renumbered_claims(claims: Column) -> Column:
-    """Claims with text, renumbered C1..; empty list for null."""
+    """Claims with text, renumbered C1.., importance critical or else supporting; empty list for null."""
     kept = F.filter(claims, lambda c: F.trim(F.coalesce(c["text"], F.lit(""))) != "")
-    return F.coalesce(F.transform(kept, lambda c, i: F.struct(F.concat(F.lit("C"), (i + 1).cast("string")).alias("claim_id"), F.trim(c["text"]).alias("text"))), F.expr("cast(array() as array<struct<claim_id:string,text:string>>)"))
+    importance = lambda c: F.when(F.lower(c["importance"]) == "critical", "critical").otherwise("supporting").alias("importance")
+    one = lambda c, i: F.struct(F.concat(F.lit("C"), (i + 1).cast("string")).alias("claim_id"), F.trim(c["text"]).alias("text"), importance(c))
+    return F.coalesce(F.transform(kept, one), F.expr("cast(array() as array<struct<claim_id:string,text:string,importance:string>>)"))
+
+
+def claim_links(ids: Column, allowed: Column, variant: Column | None = None) -> Column:
+    """P20: the sorted distinct ids of a claim that are allowed; a claim of the variant ``text_only`` has no graph edges."""
+    kept = F.array_sort(F.array_distinct(F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.array_contains(allowed, x))))
+    return kept if variant is None else F.when(variant == "text_only", F.array().cast("array<string>")).otherwise(kept)
+
+
+def answer_complete(claims: Column, answer: Column) -> Column:
+    """An answer with text whose claims all have an id and a text, no id twice."""
+    ids = F.transform(claims, lambda c: F.concat_ws("/", c["variant"], c["claim_id"]))
+    filled = F.forall(claims, lambda c: (F.trim(F.coalesce(c["text"], F.lit(""))) != "") & c["claim_id"].isNotNull())
+    return F.coalesce((F.trim(answer) != "") & (F.size(claims) > 0) & filled & (F.size(F.array_distinct(ids)) == F.size(ids)), F.lit(False))
+
+
+def verification_complete(wanted: Column, given: Column) -> Column:
+    """The verdicts name exactly the claims asked about."""
+    return F.coalesce((F.size(F.array_except(wanted, given)) == 0) & (F.size(F.array_except(given, wanted)) == 0) & (F.size(given) > 0), F.lit(False))
+
+
+def released_with_unsupported(results: DataFrame, verdicts: DataFrame, key: str, released: Column, status: str, good: str) -> DataFrame:
+    """One row: results, released ones, and released ones with any verdict other than ``good``; no list is collected."""
+    bad = verdicts.groupBy(key).agg(F.max(F.coalesce(F.col(status) != good, F.lit(True))).alias("_bad"))
+    r = results.select(key, F.coalesce(released, F.lit(False)).alias("_released")).join(bad, key, "left")
+    return r.agg(F.count(F.lit(1)).alias("n"), F.count_if("_released").alias("n_released"), F.count_if(F.col("_released") & F.coalesce("_bad", F.lit(False))).alias("n_released_unsupported"))
+
+
+def strict_evidence(df: DataFrame, key: str, ids: str, corpus: DataFrame, ckey: str, text: str, n: int = 5) -> DataFrame:
+    """(key, evidence_id, snippet_id, text) for rows that list exactly ``n`` different ids; reading raises if an id is unknown."""
+    p = df.where(F.size(F.array_distinct(F.col(ids))) == n).select(F.col(key).alias("k"), F.posexplode(ids).alias("pos", "sid"))
+    c = corpus.where(F.col(ckey).isNotNull()).groupBy(F.col(ckey).alias("sid")).agg(F.min(text).alias("text"), F.lit(True).alias("known"))
+    j = salted_join(p, c, ["sid"], "left", heavy_keys(p, "sid"), F.col("k"))
+    j = require(j, F.col("known"), "an evidence id is in no row of the corpus")
+    return j.select(F.col("k").alias(key), F.concat(F.lit("E"), F.col("pos") + 1).alias("evidence_id"), F.col("sid").alias("snippet_id"), "text")
 
 
 def issue_codes(rules: dict[str, Column]) -> Column:

@@ -19,10 +19,15 @@ def job_id(sig: Column, prefix: str) -> Column:
 
 
 def dedup_jobs(arms: DataFrame, sig: str, arm: str, condition: str) -> DataFrame:
-    """One job per signature: number of arms, first arm, its conditions (a small set), in the order of first arms."""
+    """One job per signature: number of arms, first arm, its conditions (a small set); ``job_arms`` links the arms."""
     return arms.groupBy(sig).agg(F.count_distinct(arm).alias("n_arms"), F.min(arm).alias("first_arm"), F.array_sort(F.collect_set(condition)).alias("conditions"))
 
 
+def job_arms(arms: DataFrame, sig: str, arm: str) -> DataFrame:
+    """(signature, arm): every arm with its job, once each."""
+    return arms.select(sig, arm).distinct()
+
+
 def batch_plan(jobs: DataFrame, order: str, size: int = 6) -> DataFrame:
     """``job_order`` from 1 in the total order of ``order`` and ``batch_index`` = ceil(job_order/size).
 
@@ -61,5 +66,12 @@ def reuse(wanted: DataFrame, cache: DataFrame, key: str, value: str) -> DataFram
 
 
 def request_groups(rows: DataFrame, by: list[str], item: str) -> DataFrame:
-    """Rows that share a request: how many items, first and last."""
+    """Rows that share a request: how many items, first and last; ``request_items`` keeps the items."""
     return rows.groupBy(*by).agg(F.count(item).alias("n_items"), F.min(item).alias("first_item"), F.max(item).alias("last_item"))
+
+
+def request_items(rows: DataFrame, by: list[str], item: str, size: int = 20) -> DataFrame:
+    """(by, item, place, part): every item with its place in its request; requests of more than ``size`` items are
+    sent in parts, so no request grows with the data."""
+    x = rows.select(*by, item).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(item)))
+    return x.withColumn("part", F.ceil(F.col("place") / F.lit(size)))

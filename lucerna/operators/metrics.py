@@ -65,15 +65,17 @@ def averaged_f1(classes: DataFrame) -> DataFrame:
 
 
 def agreement(df: DataFrame, a: str, b: str, labels: list[str], by: list[str] | None = None) -> DataFrame:
-    """Rows with both labels, percent agreement and Cohen's kappa (1 if chance agreement is 1, null on no rows)."""
+    """Rows with both labels, percent agreement, Cohen's kappa (1 if chance agreement is 1, null on no rows), and the
+    false positives of the first label: rows that only ``b`` gives it, and their share of those ``b`` gives it to."""
     known = df.where(F.col(a).isin(labels) & F.col(b).isin(labels))
-    sums = [F.count_if(F.col(a) == x).alias(f"a{i}") for i, x in enumerate(labels)] + [F.count_if(F.col(b) == x).alias(f"b{i}") for i, x in enumerate(labels)]
+    false = F.count_if((F.col(b) == labels[0]) & (F.col(a) != labels[0])).alias("n_false")
+    sums = [false] + [F.count_if(F.col(a) == x).alias(f"a{i}") for i, x in enumerate(labels)] + [F.count_if(F.col(b) == x).alias(f"b{i}") for i, x in enumerate(labels)]
     g = known.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(a) == F.col(b)).alias("same"), *sums)
     n = F.nullif(F.col("n"), F.lit(0)).cast("double")
     po = F.col("same") / n
     pe = sum((F.col(f"a{i}") * F.col(f"b{i}") for i in range(1, len(labels))), F.col("a0") * F.col("b0")) / (n * n)
     kappa = F.when(pe == 1, 1.0).otherwise((po - pe) / (1 - pe))
-    return g.select(*(by or []), "n", (F.col("n") - F.col("same")).alias("n_disagree"), F.round(po, 6).alias("agreement"), F.round(kappa, 6).alias("kappa"))
+    return g.select(*(by or []), "n", (F.col("n") - F.col("same")).alias("n_disagree"), F.round(po, 6).alias("agreement"), F.round(kappa, 6).alias("kappa"), "n_false", F.round(F.try_divide(F.col("n_false"), F.col("b0")), 6).alias("false_rate"))
 
 
 def describe(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -94,3 +96,31 @@ def paired_difference(df: DataFrame, key: str, condition: str, value: str, a: st
 def map_totals(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Sum per key of an open-ended numeric map."""
     return df.select(*(by or []), F.explode(column).alias("name", "value")).groupBy(*(by or []), "name").agg(F.round(F.sum("value"), 6).alias("total"), F.count("value").alias("n"))
+
+
+def rates(df: DataFrame, conditions: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Rows, and for each condition how many rows meet it and their share; null does not meet; one pass."""
+    met = {n: F.coalesce(c, F.lit(False)) for n, c in conditions.items()}
+    cols = [x for n, c in met.items() for x in (F.count_if(c).alias(f"n_{n}"), F.round(F.avg(c.cast("double")), 6).alias(f"{n}_rate"))]
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), *cols)
+
+
+def mean_size(df: DataFrame, array: str, by: list[str] | None = None) -> DataFrame:
+    """Rows and the mean number of elements; a null array counts as empty."""
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce(F.size(array), F.lit(0)).cast("double")), 6).alias("mean_size"))
+
+
+def distinct_combinations(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """How many rows and how many different combinations of the columns; nulls are values like any other."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.struct(*columns)).alias("n_distinct"))
+
+
+def pivot_values(df: DataFrame, key: str, condition: str, value: str, conditions: list[str]) -> DataFrame:
+    """One row per key with a column for each condition (its greatest value), any number of them, from one grouping."""
+    return df.groupBy(key).agg(*[F.max(F.when(F.col(condition) == c, F.col(value))).alias(c) for c in conditions])
+
+
+def largest_differences(df: DataFrame, key: str, a: Column, b: Column, n: int = 6) -> DataFrame:
+    """The ``n`` rows with the largest absolute difference, ties to the smaller key; rows without one are left out."""
+    d = df.select(key, (a - b).alias("difference")).where("difference is not null")
+    return d.orderBy(F.desc(F.abs("difference")), F.asc(key)).limit(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,11 +36,34 @@ def pool_cascade(df: DataFrame, by: str, pools: list[tuple[str, Column, list[Col
 
 
 def pick_with_control(df: DataFrame, cell: list[str], key: str, first: list[Column], control: list[Column]) -> DataFrame:
-    """Per cell the best row by one order and the best of the rest by another (role pick / control)."""
+    """Per cell the best row by one order and the best of the rest by another (role pick / control).
+
+    The control is among the best two by its order, so both choices keep at most two rows of a cell before the shuffle.
+    A cell of one row has no control.  ``key`` is unique.
+    """
     w = Window.partitionBy(*cell)
-    d = df.withColumn("_a", F.row_number().over(w.orderBy(*first, F.col(key))))
-    d = d.withColumn("_b", F.row_number().over(w.orderBy((F.col("_a") == 1).cast("int"), *control, F.col(key))))
-    return d.where("_a = 1 or _b = 1").withColumn("role", F.when(F.col("_a") == 1, "pick").otherwise("control")).drop("_a", "_b")
+    pick = df.withColumn("_r", F.row_number().over(w.orderBy(*first, F.col(key)))).where("_r = 1").drop("_r").withColumn("role", F.lit("pick"))
+    two = df.withColumn("_r", F.row_number().over(w.orderBy(*control, F.col(key)))).where("_r <= 2")
+    rest = two.join(pick.select(key), key, "left_anti")
+    other = rest.withColumn("_o", F.row_number().over(w.orderBy("_r"))).where("_o = 1").drop("_r", "_o").withColumn("role", F.lit("control"))
+    return pick.unionByName(other)
+
+
+def ordered_lookup(ids: DataFrame, source: DataFrame, order: str, key: str) -> DataFrame:
+    """The source's rows for a list of ids, (order, key, found, source columns): the list's order stays, an id that the
+    source lacks has ``found`` false and nulls.  Sort by ``order`` at the sink."""
+    s = source.withColumn("found", F.lit(True))
+    return ids.select(order, key).join(s, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def id_list(spark: SparkSession, ids: list[str], order: str = "place", key: str = "id") -> DataFrame:
+    """A literal list as a table (order from 1, id)."""
+    return spark.createDataFrame(list(enumerate(ids, 1)), f"{order} int, {key} string")
+
+
+def allowed_columns(df: DataFrame, allowed: list[str]) -> DataFrame:
+    """The public view of a table: only columns on the list, in its order; what is not there is not invented."""
+    return df.select(*[c for c in allowed if c in df.columns])
 
 
 def best_combination(options: DataFrame, group: str, key: str, feature: str, targets: dict[str, int], per_group: int = 6) -> DataFrame:

@@ -19,13 +19,30 @@ SEED = 20260725
 
 def corpus_dedup(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "candidate_snippets")
-    return corpus.snippet_bank(d, "text", "document_ids", "snippet_id").select("snippet_key", "text", "occurrences", F.size("document_ids").alias("n_documents"))
+    return corpus.snippet_bank(d, "text", "document_ids", "snippet_id")
+
+
+def snippet_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.snippet_documents(table(spark, sf, "candidate_snippets"), "text", "document_ids")
+
+
+def corpus_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.rejected(table(spark, sf, "documents"), "journal")
 
 
 def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.duplicate_groups(table(spark, sf, "documents"), "text", "doc_id")
 
 
+def duplicate_members(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.duplicate_members(table(spark, sf, "documents"), "text", "doc_id")
+
+
+def duplicate_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 25 members of each group, for a report."""
+    return corpus.report_lists(duplicate_members(spark, sf))
+
+
 def duplicate_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.duplicate_occurrences(table(spark, sf, "documents"), "text")
 
@@ -44,8 +61,7 @@ def counts_two_level(spark: SparkSession, sf: str) -> DataFrame:
 
 def gold_relevance_map(spark: SparkSession, sf: str) -> DataFrame:
     links = table(spark, sf, "evidence_arms").select("question_id", F.explode("evidence_snippet_ids").alias("snippet_id"))
-    g = corpus.gold_map(links, "question_id", "snippet_id")
-    return g.select("question_id", F.array_join("items", ",").alias("items"), "n_items")
+    return corpus.gold_map(links, "question_id", "snippet_id")
 
 
 def dangling_references(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,11 +87,13 @@ def risk_features(spark: SparkSession, sf: str) -> DataFrame:
         text.has_cue(q, text.COMPARISON_CUES).alias("comparison_cue"),
         (text.has_cue(q, text.CLAUSE_CUES) & (words >= 12)).alias("clause_cue"),
         text.starts_explaining(q).alias("explanation_cue"),
+        text.risk_score(F.col("question_type"), q).alias("risk_score"),
+        text.risk_label(text.risk_score(F.col("question_type"), q)).alias("risk_label"),
     )
 
 
 def graph_lexicon_score(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "graph_claim_pilot_manifest").select("pilot_id", text.lexicon_score(F.col("question")).alias("score"))
+    return table(spark, sf, "graph_claim_pilot_manifest").select("pilot_id", text.graph_score(F.col("question")).alias("score"))
 
 
 def uncertainty_buckets(spark: SparkSession, sf: str) -> DataFrame:
@@ -100,7 +118,7 @@ def pool_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quota_cells(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "graph_claim_pilot_manifest").withColumn("g", text.lexicon_score(F.col("question")))
+    p = table(spark, sf, "graph_claim_pilot_manifest").withColumn("g", text.graph_score(F.col("question")))
     x = sampling.pick_with_control(p, ["question_type", "retrieval_uncertainty_label"], "pilot_id", [F.desc("g")], [F.asc("g")])
     return x.select("question_type", "retrieval_uncertainty_label", "role", "pilot_id")
 
@@ -178,7 +196,7 @@ def raw_reply_claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def claims_renumbered(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "reaudit_outputs").select("record_id", evidence.renumbered_claims(F.col("claims")).alias("claims"))
-    return r.select("record_id", F.size("claims").alias("n_claims"), F.array_join(F.transform("claims", lambda c: c["claim_id"]), ",").alias("claim_ids"))
+    return r.select("record_id", F.size("claims").alias("n_claims"), F.array_join(F.transform("claims", lambda c: c["claim_id"]), ",").alias("claim_ids"), F.size(F.filter("claims", lambda c: c["importance"] == "critical")).alias("n_critical"))
 
 
 def issue_lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,7 +231,7 @@ def rouge_l_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def list_f1_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """List answers against the other answer's items by one-to-one matching."""
     p = table(spark, sf, "paired_answers").where("question_type = 'list' and bge_answer is not null and hybrid_answer is not null")
-    p = p.select("pair_id", scoring.answer_items("bge_answer").alias("a"), scoring.answer_items("hybrid_answer").alias("b"))
+    p = p.select("pair_id", scoring.answer_items(scoring.decomposed(F.col("bge_answer"))).alias("a"), scoring.answer_items(scoring.decomposed(F.col("hybrid_answer"))).alias("b"))
     known = {c: F.transform(c, lambda x: text.aliases(x, scoring.GENERIC)).alias(f"{c}_alias") for c in ("a", "b")}
     p = p.select("pair_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), *known.values())
     return scoring.list_f1(p, "a_alias", "b_alias")
@@ -222,7 +240,7 @@ def list_f1_pairs(spark: SparkSession, sf: str) -> DataFrame:
 def factoid_reciprocal_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Place of the first item of an answer that matches the other answer, strict and lenient."""
     p = table(spark, sf, "paired_answers").where("question_type = 'factoid' and bge_answer is not null and hybrid_answer is not null")
-    p = p.select("pair_id", scoring.answer_items("bge_answer").alias("a"), text.aliases(F.col("hybrid_answer")).alias("strict_b"), text.aliases(F.col("hybrid_answer"), scoring.GENERIC).alias("lenient_b"))
+    p = p.select("pair_id", scoring.answer_items(scoring.decomposed(F.col("bge_answer"))).alias("a"), text.aliases(scoring.decomposed(F.col("hybrid_answer"))).alias("strict_b"), text.aliases(scoring.decomposed(F.col("hybrid_answer")), scoring.GENERIC).alias("lenient_b"))
     p = p.select("pair_id", F.transform("a", lambda x: text.aliases(x)).alias("strict_a"), F.transform("a", lambda x: text.aliases(x, scoring.GENERIC)).alias("lenient_a"), "strict_b", "lenient_b")
 
     def rr(kind: str):
@@ -276,6 +294,19 @@ def blinded_packet(spark: SparkSession, sf: str) -> DataFrame:
     return packet.select("blind_id", "claim", "sheet_order")
 
 
+def blinded_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The private table that leads from the blind ids back to records and claims."""
+    _, key = annotate.blinded_packet(table(spark, sf, "reaudit_outputs"), "record_id", "claims", SEED)
+    return key
+
+
+def human_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """Blinded claims joined to a second reader's verdicts (here those of the verification run), by status and importance."""
+    audit = _claims(spark, sf)
+    reference = _checks(spark, sf).select("record_id", "variant", "claim_id", F.lower(F.regexp_replace(F.trim("status"), r"[\s-]+", "_")).alias("label"))
+    return audit.join(reference, ["record_id", "variant", "claim_id"]).groupBy("label", "importance").agg(F.count(F.lit(1)).alias("n"))
+
+
 # jobs and logs
 
 
@@ -290,6 +321,11 @@ def job_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return j.select(jobs.job_id(F.col("job_signature"), "JOB-").alias("job_id"), "n_arms", "first_arm", F.array_join("conditions", ",").alias("conditions"))
 
 
+def job_arms(spark: SparkSession, sf: str) -> DataFrame:
+    """Every arm with its job."""
+    return jobs.job_arms(_arms(spark, sf), "job_signature", "arm_row_id").select(jobs.job_id(F.col("job_signature"), "JOB-").alias("job_id"), "arm_row_id")
+
+
 def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
     j = jobs.dedup_jobs(_arms(spark, sf), "job_signature", "arm_row_id", "route")
     return jobs.batch_plan(j, "first_arm").groupBy("batch_index").agg(F.count(F.lit(1)).alias("n_jobs"), F.min("job_order").alias("first_order"), F.min("first_arm").alias("first_arm"))
@@ -319,6 +355,12 @@ def request_groups(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("n_items").agg(F.count(F.lit(1)).alias("n_groups"))
 
 
+def request_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every verification with its place in the request of its record and variant."""
+    v = table(spark, sf, "claim_verifications").select("record_id", "variant", "verification_id").distinct()
+    return jobs.request_items(v, ["record_id", "variant"], "verification_id")
+
+
 def token_usage_totals(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.map_totals(table(spark, sf, "reaudit_outputs"), "usage", ["model"])
 
@@ -328,11 +370,31 @@ def latency_describe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def config_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    """Models by repaired share, then latency, nulls last, then name."""
-    m = table(spark, sf, "reaudit_outputs").groupBy("model").agg(F.round(F.avg(F.col("json_repaired").cast("double")), 6).alias("repaired"), F.round(F.avg("latency_ms"), 6).alias("latency"))
+    """Models by five keys: recall of insufficient and false supports, recall of contradicted, macro F1, latency.
+
+    Higher recall and F1 come first, fewer false supports and lower latency; a missing figure is the worst.
+    """
     from pyspark.sql.window import Window
 
-    return m.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("repaired"), F.asc_nulls_last("latency"), "model")))  # one row per model
+    two = _two_verdicts(spark, sf).join(table(spark, sf, "reaudit_outputs").select("record_id", "model"), "record_id")
+    hit = {x: F.count_if((F.col("actual") == x) & (F.col("predicted") == x)) for x in STATUSES}
+    of = {x: F.count_if(F.col("actual") == x) for x in STATUSES}
+    said = {x: F.count_if(F.col("predicted") == x) for x in STATUSES}
+    f1 = {x: F.when((of[x] > 0) & (said[x] > 0), F.try_divide(2.0 * hit[x], of[x] + said[x])) for x in STATUSES}
+    known = two.where(F.col("actual").isin(STATUSES) & F.col("predicted").isin(STATUSES))
+    m = known.groupBy("model").agg(
+        F.round(F.try_divide(hit["insufficient_evidence"], of["insufficient_evidence"]), 6).alias("insufficient_recall"),
+        F.round(F.try_divide(said["supported"] - hit["supported"], said["supported"]), 6).alias("false_support_rate"),
+        F.round(F.try_divide(hit["contradicted"], of["contradicted"]), 6).alias("contradicted_recall"),
+        *[x.alias(f"f1_{i}") for i, x in enumerate(f1.values())],
+    )
+    f = [F.col(f"f1_{i}") for i in range(3)]
+    # classes without an F1 do not count; an F1 of two undefined parts is none
+    macro = F.round(F.try_divide(sum((F.coalesce(x, F.lit(0.0)) for x in f[1:]), F.coalesce(f[0], F.lit(0.0))), sum((x.isNotNull().cast("int") for x in f[1:]), f[0].isNotNull().cast("int"))), 6)
+    lat = table(spark, sf, "reaudit_outputs").groupBy("model").agg(F.round(F.avg("latency_ms"), 6).alias("latency"))
+    m = lat.join(m.select("model", "insufficient_recall", "false_support_rate", "contradicted_recall", macro.alias("macro_f1")), "model", "left")
+    order = [F.desc(F.coalesce("insufficient_recall", F.lit(-1.0))), F.asc(F.coalesce("false_support_rate", F.lit(1.0))), F.desc(F.coalesce("contradicted_recall", F.lit(-1.0))), F.desc(F.coalesce("macro_f1", F.lit(-1.0))), F.asc_nulls_last("latency"), F.asc("model")]
+    return m.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # one row per model
 
 
 def paired_pivot(spark: SparkSession, sf: str) -> DataFrame:
@@ -343,9 +405,100 @@ def paired_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bootstrap_interval(spark: SparkSession, sf: str) -> DataFrame:
-    """Interval of the mean uncertainty score above 0.5, over 200 hash resamples within question types, as its SQL has it."""
+    """Interval of the mean uncertainty score above 0.5 over all 10 000 resamples, question types weighing the same."""
     p = table(spark, sf, "graph_claim_pilot_manifest").select("pilot_id", F.coalesce("question_type", F.lit("none")).alias("question_type"), (F.col("retrieval_uncertainty_score") - 0.5).alias("d"))
-    return bootstrap.interval(bootstrap.hashed_means(p, "pilot_id", "d", 200, stratum="question_type"))
+    return bootstrap.interval(bootstrap.poisson_means(p, "pilot_id", "d", stratum="question_type"))
+
+
+def three_way_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """Answer lengths of a question under each disposition, side by side."""
+    a = table(spark, sf, "evidence_arms").dropDuplicates(["arm_row_id"])
+    c = F.when(F.col("final_disposition") == "abstain", "abstained").when(F.col("route") == "hybrid_baseline", "base").otherwise("graph")
+    return metrics.pivot_values(a.select("stage7_id", c.alias("condition"), F.length("answer").alias("v")), "stage7_id", "condition", "v", ["base", "graph", "abstained"])
+
+
+def largest_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """The six pairs whose answers differ most in length."""
+    return metrics.largest_differences(table(spark, sf, "paired_answers").dropDuplicates(["pair_id"]), "pair_id", F.length("hybrid_answer"), F.length("bge_answer"))
+
+
+def coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of released arms, and of those without evidence, per question type."""
+    a = table(spark, sf, "evidence_arms").dropDuplicates(["arm_row_id"])
+    return metrics.rates(a, {"released": F.lower(F.trim("final_disposition")) == "release", "bare": F.coalesce(F.size("evidence_snippet_ids"), F.lit(0)) == 0}, ["question_type"])
+
+
+def mean_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean number of evidence ids per route."""
+    return metrics.mean_size(table(spark, sf, "evidence_arms").dropDuplicates(["arm_row_id"]), "evidence_snippet_ids", ["route"])
+
+
+def distinct_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims by question and text without case and outer blanks."""
+    c = table(spark, sf, "reaudit_outputs").select("question_id", F.explode("claims").alias("c"))
+    return metrics.distinct_combinations(c, [F.col("question_id").alias("q"), F.lower(F.trim("c.text")).alias("t")])
+
+
+def released_unsupported(spark: SparkSession, sf: str) -> DataFrame:
+    """Records not deleted, and those among them with a verdict that is not supported."""
+    v = _checks(spark, sf).withColumn("status", F.lower(F.trim("status")))
+    return evidence.released_with_unsupported(table(spark, sf, "reaudit_outputs"), v, "record_id", F.col("deleted_at").isNull(), "status", "supported")
+
+
+def completeness(spark: SparkSession, sf: str) -> DataFrame:
+    """Records whose reply and claims are complete, and whose verdicts name exactly their claims."""
+    key = lambda v, c: F.concat_ws("/", v, c)
+    given = table(spark, sf, "claim_verifications").where("claim_id is not null").select("record_id", key(F.col("variant"), F.col("claim_id")).alias("k")).distinct().groupBy("record_id").agg(F.count(F.lit(1)).alias("n_given"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("sum_given"))
+    r = table(spark, sf, "reaudit_outputs")
+    k = F.array_distinct(F.transform("claims", lambda c: key(c["variant"], c["claim_id"])))
+    r = r.select("record_id", evidence.answer_complete(F.col("claims"), F.col("raw_response")).alias("answer"), F.size(k).alias("n_wanted"), F.aggregate(F.transform(k, lambda x: F.xxhash64(x).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"), lambda a, b: (a + b).cast("decimal(38,0)")).alias("sum_wanted"))
+    j = r.join(given, "record_id", "left")
+    verified = F.coalesce((F.col("n_wanted") == F.col("n_given")) & (F.col("sum_wanted") == F.col("sum_given")), F.lit(False))
+    return j.groupBy(F.col("answer").alias("answer_complete"), verified.alias("verification_complete")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def ordered_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: pilots in the order high, medium, low, then by falling score and rising id."""
+    from pyspark.sql.window import Window
+
+    p = table(spark, sf, "graph_claim_pilot_manifest").withColumn("o", text.enum_order(F.col("retrieval_uncertainty_label"), ["high", "medium", "low"]))
+    w = Window.partitionBy("question_type").orderBy("o", F.desc_nulls_last("retrieval_uncertainty_score"), "pilot_id")
+    return p.select("question_type", "pilot_id", F.row_number().over(w).alias("place"))
+
+
+def pilot_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The pilots' questions, in the order of the pilots, looked up in the routed records; which are not there."""
+    ids = table(spark, sf, "graph_claim_pilot_manifest").where("question_id is not null").select("pilot_id", "question_id")
+    first = table(spark, sf, "graph_routing").where("question_id is not null").groupBy("question_id").agg(F.min("record_id").alias("record_id"))
+    return sampling.ordered_lookup(ids, first, "pilot_id", "question_id")
+
+
+def public_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """The pilots as they may be shown: no question id, no score."""
+    return sampling.allowed_columns(table(spark, sf, "graph_claim_pilot_manifest"), ["pilot_id", "question_type", "question"])
+
+
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
+    """The second answers of the pairs as gold, in the polymorphic form of the source: items with synonyms, or one text."""
+    p = table(spark, sf, "paired_answers").dropDuplicates(["pair_id"]).where("hybrid_answer is not null")
+    groups = F.to_json(F.transform(F.filter(F.split("hybrid_answer", r"[;\n]"), lambda x: F.trim(x) != ""), lambda x: F.array(F.trim(x))))
+    raw = F.when(F.col("question_type").isin("list", "factoid"), groups).otherwise(F.concat(F.lit('"'), F.regexp_replace("hybrid_answer", r'["\\\x00-\x1f]', " "), F.lit('"')))
+    return p.select("pair_id", F.parse_json(raw).alias("exact"), F.array("hybrid_answer").alias("ideal"))
+
+
+def scored_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """First answers scored against gold by question type; pairs without gold are kept, with null scores."""
+    p = table(spark, sf, "paired_answers").dropDuplicates(["pair_id"]).select("pair_id", "question_type", "bge_answer")
+    j = p.join(_gold(spark, sf), "pair_id", "left").withColumn("exact", scoring.gold_for(F.col("question_type"), F.col("exact"))).withColumn("has_gold", F.col("ideal").isNotNull())
+    s = scoring.scored(j, "question_type", "bge_answer", "exact", "ideal")
+    blank = lambda c: F.when(F.col("has_gold"), F.round(c, 6)).alias(c)
+    return s.select("pair_id", "question_type", "has_gold", blank("primary_score"), blank("strict_score"))
+
+
+def missing_gold(spark: SparkSession, sf: str) -> DataFrame:
+    """Results without gold, per question type."""
+    p = table(spark, sf, "paired_answers").dropDuplicates(["pair_id"])
+    return p.join(_gold(spark, sf).select("pair_id"), "pair_id", "left_anti").groupBy("question_type").agg(F.count(F.lit(1)).alias("n_missing"), F.min("pair_id").alias("first_missing"))
 
 
 def bootstrap_answer_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -420,7 +573,8 @@ def environment(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    corpus_dedup, duplicate_groups, duplicate_occurrences, missing_fields, corpus_describe, counts_two_level, gold_relevance_map, dangling_references, content_hash_documents,
+    corpus_dedup, snippet_documents, corpus_rejects, duplicate_groups, duplicate_members, duplicate_report, blinded_key, human_reference, job_arms, request_items, three_way_pivot, largest_differences, coverage, mean_evidence, distinct_claims,
+    released_unsupported, completeness, ordered_labels, pilot_lookup, public_questions, scored_answers, missing_gold, duplicate_occurrences, missing_fields, corpus_describe, counts_two_level, gold_relevance_map, dangling_references, content_hash_documents,
     risk_features, graph_lexicon_score, uncertainty_buckets, stratified_sample, pool_cascade, quota_cells, smoke_combination, greedy_grouped_split, hashed_grouped_split, split_overlap_counts,
     split_leakage, pilot_antijoin, evidence_packets, claim_status_counts, raw_reply_claims, claims_renumbered, issue_lists, answer_token_f1, yes_no_answers, rouge_l_pairs, list_f1_pairs,
     factoid_reciprocal_rank, macro_token_f1, confusion_matrix, class_scores, averaged_f1, annotator_agreement, merged_annotations, blinded_packet, job_dedup, batch_plan, arm_fanout,

@@ -32,11 +32,23 @@ _ARMS = """WITH a AS (SELECT DISTINCT arm_row_id, route, question_id, model, fin
 _F1 = """list_sum([0] || list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))))"""
 _PAIR = f"(SELECT pair_id, question_type, {tok('bge_answer')} a, {tok('hybrid_answer')} b FROM paired_answers WHERE bge_answer IS NOT NULL AND hybrid_answer IS NOT NULL)"
 _F1X = f"CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 2.0::DOUBLE * {_F1} / (len(a) + len(b)) END"
-_LEX = {4: "mechanism pathway interact interaction inhibit activate relationship", 3: "target receptor gene protein mutation mutated associated association cause causes regulate linked biomarker mediated", 2: "role effect affect derived responsible"}
+_TERMS = {
+    4: ("mechanism", "pathway", "interact", "interaction", "inhibit", "activate", "relationship"),
+    3: ("target", "receptor", "gene", "protein", "mutation", "mutated", "associated", "association", "cause", "causes", "regulate", "linked", "biomarker", "mediated"),
+    2: ("role", "effect", "affect", "derived", "responsible"),
+}
 
 
-def _lexicon(c: str) -> str:
-    return "(" + " + ".join(f"(CASE WHEN contains({alnum(c)}, '{t}') THEN {w} ELSE 0 END)" for w, ts in _LEX.items() for t in ts.split()) + ")"
+def _graph_score(c: str) -> str:
+    n = alnum(c)
+    terms = [f"(CASE WHEN contains({n}, '{t}') THEN {w} ELSE 0 END)" for w, ts in _TERMS.items() for t in ts]
+    which = " OR ".join(f"contains({n}, '{t}')" for t in ("target", "gene", "protein", "receptor", "pathway"))
+    bonus = [
+        f"(CASE WHEN contains({n}, 'how does') OR contains({n}, 'what is the role') THEN 4 ELSE 0 END)",
+        f"(CASE WHEN list_contains(string_split({n}, ' '), 'which') AND ({which}) THEN 2 ELSE 0 END)",
+        f"(CASE WHEN len(string_split({n}, ' ')) >= 18 THEN 1 ELSE 0 END)",
+    ]
+    return "(" + " + ".join(terms + bonus) + ")"
 
 
 _REL = "association|associated|relationship|relation|interact|interaction|effect|affect|cause|causal|mechanism|role|pathway|regulate|inhibit|activate|treat|treatment|therapy|diagnos|predict|risk|increase|decrease"
@@ -47,7 +59,7 @@ _SH = "sha256({k} || '|20260725')"
 ORACLE = {
     "corpus_dedup": f"""WITH r AS (SELECT sha256({squeezed('text')}) k, trim(text) t, snippet_id, document_ids FROM candidate_snippets WHERE trim(coalesce(text, '')) <> ''),
 d AS (SELECT k, count(DISTINCT x) n FROM (SELECT k, unnest(document_ids) x FROM r) WHERE x IS NOT NULL GROUP BY 1)
-SELECT r.k AS snippet_key, arg_min(t, (snippet_id, t)) AS text, count(*) AS occurrences, coalesce(any_value(d.n), 0)::INT AS n_documents FROM r LEFT JOIN d USING (k) GROUP BY 1""",
+SELECT r.k AS snippet_key, arg_min(t, (snippet_id, t)) AS text, count(*) AS occurrences, coalesce(any_value(d.n), 0)::BIGINT AS n_documents FROM r LEFT JOIN d USING (k) GROUP BY 1""",
     "duplicate_groups": f"SELECT sha256({squeezed('text')}) AS group_key, count(*) AS n_members, min(doc_id) AS first_member, max(doc_id) AS last_member FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "duplicate_occurrences": f"WITH k AS (SELECT sha256({squeezed('text')}) k FROM documents) SELECT count(k) AS n, count(DISTINCT k) AS n_distinct, count(k) - count(DISTINCT k) AS n_surplus FROM k",
     "missing_fields": """WITH n AS (SELECT count(*) n FROM evidence_arms), """
@@ -59,18 +71,21 @@ SELECT r.k AS snippet_key, arg_min(t, (snippet_id, t)) AS text, count(*) AS occu
     + ") SELECT field, n_missing, n FROM u, n",
     "corpus_describe": f"SELECT coalesce(source, 'none') AS source, count(v) AS n, min(v) AS min, {_D} FROM (SELECT source, n_chars::DOUBLE v FROM documents WHERE n_chars IS NOT NULL) GROUP BY 1",
     "counts_two_level": "SELECT question_type, adaptive_route_selected, count(*) AS n FROM paired_answers GROUP BY 1, 2",
-    "gold_relevance_map": "SELECT question_id, string_agg(x, ',' ORDER BY x) AS items, count(*) AS n_items FROM (SELECT DISTINCT question_id, unnest(evidence_snippet_ids) x FROM evidence_arms) WHERE x IS NOT NULL AND question_id IS NOT NULL GROUP BY 1",
+    "gold_relevance_map": "SELECT question_id, x AS snippet_id, row_number() OVER (PARTITION BY question_id ORDER BY x)::INT AS place FROM (SELECT DISTINCT question_id, unnest(evidence_snippet_ids) x FROM evidence_arms) WHERE x IS NOT NULL AND question_id IS NOT NULL",
     "dangling_references": "SELECT count(*) AS n_links, count(*) FILTER (WHERE x NOT IN (SELECT snippet_id FROM candidate_snippets WHERE snippet_id IS NOT NULL)) AS n_dangling FROM (SELECT unnest(hybrid_top5) x FROM graph_routing) WHERE x IS NOT NULL",
     "risk_features": rf"""WITH w AS (SELECT *, len(list_filter(regexp_split_to_array(question, '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: x <> '')) n FROM graph_claim_pilot_manifest)
 SELECT pilot_id, coalesce(n, 0)::INT AS n_words, coalesce(regexp_matches(question, '(?i)\b(?:{_REL})\b'), false) AS relation_cue, coalesce(regexp_matches(question, '(?i)\b(?:{_CMP})\b'), false) AS comparison_cue,
-coalesce(regexp_matches(question, '(?i)\b(?:and|or|while|whereas|however|respectively)\b') AND n >= 12, false) AS clause_cue, coalesce(regexp_matches(question, '(?i)^\s*(?:how|why|describe|explain|what (?:is|are) the mechanisms?)\b'), false) AS explanation_cue FROM w""",
-    "graph_lexicon_score": f"SELECT pilot_id, {_lexicon('question')} AS score FROM graph_claim_pilot_manifest",
+coalesce(regexp_matches(question, '(?i)\b(?:and|or|while|whereas|however|respectively)\b') AND n >= 12, false) AS clause_cue, coalesce(regexp_matches(question, '(?i)^\s*(?:how|why|describe|explain|what are the mechanisms?)\b'), false) AS explanation_cue,
+rs AS risk_score, CASE WHEN rs <= 1 THEN 'low' WHEN rs <= 3 THEN 'medium' ELSE 'high' END AS risk_label FROM w, LATERAL (SELECT (CASE lower(trim(coalesce(question_type, 'missing'))) WHEN 'yesno' THEN 0 WHEN 'factoid' THEN 0 WHEN 'list' THEN 1 WHEN 'summary' THEN 2 ELSE 1 END
+  + coalesce(regexp_matches(question, '(?i)\b(?:{_REL})\b'), false)::INT + coalesce(regexp_matches(question, '(?i)\b(?:{_CMP})\b'), false)::INT + coalesce(regexp_matches(question, '(?i)\b(?:and|or|while|whereas|however|respectively)\b') AND n >= 12, false)::INT
+  + coalesce(regexp_matches(question, '(?i)^\s*(?:how|why|describe|explain|what are the mechanisms?)\b'), false)::INT)::INT rs)""",
+    "graph_lexicon_score": f"SELECT pilot_id, {_graph_score('question')} AS score FROM graph_claim_pilot_manifest",
     "uncertainty_buckets": "SELECT CASE WHEN retrieval_uncertainty_score < .4 THEN 'low' WHEN retrieval_uncertainty_score < .65 THEN 'medium' WHEN retrieval_uncertainty_score IS NOT NULL THEN 'high' END AS label, count(*) AS n, round(avg(retrieval_uncertainty_score), 6) AS mean_score FROM graph_claim_pilot_manifest GROUP BY 1",
     "stratified_sample": f"SELECT * FROM (SELECT question_type, pilot_id, row_number() OVER (PARTITION BY question_type ORDER BY {_SH.format(k='pilot_id::VARCHAR')}, pilot_id) AS pick FROM graph_claim_pilot_manifest) WHERE pick <= 20",
     "pool_cascade": """WITH p AS (SELECT *, retrieval_uncertainty_label l, retrieval_uncertainty_score s FROM graph_claim_pilot_manifest WHERE retrieval_uncertainty_label IN ('high', 'medium', 'low')),
 o AS (SELECT *, row_number() OVER (PARTITION BY question_type ORDER BY CASE l WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, CASE WHEN s IS NULL THEN 1 ELSE 0 END, CASE WHEN l = 'low' THEN s ELSE -s END, pilot_id) pick FROM p)
 SELECT question_type, pick, pilot_id, l AS selection_reason FROM o WHERE pick <= 3""",
-    "quota_cells": f"""WITH p AS (SELECT *, {_lexicon('question')} g FROM graph_claim_pilot_manifest), a AS (SELECT *, row_number() OVER (PARTITION BY question_type, retrieval_uncertainty_label ORDER BY g DESC, pilot_id) ra FROM p),
+    "quota_cells": f"""WITH p AS (SELECT *, {_graph_score('question')} g FROM graph_claim_pilot_manifest), a AS (SELECT *, row_number() OVER (PARTITION BY question_type, retrieval_uncertainty_label ORDER BY g DESC, pilot_id) ra FROM p),
 b AS (SELECT *, row_number() OVER (PARTITION BY question_type, retrieval_uncertainty_label ORDER BY (ra = 1)::INT, g, pilot_id) rb FROM a)
 SELECT question_type, retrieval_uncertainty_label, CASE WHEN ra = 1 THEN 'pick' ELSE 'control' END AS role, pilot_id FROM b WHERE ra = 1 OR rb = 1""",
     "hashed_grouped_split": f"""WITH x AS (SELECT record_id, ('0x' || md5({alnum('normalised_body')})[1:8])::BIGINT / 4294967296.0::DOUBLE h FROM body_records)
@@ -85,7 +100,7 @@ f AS (SELECT arm_row_id, md5(string_agg('[E' || r || '] ' || coalesce(t, ''), ch
 SELECT j.arm_row_id, any_value(m) AS packet_md5, coalesce(any_value(n), 0)::INT AS n_evidence, count(*) FILTER (WHERE NOT known) AS n_missing FROM j LEFT JOIN f USING (arm_row_id) GROUP BY 1""",
     "claim_status_counts": f"""WITH {_FIRST_CHECK}, j AS (SELECT c.model, c.variant, CASE WHEN {_ST} IN ('supported', 'contradicted', 'insufficient_evidence') THEN {_ST} ELSE 'insufficient_evidence' END s FROM c LEFT JOIN v USING (record_id, variant, claim_id))
 SELECT model, variant, count(*) AS n, count(*) FILTER (WHERE s = 'supported') AS n_supported, count(*) FILTER (WHERE s = 'contradicted') AS n_contradicted, count(*) FILTER (WHERE s = 'insufficient_evidence') AS n_insufficient_evidence FROM j GROUP BY 1, 2""",
-    "claims_renumbered": "WITH k AS (SELECT record_id, list_filter(coalesce(claims, []), lambda c: trim(coalesce(c.text, '')) <> '') l FROM reaudit_outputs) SELECT record_id, len(l)::INT AS n_claims, coalesce(array_to_string(list_transform(range(1, len(l) + 1), lambda i: 'C' || i), ','), '') AS claim_ids FROM k",
+    "claims_renumbered": "WITH k AS (SELECT record_id, list_filter(coalesce(claims, []), lambda c: trim(coalesce(c.text, '')) <> '') l FROM reaudit_outputs) SELECT record_id, len(l)::INT AS n_claims, coalesce(array_to_string(list_transform(range(1, len(l) + 1), lambda i: 'C' || i), ','), '') AS claim_ids, len(list_filter(l, lambda c: coalesce(lower(c.importance) = 'critical', false)))::INT AS n_critical FROM k",
     "issue_lists": """SELECT concat_ws(',', CASE WHEN raw_response IS NULL THEN 'no_reply' END, CASE WHEN coalesce(len(claims), 0) = 0 THEN 'no_claims' END, CASE WHEN coalesce(len(evidence), 0) = 0 THEN 'no_evidence' END, CASE WHEN json_repaired THEN 'repaired' END,
 CASE WHEN usage IS NULL THEN 'no_usage' END, CASE WHEN deleted_at IS NOT NULL THEN 'deleted' END) AS issues, count(*) AS n FROM reaudit_outputs GROUP BY 1""",
     "answer_token_f1": f"SELECT pair_id, round({_F1X}, 6) AS f1 FROM {_PAIR}",
@@ -97,7 +112,8 @@ count(*) AS n FROM paired_answers WHERE question_type = 'yesno' GROUP BY 1, 2"""
     "averaged_f1": _CLASSES + " SELECT round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM cls WHERE support > 0 AND f1 IS NOT NULL",
     "annotator_agreement": _TWO
     + """, n AS (SELECT count(*)::DOUBLE n, count(*) FILTER (WHERE actual = predicted) s FROM t), e AS (SELECT sum(a * b) pe FROM (SELECT label, count(*) FILTER (WHERE actual = label) / (SELECT n FROM n) a, count(*) FILTER (WHERE predicted = label) / (SELECT n FROM n) b FROM t, (SELECT unnest(['supported', 'contradicted', 'insufficient_evidence']) label) GROUP BY 1))
-SELECT n::BIGINT AS n, (n - s)::BIGINT AS n_disagree, round(s / n, 6) AS agreement, round(CASE WHEN pe = 1 THEN 1 ELSE (s / n - pe) / (1 - pe) END, 6) AS kappa FROM n, e""",
+SELECT n::BIGINT AS n, (n - s)::BIGINT AS n_disagree, round(s / n, 6) AS agreement, round(CASE WHEN pe = 1 THEN 1 ELSE (s / n - pe) / (1 - pe) END, 6) AS kappa, (SELECT count(*) FROM t WHERE predicted = 'supported' AND actual <> 'supported') AS n_false,
+  round((SELECT count(*) FILTER (WHERE actual <> 'supported') / count(*)::DOUBLE FROM t WHERE predicted = 'supported'), 6) AS false_rate FROM n, e""",
     "merged_annotations": """WITH a AS (SELECT stage7_id, min(final_disposition) d FROM evidence_arms WHERE route = 'hybrid_baseline' GROUP BY 1), b AS (SELECT stage7_id, min(final_disposition) d FROM evidence_arms WHERE route <> 'hybrid_baseline' GROUP BY 1)
 SELECT CASE WHEN a.stage7_id IS NULL THEN 'only_b' WHEN b.stage7_id IS NULL THEN 'only_a' ELSE 'both' END AS found_in, a.d = b.d AS agree, count(*) AS n FROM a FULL JOIN b ON a.stage7_id = b.stage7_id GROUP BY 1, 2""",
     "blinded_packet": """WITH k AS (SELECT record_id, list_filter(coalesce(claims, []), lambda c: c IS NOT NULL) l FROM reaudit_outputs),
@@ -111,14 +127,45 @@ y AS (SELECT sha256('packet|' || record_id || '/' || ci || '|20260725')[1:10] bl
     "request_groups": "SELECT n_items, count(*) AS n_groups FROM (SELECT record_id, variant, count(*) n_items FROM (SELECT DISTINCT * FROM claim_verifications) GROUP BY 1, 2) GROUP BY 1",
     "token_usage_totals": "WITH u AS (SELECT model, unnest(map_entries(usage)) e FROM reaudit_outputs) SELECT model, e.key AS name, round(sum(e.value), 6) AS total, count(e.value) AS n FROM u GROUP BY 1, 2",
     "latency_describe": f"SELECT model, count(v) AS n, min(v) AS min, {_D} FROM (SELECT model, latency_ms v FROM reaudit_outputs WHERE latency_ms IS NOT NULL) GROUP BY 1",
-    "config_ranking": "WITH m AS (SELECT model, round(avg(json_repaired::INT), 6) repaired, round(avg(latency_ms), 6) latency FROM reaudit_outputs GROUP BY 1) SELECT model, repaired, latency, row_number() OVER (ORDER BY repaired ASC NULLS LAST, latency ASC NULLS LAST, model) AS place FROM m",
+    "config_ranking": _TWO.replace("SELECT a.s actual", "SELECT a.record_id record_id, a.s actual")
+    + """, k AS (SELECT model, count(*) FILTER (WHERE actual = 'insufficient_evidence' AND predicted = actual) / nullif(count(*) FILTER (WHERE actual = 'insufficient_evidence'), 0)::DOUBLE ir,
+  count(*) FILTER (WHERE predicted = 'supported' AND actual <> predicted) / nullif(count(*) FILTER (WHERE predicted = 'supported'), 0)::DOUBLE fs, count(*) FILTER (WHERE actual = 'contradicted' AND predicted = actual) / nullif(count(*) FILTER (WHERE actual = 'contradicted'), 0)::DOUBLE cr
+  FROM t JOIN reaudit_outputs USING (record_id) GROUP BY 1),
+f AS (SELECT model, avg(CASE WHEN a > 0 AND p > 0 THEN 2.0::DOUBLE * h / (a + p) END) mf FROM (SELECT model, l, count(*) FILTER (WHERE actual = l AND predicted = l) h, count(*) FILTER (WHERE actual = l) a, count(*) FILTER (WHERE predicted = l) p
+  FROM t JOIN reaudit_outputs USING (record_id), (SELECT unnest(['supported', 'contradicted', 'insufficient_evidence']) l) GROUP BY 1, 2) GROUP BY 1),
+m AS (SELECT model, round(avg(latency_ms), 6) latency FROM reaudit_outputs GROUP BY 1),
+x AS (SELECT m.model, latency, round(ir, 6) insufficient_recall, round(fs, 6) false_support_rate, round(cr, 6) contradicted_recall, round(mf, 6) macro_f1 FROM m LEFT JOIN k ON k.model = m.model LEFT JOIN f ON f.model = m.model)
+SELECT *, row_number() OVER (ORDER BY coalesce(insufficient_recall, -1) DESC, coalesce(false_support_rate, 1), coalesce(contradicted_recall, -1) DESC, coalesce(macro_f1, -1) DESC, latency ASC NULLS LAST, model)::INT AS place FROM x""",
     "paired_pivot": _ARMS + """, l AS (SELECT stage7_id, max(length(answer)) FILTER (WHERE coalesce(route <> 'hybrid_baseline', true))::DOUBLE g, max(length(answer)) FILTER (WHERE route = 'hybrid_baseline')::DOUBLE b FROM a GROUP BY 1)
 SELECT count(*) AS n_pairs, round(avg(g - b), 6) AS mean_difference, round(avg(CASE WHEN g > b THEN 1.0::DOUBLE WHEN g = b THEN 0.5 ELSE 0 END), 6) AS win_share FROM l WHERE g IS NOT NULL AND b IS NOT NULL""",
     "bootstrap_interval": """WITH v AS (SELECT coalesce(question_type, 'none') s, pilot_id::VARCHAR k, retrieval_uncertainty_score - 0.5 v FROM graph_claim_pilot_manifest WHERE retrieval_uncertainty_score IS NOT NULL),
-w AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k) - 1 i FROM v), n AS (SELECT s, count(*) n FROM v GROUP BY 1),
-d AS (SELECT s, n, b, unnest(range(n)) d FROM n, (SELECT unnest(range(200)) b)), p AS (SELECT s, b, ('0x' || md5(b || '|' || d || '|20260726|' || s)[1:15])::BIGINT % n i FROM d),
-m AS (SELECT p.s, b, avg(v) m FROM p JOIN w ON w.s = p.s AND w.i = p.i GROUP BY 1, 2), g AS (SELECT b, round(avg(m), 10) mean FROM m GROUP BY 1), r AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 r FROM g)
-SELECT count(*) AS n, round(avg(mean), 6) AS mean, round(max(mean) FILTER (WHERE r = 5), 6) AS lower, round(max(mean) FILTER (WHERE r = 195), 6) AS upper, round(avg((mean > 0)::INT), 6) AS win_share FROM r""",
+h AS (SELECT s, v, c, md5(c || '|' || k || '|20260726') h FROM v, (SELECT unnest(range(1250)) c)), u AS (SELECT s, v, c * 8 + j b, ('0x' || h[4 * j + 1:4 * j + 4])::INT u FROM h, (SELECT unnest(range(8)) j)),
+w AS (SELECT s, v, b, ((u >= 24109)::INT + (u >= 48219)::INT + (u >= 60273)::INT + (u >= 64292)::INT + (u >= 65296)::INT + (u >= 65497)::INT + (u >= 65531)::INT + (u >= 65535)::INT) w FROM u),
+m AS (SELECT s, b, sum(v * w) / sum(w) m FROM w WHERE w > 0 GROUP BY 1, 2), g AS (SELECT b, round(avg(m), 10) mean FROM m GROUP BY 1), r AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 r FROM g)
+SELECT count(*) AS n, round(avg(mean), 6) AS mean, round(max(mean) FILTER (WHERE r = 250), 6) AS lower, round(max(mean) FILTER (WHERE r = 9750), 6) AS upper, round(avg((mean > 0)::INT), 6) AS win_share FROM r""",
+    "snippet_documents": f"SELECT DISTINCT sha256({squeezed('text')}) AS snippet_key, x AS document_id FROM (SELECT text, unnest(document_ids) x FROM candidate_snippets WHERE trim(coalesce(text, '')) <> '') WHERE x IS NOT NULL",
+    "corpus_rejects": "SELECT count(*) FILTER (WHERE trim(coalesce(journal, '')) <> '') AS n_kept, count(*) FILTER (WHERE trim(coalesce(journal, '')) = '') AS n_rejected FROM documents",
+    "duplicate_members": f"SELECT group_key, doc_id AS member, row_number() OVER (PARTITION BY group_key ORDER BY doc_id)::INT AS place FROM (SELECT *, sha256({squeezed('text')}) group_key, count(*) OVER (PARTITION BY sha256({squeezed('text')})) n FROM documents WHERE text IS NOT NULL) WHERE n > 1",
+    "duplicate_report": f"SELECT group_key, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS members FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY doc_id) r, count(*) OVER (PARTITION BY group_key) n FROM (SELECT doc_id, sha256({squeezed('text')}) group_key FROM documents WHERE text IS NOT NULL)) WHERE n > 1 AND r <= 25 GROUP BY 1",
+    "blinded_key": """WITH k AS (SELECT record_id, list_filter(coalesce(claims, []), lambda c: c IS NOT NULL) l FROM reaudit_outputs),
+x AS (SELECT record_id, c.claim_id claim_id FROM (SELECT record_id, unnest(l) c FROM k) UNION ALL SELECT record_id, 'NO-CLAIM' FROM k WHERE len(l) = 0) SELECT sha256('packet|' || record_id || '/' || claim_id || '|20260725')[1:10] AS blind_id, record_id, claim_id FROM x""",
+    "human_reference": f"WITH {_FIRST_CHECK}, i AS (SELECT record_id, c.variant AS variant, c.claim_id AS claim_id, c.importance AS importance FROM (SELECT record_id, unnest(claims) c FROM reaudit_outputs)) SELECT {_ST} AS label, importance, count(*) AS n FROM i JOIN v USING (record_id, variant, claim_id) GROUP BY 1, 2",
+    "job_arms": _ARMS + " SELECT DISTINCT 'JOB-' || upper(sig[1:16]) AS job_id, arm_row_id FROM a",
+    "request_items": "SELECT *, ceil(place / 20.0)::BIGINT AS part FROM (SELECT *, row_number() OVER (PARTITION BY record_id, variant ORDER BY verification_id)::INT AS place FROM (SELECT DISTINCT record_id, variant, verification_id FROM claim_verifications))",
+    "three_way_pivot": _ARMS + ", c AS (SELECT stage7_id, CASE WHEN final_disposition = 'abstain' THEN 'abstained' WHEN route = 'hybrid_baseline' THEN 'base' ELSE 'graph' END c, length(answer)::INT v FROM a) SELECT stage7_id, max(v) FILTER (WHERE c = 'base') AS base, max(v) FILTER (WHERE c = 'graph') AS graph, max(v) FILTER (WHERE c = 'abstained') AS abstained FROM c GROUP BY 1",
+    "largest_differences": "SELECT pair_id, (length(hybrid_answer) - length(bge_answer))::INT AS difference FROM (SELECT DISTINCT * FROM paired_answers) WHERE hybrid_answer IS NOT NULL AND bge_answer IS NOT NULL ORDER BY abs(length(hybrid_answer) - length(bge_answer)) DESC, pair_id LIMIT 6",
+    "coverage": "SELECT question_type, count(*) AS n, count(*) FILTER (WHERE r) AS n_released, round(avg(r::INT), 6) AS released_rate, count(*) FILTER (WHERE e) AS n_bare, round(avg(e::INT), 6) AS bare_rate FROM (SELECT DISTINCT arm_row_id, question_type, coalesce(lower(trim(final_disposition)) = 'release', false) r, coalesce(len(evidence_snippet_ids), 0) = 0 e FROM evidence_arms) GROUP BY 1",
+    "mean_evidence": "SELECT route, count(*) AS n, round(avg(coalesce(len(evidence_snippet_ids), 0)), 6) AS mean_size FROM (SELECT DISTINCT * FROM evidence_arms) GROUP BY 1",
+    "distinct_claims": "WITH c AS (SELECT question_id q, lower(trim(c.text)) t FROM (SELECT question_id, unnest(claims) c FROM reaudit_outputs)) SELECT (SELECT count(*) FROM c) AS n, (SELECT count(*) FROM (SELECT DISTINCT q, t FROM c)) AS n_distinct",
+    "released_unsupported": f"WITH {_FIRST_CHECK}, b AS (SELECT record_id, bool_or(coalesce(lower(trim(status)) <> 'supported', true)) bad FROM v GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (WHERE deleted_at IS NULL) AS n_released, count(*) FILTER (WHERE deleted_at IS NULL AND coalesce(bad, false)) AS n_released_unsupported FROM reaudit_outputs LEFT JOIN b USING (record_id)",
+    "completeness": """WITH g AS (SELECT record_id, list_sort(list(DISTINCT variant || '/' || claim_id)) g FROM claim_verifications WHERE claim_id IS NOT NULL GROUP BY 1),
+w AS (SELECT *, list_transform(claims, lambda c: c.variant || '/' || c.claim_id) k FROM reaudit_outputs),
+x AS (SELECT coalesce(trim(raw_response) <> '' AND len(claims) > 0 AND len(list_filter(claims, lambda c: trim(coalesce(c.text, '')) = '' OR c.claim_id IS NULL)) = 0 AND len(list_distinct(k)) = len(k), false) a, coalesce(list_sort(list_distinct(k)) = g, false) v FROM w LEFT JOIN g USING (record_id))
+SELECT a AS answer_complete, v AS verification_complete, count(*) AS n FROM x GROUP BY 1, 2""",
+    "ordered_labels": "SELECT question_type, pilot_id, row_number() OVER (PARTITION BY question_type ORDER BY CASE retrieval_uncertainty_label WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, retrieval_uncertainty_score DESC NULLS LAST, pilot_id)::INT AS place FROM graph_claim_pilot_manifest",
+    "pilot_lookup": "WITH f AS (SELECT question_id, min(record_id) record_id FROM graph_routing GROUP BY 1) SELECT pilot_id, p.question_id, f.record_id, f.record_id IS NOT NULL AS found FROM graph_claim_pilot_manifest p LEFT JOIN f ON f.question_id = p.question_id WHERE p.question_id IS NOT NULL",
+    "public_questions": "SELECT pilot_id, question_type, question FROM graph_claim_pilot_manifest",
+    "missing_gold": "SELECT question_type, count(*) AS n_missing, min(pair_id) AS first_missing FROM (SELECT DISTINCT pair_id, question_type FROM paired_answers WHERE hybrid_answer IS NULL) GROUP BY 1",
     "selection_counterfactual": """WITH x AS (SELECT record_id, list_filter(coalesce(hybrid_top5, []::VARCHAR[]), lambda s: s IS NOT NULL) a, list_filter(coalesce(list_transform(selection_trace, lambda t: t.snippet_id), []::VARCHAR[]), lambda s: s IS NOT NULL) b FROM graph_routing)
 SELECT record_id, len(list_filter(list_distinct(b), lambda s: NOT list_contains(a, s)))::INT AS n_added, len(list_filter(list_distinct(a), lambda s: NOT list_contains(b, s)))::INT AS n_dropped, list_sort(list_distinct(a)) <> list_sort(list_distinct(b)) AS set_changed, a <> b AS list_changed FROM x""",
     "validator_checks": "WITH "

@@ -43,7 +43,7 @@ def test_retry_seconds(spark, raw, want):
 
 
 @pytest.mark.parametrize(
-    "raw,n", [("['p53', 'brca1']", 2), ("p53; brca1", 2), ("1. p53 2. brca1", 2), ("p53, brca1", 2), ("word " * 40 + ", x", 1), ("a; p53", 1), ("", 0), (None, 0)]
+    "raw,n", [("['p53', 'brca1']", 2), ("p53; brca1", 2), ("1. p53 2. brca1", 2), ("p53, brca1", 2), ("word " * 40 + ", x", 1), ("a; p53", 1), ("(p53, brca1)", 2), ("only 1. p53", 2), ("- p53\n- brca1", 2), ("[p53]", 1), ("", 0), (None, 0)]
 )
 def test_items(raw, n):
     assert len(scoring.items_of(raw)) == n
@@ -57,8 +57,32 @@ def test_alias_match(spark):
     assert one(spark, text.values_match(F.lit(None).cast("string"), b)) is False
 
 
-def test_normal_form_decomposes(spark):
-    assert one(spark, scoring.normal_form(F.lit("The naïve IL6"))) == "nai ve il 6" or one(spark, scoring.normal_form(F.lit("The naïve IL6")))
+@pytest.mark.parametrize("raw,want", [("TNFα", "tnf alpha"), ("αβ crystallin", "alpha beta crystallin"), ("Α", ""), ("The naïve IL6", "nai ve il 6"), ("a κ-B2", "kappa b 2"), ("", "")])
+def test_normal_form(spark, raw, want):
+    assert one(spark, scoring.normal_form(F.lit(raw))) == want == scoring.normal_form_of(raw)
+
+
+@pytest.mark.parametrize(
+    "kind,answer,exact,ideal,want",
+    [
+        ("factoid", "x; TNF-α", [["TNF alpha"]], [], (0.5, 0.5)), ("factoid", "lung", [["lung cancer"]], [], (1.0, 0.0)), ("factoid", "", [["a gene"]], [], (0.0, 0.0)), ("list", "p53, brca1, x", [["P53"], ["BRCA-1", "brca1"]], [], (0.8, 0.8)),
+        ("list", "p53", [], [], (0.0, 0.0)), ("yesno", "Yes, in part.", [["yes"]], [], (1.0, 1.0)), ("yesno", "It may.", [["no"]], [], (0.0, 0.0)), ("summary", "b c d", [], ["x", "b x c"], (2 / 3, 2 / 3)), ("summary", "b", [], [], (0.0, 0.0)),
+        ("essay", "b", [], [], None), (None, None, [], [], None),
+    ],
+)
+def test_score_by_type(kind, answer, exact, ideal, want):
+    got = scoring.score_of(kind, answer, exact, ideal)
+    assert got == (None if want is None else pytest.approx(want))
+
+
+def test_scored_column_and_gold(spark):
+    df = spark.createDataFrame([(1, "list", "p53", '[["P53", "tp53"], "brca1"]'), (2, "yesno", "yes", '"yes"'), (3, "essay", "x", "null"), (4, "factoid", None, "[]")], "k int, kind string, a string, j string")
+    df = df.withColumn("v", F.parse_json("j"))
+    flat = {r.k: r.x for r in df.select("k", scoring.gold_values(F.col("v")).alias("x")).collect()}
+    assert flat == {1: ["P53", "tp53", "brca1"], 2: ["yes"], 3: [], 4: []}
+    s = scoring.scored(df.withColumn("g", scoring.gold_for(F.col("kind"), F.col("v"))).withColumn("i", F.array(F.lit("x"))), "kind", "a", "g", "i")
+    got = {r.k: (r.primary_score, r.strict_score) for r in s.collect()}
+    assert got == {1: (pytest.approx(2 / 3), pytest.approx(2 / 3)), 2: (1.0, 1.0), 3: (None, None), 4: (0.0, 0.0)}
 
 
 def test_multiset_f1(spark):
