@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .jobs import batch_plan
 from .sampling import seeded_order
 
 
@@ -47,3 +48,9 @@ def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each composite key in a total order, kept map-side."""
     cols = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("x")).select(*keys, "x.*")
+
+
+def adversarial_candidates(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """The valid candidates, numbered ADV-0001.. in the order of ``key`` (a distributed numbering)."""
+    n = batch_plan(valid_candidates(df, text, source), key).withColumnRenamed("job_order", "_n").drop("batch_index")
+    return n.withColumn("candidate_id", F.concat(F.lit("ADV-"), F.lpad(F.col("_n").cast("string"), F.greatest(F.lit(4), F.length(F.col("_n").cast("string"))), F.lit("0")))).drop("_n")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, events, general_problems, retrieval
+from . import evaluation, events, exchange, general_problems, retrieval
 
-_MODULES = (general_problems, retrieval, evaluation, events)
+_MODULES = (general_problems, retrieval, evaluation, events, exchange)
 
 
 def queries() -> dict:

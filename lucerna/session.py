@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import platform
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def environment_profile(spark: SparkSession) -> DataFrame:
-    """One row describing the runtime (driver-side facts only)."""
+    """One row describing the runtime of the driver: versions, cores, memory, free disk, installed packages."""
+    from importlib import metadata
+
     sc = spark.sparkContext
-    row = (spark.version, platform.python_version(), sc.master, int(sc.defaultParallelism))
-    return spark.createDataFrame([row], "spark_version string, python_version string, master string, parallelism int").withColumn(
-        "session_time_zone", F.lit(spark.conf.get("spark.sql.session.timeZone"))
-    )
+    memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") if hasattr(os, "sysconf") else None
+    packages = sorted({f"{d.metadata['Name']}=={d.version}" for d in metadata.distributions() if d.metadata["Name"]})
+    row = (spark.version, platform.python_version(), platform.platform(), sc.master, int(sc.defaultParallelism), os.cpu_count(), memory, shutil.disk_usage(os.getcwd()).free, packages)
+    schema = "spark_version string, python_version string, system string, master string, parallelism int, cores int, memory_bytes bigint, free_disk_bytes bigint, packages array<string>"
+    return spark.createDataFrame([row], schema).withColumn("session_time_zone", F.lit(spark.conf.get("spark.sql.session.timeZone")))
+
+
+def stamped(df: DataFrame, name: str = "run_at") -> DataFrame:
+    """``df`` with the time of the query, the same on every row."""
+    return df.withColumn(name, F.current_timestamp())

@@ -90,3 +90,31 @@ def read_checkpoint(spark: SparkSession, path: str, key: str, order: list[str],
     log = spark.read.option("mergeSchema", True).parquet(path)
     latest = last_written(log, key, order)
     return latest.where(valid) if valid is not None else latest
+
+
+def fetch(spark: SparkSession, source: str, target: str, md5: str | None = None) -> str:
+    """Copy a file through ``target.part`` and a rename, so that readers never see half of it; the place it ended at.
+
+    A file that is there already with the right sum stays.  One whose sum differs from ``md5`` is moved beside the
+    target as ``.quarantine`` and an error is raised.  Any file system Hadoop knows will do; the content is hashed in
+    a task, not on the driver.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    dst, part, bad = path(target), path(f"{target}.part"), path(f"{target}.quarantine")
+    fs = dst.getFileSystem(conf)
+
+    def good(where: str) -> bool:
+        return md5 is None or checksums(spark, where).first()["md5"] == md5.lower()
+
+    if fs.exists(dst) and good(target):
+        return target
+    src = path(source)
+    jvm.org.apache.hadoop.fs.FileUtil.copy(src.getFileSystem(conf), src, fs, part, False, True, conf)
+    if not good(f"{target}.part"):
+        fs.delete(bad, True)
+        fs.rename(part, bad)
+        raise ValueError(f"{source}: the checksum is not the published one")
+    fs.delete(dst, True)
+    fs.rename(part, dst)
+    return target

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 from ..operators.validate import content_hash
 
 
-def write_json_lines(df: DataFrame, path: str, order: list[str], files: int = 1) -> None:
-    """K1: fields by name, rows in order; range partitioned when more than one file is wanted."""
-    cols = sorted(df.columns)
-    out = df.select(*cols)
-    out = out.orderBy(*order).coalesce(1) if files == 1 else out.repartitionByRange(files, *order).sortWithinPartitions(*order)
+def _in_order(df: DataFrame, order: list[str], files: int | None) -> DataFrame:
+    """Rows in order over files in order: as many as the session's partitions, or ``files`` (one for a small report)."""
+    n = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+
+def write_json_lines(df: DataFrame, path: str, order: list[str], files: int | None = None) -> None:
+    """K1: fields by name, rows in order; the files' names are in order too."""
+    out = _in_order(df.select(*sorted(df.columns)), order, files)
     out.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
@@ -25,17 +29,18 @@ def write_json_object(df: DataFrame, path: str) -> None:
     df.limit(1).select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_csv(df: DataFrame, path: str, fields: list[str], order: list[str] | None = None) -> None:
-    """The named fields in order; arrays, maps and structs become JSON cells."""
+def write_csv(df: DataFrame, path: str, fields: list[str], order: list[str] | None = None, files: int | None = None) -> None:
+    """The named fields in order; arrays, maps and structs become JSON cells; every file has the header."""
     kinds = dict(df.dtypes)
     cells = [F.to_json(F.col(f)).alias(f) if kinds[f].startswith(("array", "map", "struct")) else F.col(f) for f in fields]
-    out = (df.orderBy(*order) if order else df).select(*cells).coalesce(1)
+    out = (_in_order(df, order, files) if order else df).select(*cells)
     out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_id_list(df: DataFrame, path: str, column: str) -> None:
-    """K5: one id per line, sorted."""
-    df.select(F.col(column).cast("string").alias("value")).where("value is not null").orderBy("value").coalesce(1).write.mode("overwrite").text(path)
+def write_id_list(df: DataFrame, path: str, column: str, files: int | None = None) -> None:
+    """K5: one id per line, sorted over the files in order."""
+    ids = df.select(F.col(column).cast("string").alias("value")).where("value is not null")
+    _in_order(ids, ["value"], files).write.mode("overwrite").text(path)
 
 
 def append_checkpoint(df: DataFrame, path: str) -> None:
