@@ -59,37 +59,61 @@ def missing_embeddings(corpus: DataFrame, cache: DataFrame, key: str) -> DataFra
     return corpus.join(cache.select(key), key, "left_anti")
 
 
-def dense_topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int = 20, query_block: int = 2048, corpus_block: int = 20_000, drop_self: bool = True) -> DataFrame:
+#: Bytes of query vectors up to which they travel with the tasks; more are met block by block.
+QUERY_BYTES = 64 << 20
+
+
+def _best(q_ids, q_vecs, c_ids, c_vecs, k: int, drop_self: bool) -> pd.DataFrame:
+    """The best ``k`` of a block of the corpus for every query, all ties of the last place with them."""
+    s = np.round(q_vecs @ c_vecs.T, 8)
+    if drop_self:
+        s[np.equal.outer(q_ids, c_ids)] = -np.inf
+    n = min(k, s.shape[1])
+    edge = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+    row, col = np.nonzero((s >= edge[:, None]) & (s > -np.inf))
+    return pd.DataFrame({"q": q_ids[row], "c": c_ids[col], "score": s[row, col]})
+
+
+def _by_dimension(ids, vectors) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Dimension -> (ids, matrix); empty vectors are left out."""
+    size = np.array([len(v) for v in vectors], dtype=int)
+    ids = np.asarray(ids)
+    return {int(d): (ids[size == d], np.stack([v for v, n in zip(vectors, size) if n == d]).astype("float64")) for d in set(size) - {0}}
+
+
+def dense_topk(queries: DataFrame, corpus: DataFrame, key: str, vector: str, k: int = 20, query_block: int = 2048, corpus_block: int = 20_000, drop_self: bool = True, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(q, rank, key, score): exact inner-product neighbours, rounded to 8 places, ties to the smaller key.
 
-    Every query block meets every corpus block once: the smaller side is repeated per block of the other, a block is
-    one matrix product, and only ``k`` rows per query leave it.  Vectors that are null or of another length than the
-    query's match nothing.
+    Queries of at most ``query_bytes`` in all travel with the tasks and the corpus streams past them where it lies: a
+    batch is one matrix product, and only ``k`` rows per query and batch leave it.  More queries meet the corpus in
+    blocks, each pair of blocks once.  Vectors that are null or of another length than the query's match nothing.
     """
-    nq, nc = queries.count(), corpus.count()
-    qb, cb = max(1, -(-nq // query_block)), max(1, -(-nc // corpus_block))
     v = F.col(vector)
-    qs = queries.where(v.isNotNull()).select(F.col(key).alias("q"), v.alias("v"), F.pmod(F.xxhash64(key), F.lit(qb)).alias("qb")).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
+    kind = dict(corpus.dtypes)[key]
+    qs = queries.where(v.isNotNull()).select(F.col(key).alias("q"), v.alias("v"))
+    held = qs.agg(F.coalesce(F.sum(F.size("v").cast("long") * 8 + 16), F.lit(0))).first()[0]
+    out = f"q {kind}, c {kind}, score double"
+    if held <= query_bytes:
+        rows = qs.collect()  # at most query_bytes
+        mine = _by_dimension([r[0] for r in rows], [r[1] for r in rows])
+
+        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for d, (ids, vecs) in _by_dimension(pdf["c"].to_numpy(), list(pdf["v"])).items():
+                    if d in mine:
+                        yield _best(*mine[d], ids, vecs, k, drop_self)
+
+        best = corpus.where(v.isNotNull()).select(F.col(key).alias("c"), v.alias("v")).mapInPandas(scan, out)
+        return top_k(best, "q", "c", "score", k).select("q", "rank", F.col("c").alias(key), "score")
+    nq, nc = qs.count(), corpus.count()
+    qb, cb = max(1, -(-nq // query_block)), max(1, -(-nc // corpus_block))
+    qs = qs.withColumn("qb", F.pmod(F.xxhash64("q"), F.lit(qb))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
     cs = corpus.where(v.isNotNull()).select(F.col(key).alias("c"), v.alias("v"), F.pmod(F.xxhash64(key), F.lit(cb)).alias("cb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for d in sorted(set(a["v"].map(len))):
-            x, y = a[a["v"].map(len) == d], b[b["v"].map(len) == d]
-            if x.empty or y.empty or d == 0:
-                continue
-            ids = y["c"].to_numpy()
-            s = np.stack(x["v"].to_numpy()).astype("float64") @ np.stack(y["v"].to_numpy()).astype("float64").T
-            s = np.round(s, 8)
-            for q, row in zip(x["q"], s):
-                if drop_self:
-                    row = np.where(ids == q, -np.inf, row)
-                n = min(k, len(row))
-                edge = np.partition(row, len(row) - n)[len(row) - n]
-                at = np.flatnonzero((row >= edge) & (row > -np.inf))  # all ties of the last place go on
-                out.append(pd.DataFrame({"q": q, "c": ids[at], "score": row[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"q": [], "c": [], "score": []})
+        x, y = _by_dimension(a["q"].to_numpy(), list(a["v"])), _by_dimension(b["c"].to_numpy(), list(b["v"]))
+        found = [_best(*x[d], *y[d], k, drop_self) for d in x if d in y]
+        return pd.concat(found) if found else pd.DataFrame({"q": [], "c": [], "score": []})
 
-    kind = dict(corpus.dtypes)[key]
-    best = qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInPandas(block, f"q {kind}, c {kind}, score double")
+    best = qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInPandas(block, out)
     return top_k(best, "q", "c", "score", k).select("q", "rank", F.col("c").alias(key), "score")

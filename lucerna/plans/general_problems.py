@@ -186,5 +186,15 @@ ORACLE = {
     "p2_aspects": _P2_SQL + "SELECT record_id, item_pos, item_key, CASE WHEN ok THEN i->>'$.description' END AS description, CASE WHEN ok THEN i->>'$.question_relevance' END AS question_relevance, variant FROM (SELECT *, variant NOT IN ('bare', 'other') ok FROM var WHERE kind = 'aspect')",
     "p2_evidence": _P2_SQL + f"SELECT record_id, kind AS parent, item_pos, sub_pos, k AS snippet_id FROM ({_P2_EVIDENCE})",
     "p4_found": _P4_SQL + "SELECT * FROM all_orphans",
+    "p2_relation_links": _P2_SQL
+    + """, ent AS (SELECT record_id, list_transform(l, lambda e: coalesce(e->>'$.entity_id', e->>'$.id', '')) ids, list_transform(l, lambda e: coalesce(e->>'$.name', e->>'$.label', '')) names FROM lists WHERE kind = 'entity')
+SELECT v.record_id, item_pos, item_key AS edge_key, CASE WHEN coalesce(src, '') <> '' THEN coalesce(nullif(list_position(ids, src), 0), nullif(list_position(names, src), 0)) END::INT AS source_pos,
+  CASE WHEN coalesce(dst, '') <> '' THEN coalesce(nullif(list_position(ids, dst), 0), nullif(list_position(names, dst), 0)) END::INT AS target_pos
+FROM (SELECT *, i->>'$.source' src, i->>'$.target' dst FROM own WHERE kind = 'relation') v LEFT JOIN ent ON ent.record_id = v.record_id""",
+    "p2_shapes": _P2_SQL
+    + """, s AS (SELECT record_id, list_transform(['$', '$.entities', '$.relations', '$.answer_aspects'], lambda f: CASE coalesce(json_type(j, f), 'NONE') WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' WHEN 'VARCHAR' THEN 'text' WHEN 'NULL' THEN CASE f WHEN '$' THEN 'null' ELSE 'absent' END WHEN 'NONE' THEN 'absent' ELSE 'scalar' END) t FROM u)
+SELECT t[1] || '(' || t[2] || ',' || t[3] || ',' || t[4] || ')' AS shape, count(*) AS n_records FROM s GROUP BY 1""",
+    "p4_rates": _P4_SQL + """, every AS (SELECT DISTINCT 'evidence_arms' src_table, id, 'evidence_snippet_ids' ref_field, k, strftime(t, '%Y-%m') period FROM arm UNION SELECT 'claim_verifications', id, f, k, strftime(t, '%Y-%m') FROM refs WHERE k IS NOT NULL AND k <> '')
+SELECT e.src_table, e.ref_field, e.period, count(*) AS n_references, count(o.reason) AS n_orphans FROM every e LEFT JOIN all_orphans o ON o.src_table = e.src_table AND o.src_id = e.id AND o.ref_field = e.ref_field AND o.ref_key = e.k GROUP BY 1, 2, 3""",
     "p4_report": _P4_SQL + "SELECT src_table, ref_field, period, reason, count(*)::BIGINT AS n_orphans FROM all_orphans GROUP BY ALL",
 }

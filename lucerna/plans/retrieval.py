@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import bucket
 from ..operators import dense, fusion, lexical, metrics
 from ..session import table
+from ..workspace import Workspace
 
 ROUTE_COST = {"bm25": 1, "stored": 2, "fused": 3}
 
@@ -46,13 +47,14 @@ def dense_label_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rankings(spark: SparkSession, sf: str) -> DataFrame:
-    """(method, q, item, rank, score): BM25, the stored list, and their fusion."""
+    """(method, q, item, rank, score): BM25, the stored list, and their fusion; written once for all that compare them."""
     a = bm25_topk(spark, sf).select(F.lit("bm25").alias("method"), F.col("record_id").alias("q"), F.col("snippet_id").alias("item"), "rank", "score")
     s = _questions(spark, sf).select(F.col("record_id").alias("q"), F.posexplode("hybrid_top5").alias("p", "item")).where("item is not null")
     s = s.groupBy("q", "item").agg((F.min("p") + 1).alias("rank")).select(F.lit("stored").alias("method"), "q", "item", "rank", (1.0 / F.col("rank")).alias("score"))
-    both = a.unionByName(s)
+    ws = Workspace(spark, "rankings")
+    both = ws.keep(a.unionByName(s), "two")
     fused = fusion.reciprocal_rank_fusion(both).select(F.lit("fused").alias("method"), "q", "item", "rank", "score")
-    return both.unionByName(fused)
+    return both.unionByName(ws.keep(fused, "fused"))
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:

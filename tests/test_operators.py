@@ -29,6 +29,7 @@ def test_dense_blocks_equal_brute_force(spark):
     v = np.round(r.normal(size=(60, 8)), 2).astype("float32")
     df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(60)] + [(99, None)], "k bigint, v array<float>")
     got = rows(dense.dense_topk(df.where("k % 5 = 0"), df, "k", "v", 4, query_block=5, corpus_block=7), "q", "rank", "k")
+    assert got == rows(dense.dense_topk(df.where("k % 5 = 0"), df, "k", "v", 4, query_block=5, corpus_block=7, query_bytes=0), "q", "rank", "k")
     want = []
     for q in range(0, 60, 5):
         s = sorted((-round(float(v[q].astype("float64") @ v[i].astype("float64")), 8), i) for i in range(60) if i != q)
