@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def build_session(app: str = "lucerna", cores: int | None = None, **conf: str) -> SparkSession:
+def build_session(app: str = "lucerna", cores: int | None = None, checkpoint_dir: str | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; on a cluster spark-submit brings its own.
 
-    UTC, AQE with skew splitting on, shuffle partitions equal to the cores.
+    UTC, AQE with skew splitting on, shuffle partitions equal to the cores.  ``checkpoint_dir``: where intermediate tables go.
     """
     n = cores or os.cpu_count() or 4
     b = (
@@ -28,6 +28,8 @@ def build_session(app: str = "lucerna", cores: int | None = None, **conf: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     spark = b.getOrCreate()

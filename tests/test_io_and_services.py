@@ -27,7 +27,7 @@ def test_round_trips(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "c"), ["n", "s", "l"], ["n"])
     c = readers.read_csv(spark, str(tmp_path / "c"))
     assert [(r.n, r.l) for r in c.orderBy("n").collect()] == [("1", "[]"), ("2", '["a"]')]
-    sinks.write_id_list(df, str(tmp_path / "i"), "n")
+    sinks.write_id_list(df, str(tmp_path / "i"), "n", files=1)
     assert [r.id for r in readers.read_id_list(spark, str(tmp_path / "i")).collect()] == ["1", "2"]
     sinks.write_json_object(df.where("n = 2"), str(tmp_path / "o"))
     assert readers.checksums(spark, str(tmp_path / "i" / "*.txt")).count() == 1
@@ -103,3 +103,33 @@ def test_streams_equal_batches(spark, sf, tmp_path):
     q = pipelines.deduplicated(stream, ["event_id"], "400 days").writeStream.format("memory").queryName("d").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("d").count() == e.select("event_id").distinct().count()
+
+
+def test_workspaces_are_swept(spark):
+    import os
+
+    from lucerna import workspace as W
+
+    with W.Workspace(spark, "with") as ws:
+        ws.keep(spark.range(3).toDF("n"), "a")
+        where = ws.path.removeprefix("file:")
+        assert os.path.isdir(where)
+    assert not os.path.isdir(where)
+    ws = W.Workspace(spark, "swept")
+    assert ws.route(spark.createDataFrame([(1, "x"), (2, "y")], "n int, k string"), "r", ["k"]).where("k = 'y'").first().n == 2
+    assert W.sweep(spark) >= 1 and not os.path.isdir(ws.path.removeprefix("file:"))
+    dead = W.shared_dir(spark).removeprefix("file:") + "/lucerna-dead"
+    os.makedirs(dead)
+    W.sweep_dead(spark, {"dead", spark.sparkContext.applicationId})
+    assert not os.path.isdir(dead)
+
+
+def test_fetch_checks_the_sum(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a").write_bytes(b"abc")
+    md5 = hashlib.md5(b"abc").hexdigest()
+    assert readers.fetch(spark, str(tmp_path / "a"), str(tmp_path / "b"), md5.upper()) == str(tmp_path / "b") and (tmp_path / "b").read_bytes() == b"abc"
+    with pytest.raises(ValueError):
+        readers.fetch(spark, str(tmp_path / "a"), str(tmp_path / "c"), "0" * 32)
+    assert not (tmp_path / "c").exists() and (tmp_path / "c.quarantine").exists() and not (tmp_path / "c.part").exists()
