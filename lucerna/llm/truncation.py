@@ -27,29 +27,19 @@ from ..workspace import Workspace
 MEASURES = ("points", "utf8", "utf16", "entities", "entities_utf8", "json", "json_utf8", "json_ascii", "crlf", "crlf_utf8")
 
 
-def measure(t: Column, name: str) -> Column:
-    """Length of a text under one measure, by counting: no escaped copy is kept."""
-    def times(pattern: str) -> Column:
-        return F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
-
-    astral = times("[^\\x{0}-\\x{FFFF}]")
-    html = times("[<>]") * 3 + times("&") * 4 + times("[\"']") * 5
-    short = times("[\"\\\\\\n\\r\\t\\x08\\f]")
-    control = times("[\\x00-\\x07\\x0b\\x0e-\\x1f]") * 5
-    breaks = F.length(t) - F.length(F.regexp_replace(t, "(?<!\\r)\\n", ""))
-    utf8 = F.octet_length(t)
-    return {
-        "points": F.length(t),
-        "utf8": utf8,
-        "utf16": F.length(t) + astral,
-        "entities": F.length(t) + html,
-        "entities_utf8": utf8 + html,
-        "json": F.length(t) + short + control,
-        "json_utf8": utf8 + short + control,
-        "json_ascii": F.length(t) + short + control + times("[^\\x{0}-\\x{7F}]") * 5 + astral * 6,
-        "crlf": F.length(t) + breaks,
-        "crlf_utf8": utf8 + breaks,
-    }[name].cast("long")
+_CONTROL = re.compile(r"[\x00-\x07\x0b\x0e-\x1f]")
+
+
+def sizes_of(t: str) -> list[int]:
+    """Lengths of a text under MEASURES, by counting: no escaped copy is made."""
+    n, utf8 = len(t), len(t.encode("utf-8", "surrogatepass"))
+    astral = 0 if utf8 == n else len(t.encode("utf-16-le", "surrogatepass")) // 2 - n
+    foreign = 0 if utf8 == n else n - len(t.encode("ascii", "ignore"))
+    quotes, feeds = t.count('"'), t.count("\n")
+    html = (t.count("<") + t.count(">")) * 3 + t.count("&") * 4 + (quotes + t.count("'")) * 5
+    escapes = quotes + feeds + sum(map(t.count, "\\\r\t\x08\f")) + len(_CONTROL.findall(t)) * 5
+    breaks = feeds - t.count("\r\n")
+    return [n, utf8, n + astral, n + html, utf8 + html, n + escapes, utf8 + escapes, n + escapes + foreign * 5 + astral * 6, n + breaks, utf8 + breaks]
 
 
 _DECODER = json.JSONDecoder(strict=False)
@@ -58,7 +48,7 @@ _ENDED = re.compile(r"[.!?。…][\"'”»)\]*_`]*\s*\Z")
 _SECTION = re.compile(r"(?:\A|\n|(?<=[.!?])[ \t])[ \t]*((?:[\w-]+ )?[A-Za-z]+\d+):\s")
 _STOP = re.compile(r"[.!?](?=\s|\Z)")
 #: What closes the brackets, strings and fence of a reply.
-_CLOSERS = "[\\s\"}\\]`]*$"
+_CLOSERS = " \t\n\r\x0b\x0c\"}]`"
 #: A cut that keeps characters whole, or a blank stripped after it, leaves a text this much below its limit at most.
 SLACK = 3
 _WORD_ITEM = re.compile(r"\A\s*(?:[-*•]|\d+[.)])\s")
@@ -184,17 +174,23 @@ def stops_inside(text: str, form: str, expected: list[str] | None = None) -> boo
 
 
 _ENDING = T.StructType(
-    [T.StructField(n, T.StringType()) for n in ("form", "verdict", "last")] + [T.StructField("phrases", T.ArrayType(T.StringType())), T.StructField("inside", T.BooleanType())]
+    [T.StructField(n, T.StringType()) for n in ("form", "verdict", "last")]
+    + [T.StructField("phrases", T.ArrayType(T.StringType())), T.StructField("inside", T.BooleanType()), T.StructField("reach", T.ArrayType(T.LongType()))]
 )
 
 
+def inspected(t: str, expected: list[str] | None) -> tuple[str, str, str | None, list[str], bool, list[int]]:
+    """What is read from one reply: ``ending_of``, ``stops_inside`` and how far a cut may have gone under each measure: of
+    closed JSON without its closers, which a repair may have added."""
+    form, verdict, last, phrases = ending_of(t)
+    repaired = form == "json" and verdict != "open"
+    return form, verdict, last or None, sorted(set(phrases)), verdict == "ended" and stops_inside(t, form, expected), sizes_of(t.rstrip(_CLOSERS) if repaired else t)
+
+
 @F.pandas_udf(_ENDING)
 def _endings(texts: pd.Series, expected: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, x in zip(texts, expected):
-        f, v, last, p = ending_of(t)
-        rows.append((f, v, last or None, sorted(set(p)), v == "ended" and stops_inside(t, f, None if x is None else list(x))))
-    return pd.DataFrame(rows, columns=["form", "verdict", "last", "phrases", "inside"])
+    rows = [inspected(t, None if x is None else list(x)) for t, x in zip(texts, expected)]
+    return pd.DataFrame(rows, columns=[f.name for f in _ENDING.fields])
 
 
 def limits(found: DataFrame, source: str, reach: int = 20, times: float = 6.0, sigmas: float = 5.0, share: float = 0.5) -> DataFrame:
@@ -242,16 +238,12 @@ def examine(records: DataFrame, key: str, text: str, source: str, share: float =
     Null texts give no row.  ``whole``: structure closed, final stop, sections done.  ``unfinished``: lost its end even
     where no limit is near: an open structure, or a final phrase (same field, same text) of which less than two, or less
     than ``share`` of all, occurrences in the corpus stand before other content.  A share, so that more data does not
-    clear more phrases.  ``reach``: the sizes up to which a cut may have gone, that is, of closed JSON without its closers,
-    which a repair may have added.  ``expected``: a column of the labels a whole reply names, see ``stops_inside``.
+    clear more phrases.  ``reach``: see ``inspected``.  ``expected``: a column of the labels a whole reply names, see ``stops_inside``.
     """
     ws = Workspace(records.sparkSession, "truncation")
     t = F.col(text)
     x = F.col(expected) if expected else F.lit(None).cast("array<string>")
-    sizes = F.array(*[measure(t, m) for m in MEASURES])
-    closers = F.array(*[measure(F.col("_closers"), m) for m in MEASURES])
-    d = records.where(t.isNotNull()).withColumn("_closers", F.regexp_extract(t, _CLOSERS, 0))
-    d = d.select(key, source, _endings(t, x).alias("e"), sizes.alias("sizes"), closers.alias("closers")).select(key, source, "sizes", "closers", "e.*")
+    d = records.where(t.isNotNull()).select(key, source, _endings(t, x).alias("e")).select(key, source, "e.*")
     d = ws.keep(d, "endings")
     loose = d.where("verdict = 'unsure'").select(key, F.col("last").alias("phrase")).where("phrase is not null")
     going_on = d.select(F.explode("phrases").alias("phrase"), F.lit(1).alias("before"))
@@ -259,11 +251,9 @@ def examine(records: DataFrame, key: str, text: str, source: str, share: float =
     known = counted.where((F.col("share") >= share) & (F.col("before") > 1)).select("phrase")
     broken = loose.join(known, "phrase", "left_anti").select(key).distinct().withColumn("_broken", F.lit(True))
     d = d.drop("last", "phrases").join(broken, key, "left")
-    repaired = (F.col("form") == "json") & (F.col("verdict") != "open")
-    reach = F.when(repaired, F.zip_with("sizes", "closers", lambda a, b: a - b)).otherwise(F.col("sizes"))
     unfinished = (F.col("verdict") == "open") | F.coalesce("_broken", F.lit(False))
     whole = (F.col("verdict") == "ended") & ~F.col("inside")
-    return ws.keep(d.select(key, source, "form", reach.alias("reach"), whole.alias("whole"), unfinished.alias("unfinished")), "examined")
+    return ws.keep(d.select(key, source, "form", "reach", whole.alias("whole"), unfinished.alias("unfinished")), "examined")
 
 
 def truncated(records: DataFrame, key: str, text: str, source: str, expected: str | None = None, with_limits: bool = True) -> DataFrame:
