@@ -11,6 +11,7 @@ WEIGHTS = {
     "broad": {"relation": {"high": 3.0, "medium": 2.0, "low": 0.5}, "aspect": {"high": 5.0, "medium": 3.0, "low": 1.0}},
     "strict": {"relation": {"high": 3.0, "medium": 2.0}, "aspect": {"high": 5.0, "medium": 3.0}},
 }
+#: Items that go on of each list, entities, relations and aspects.  ``clean_graph`` counts what is left out.
 CAPS = (12, 16, 12)
 
 
@@ -30,12 +31,18 @@ def merged_rerank(ranked: Column, candidates: Column) -> Column:
     return F.array_distinct(F.concat(F.filter(ranked, lambda x: F.array_contains(candidates, x)), candidates))
 
 
-def clean_graph(entities: Column, relations: Column, aspects: Column, allowed: Column, caps: tuple[int, int, int] = CAPS) -> Column:
+def clean_graph(entities: Column, relations: Column, aspects: Column, allowed: Column, caps: tuple[int, int, int] | None = CAPS) -> Column:
     """Entities with id and name; relations between known entities with allowed evidence; aspects with a
-    description and allowed evidence; unknown relevance becomes low for relations, medium for aspects; lists capped."""
+    description and allowed evidence; unknown relevance becomes low for relations, medium for aspects.
+
+    ``caps`` limits the three lists as the workload does, None keeps them whole; ``over`` is how many items a cap left out.
+    """
     none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
     ents = F.filter(F.coalesce(entities, none("struct<entity_id:string,name:string,type:string>")), lambda e: (F.trim(F.coalesce(e["entity_id"], F.lit(""))) != "") & (F.trim(F.coalesce(e["name"], F.lit(""))) != ""))
-    ents = F.slice(ents, 1, caps[0])
+    over = F.lit(0)
+    if caps:
+        over = F.greatest(F.size(ents) - caps[0], F.lit(0))
+        ents = F.slice(ents, 1, caps[0])
     known = F.concat(F.transform(ents, lambda e: e["entity_id"]), F.transform(ents, lambda e: e["name"]))
     ok_ids = F.coalesce(allowed, F.array().cast("array<string>"))
     levels = ["high", "medium", "low"]
@@ -50,7 +57,10 @@ def clean_graph(entities: Column, relations: Column, aspects: Column, allowed: C
     rels = F.filter(rels, lambda r: F.array_contains(known, r["source"]) & F.array_contains(known, r["target"]) & (F.size(r["evidence"]) > 0))
     asps = F.transform(F.filter(aspects, lambda a: a.isNotNull()), lambda a: F.struct(a["aspect_id"].alias("aspect_id"), a["description"].alias("description"), evidence(a).alias("evidence"), clamp(a["question_relevance"], levels, "medium").alias("relevance")))
     asps = F.filter(asps, lambda a: (F.trim(F.coalesce(a["description"], F.lit(""))) != "") & (F.size(a["evidence"]) > 0))
-    return F.struct(ents.alias("entities"), F.slice(rels, 1, caps[1]).alias("relations"), F.slice(asps, 1, caps[2]).alias("aspects"))
+    if caps:
+        over = over + F.greatest(F.size(rels) - caps[1], F.lit(0)) + F.greatest(F.size(asps) - caps[2], F.lit(0))
+        rels, asps = F.slice(rels, 1, caps[1]), F.slice(asps, 1, caps[2])
+    return F.struct(ents.alias("entities"), rels.alias("relations"), asps.alias("aspects"), over.alias("over"))
 
 
 def select_by_coverage(candidates: list[str], items: list[tuple[str, str, str, list[str]]], mode: str = "strict", n: int = 5, fill: list[str] | None = None) -> list[tuple[int, str, int, str, float]]:

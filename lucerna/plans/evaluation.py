@@ -511,7 +511,7 @@ def bootstrap_answer_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_normalised(spark: SparkSession, sf: str) -> DataFrame:
-    return _cleaned(spark, sf).select("record_id", F.size("graph.entities").alias("n_entities"), F.size("graph.relations").alias("n_relations"), F.size("graph.aspects").alias("n_aspects"))
+    return _cleaned(spark, sf).select("record_id", F.size("graph.entities").alias("n_entities"), F.size("graph.relations").alias("n_relations"), F.size("graph.aspects").alias("n_aspects"), F.col("graph.over").alias("n_over_caps"))
 
 
 _SHAPES = {

@@ -45,18 +45,16 @@ def deduplicated(stream: DataFrame, keys: list[str], late: str = "1 hour") -> Da
 
 
 def run_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Micro-batches through ``work``, appended to ``out``; keys done before are skipped, so a replay adds nothing."""
+    """Micro-batches through ``work``, written to ``out``, each into a folder of its own.
+
+    Keys done before are known to the query's state, so no earlier output is read again; a batch that is replayed after
+    a failure overwrites its own folder, so it adds nothing.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(out)
-        todo = batch.dropDuplicates([key])
-        if p.getFileSystem(conf).exists(p):
-            todo = todo.join(spark.read.parquet(out).select(key), key, "left_anti")
-        work(todo).write.mode("append").parquet(out)
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        work(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return stream.dropDuplicates([key]).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_per_key(stream: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:

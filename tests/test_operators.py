@@ -22,6 +22,20 @@ def test_bm25_edges(spark):
     assert lexical.bm25_topk(q, c.limit(0), "q", "t", "d", "t", 5).count() == 0
 
 
+def test_hot_term_and_popular_snippet_are_spread(spark):
+    """One term, one snippet, one text in all of 25 000 rows."""
+    docs = spark.range(25_000).select(F.col("id").alias("d"), F.concat(F.lit("gene u"), "id").alias("t"))
+    got = lexical.bm25_topk(spark.createDataFrame([(1, "the gene u123"), (2, "gene")], "q int, t string"), docs, "q", "t", "d", "t", 3)
+    assert [(r.q, r.rank, r.d) for r in got.orderBy("q", "rank").collect()] == [(1, 1, 123), (1, 2, 0), (1, 3, 1), (2, 1, 0), (2, 2, 1), (2, 3, 2)]
+    arms = docs.select("d", F.array(F.lit("hot"), F.concat(F.lit("s"), "d"), F.lit("gone")).alias("ids"))
+    bank = docs.select(F.concat(F.lit("s"), "d").alias("s"), "t").unionByName(spark.createDataFrame([("hot", "x")], "s string, t string"))
+    p = evidence.evidence_packets(arms, "d", "ids", bank, "s", "t")
+    assert p.where("size(packet) = 2 and n_missing = 1 and packet[0].snippet_id = 'hot'").count() == 25_000
+    m = corpus.duplicate_members(docs.withColumn("t", F.when(F.col("d") < 22_000, F.lit("Same ")).otherwise(F.col("t"))), "t", "d")
+    assert m.count() == 22_000 and m.where("place <= 25").count() == 25
+    assert rows(corpus.dangling(arms.select(F.explode("ids").alias("i")), bank, "i", "s")) == [(75_000, 25_000)]
+
+
 def test_dense_blocks_equal_brute_force(spark):
     import numpy as np
 
