@@ -13,7 +13,8 @@ import heapq
 from bisect import insort
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ from ..workspace import Workspace
 
 #: Shares of the capacity a first-round window may be filled to, tried in turn.
 FILLS = (*(0.9975 - 0.0025 * i for i in range(28)), 0.9, 0.85)
-#: Tasks of a round; beyond that many blocks share a task.
-MOST_TASKS = 20_000
+#: Blocks that share a task, and the most tasks of a round; beyond that more blocks share one.
+BLOCKS_A_TASK, MOST_TASKS = 6, 20_000
 
 #: Bits of an entry's group number; above them stands the sum of its window.
 SHIFT = 32
@@ -132,11 +133,11 @@ def pack_to_the_brim(sizes: np.ndarray, capacity: int, fills: tuple[float, ...]
 
 
 def _pack_block(final: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "item", "piece"], ascending=[False, True, True], kind="stable")
-        sizes, capacity = pdf["size"].to_numpy(dtype=np.int64), int(pdf["capacity"].iloc[0])
+    def run(block: pa.Table) -> pa.Table:
+        block = block.take(pc.sort_indices(block, sort_keys=[("size", "descending"), ("item", "ascending"), ("piece", "ascending")]))
+        sizes, capacity = block["size"].to_numpy(), block["capacity"][0].as_py()
         w = pack(sizes, capacity) if final else pack_to_the_brim(sizes, capacity)
-        return pdf[["container", "block", "item", "piece", "size"]].assign(win=w.astype("int32"))
+        return block.select(["container", "block", "item", "piece", "size"]).append_column("win", pa.array(w, pa.int32()))
 
     return run
 
@@ -168,10 +169,10 @@ def fill_containers(items: DataFrame, containers: DataFrame, key: str = "doc_id"
 
     def run(df: DataFrame, n: int, name: str, final: bool) -> DataFrame:
         b = df.withColumn("block", F.pmod(F.xxhash64("item", "piece", F.lit(name)), F.lit(n)))
-        # the work is in the blocks, not in their few bytes: as many partitions as the blocks need
-        tasks = max(1, min(MOST_TASKS, n * len(caps) // 2))
+        # the work is in the blocks, not in their few bytes: enough partitions for all cores, a few blocks in each
+        tasks = max(1, min(MOST_TASKS, n * len(caps) // BLOCKS_A_TASK))
         b = b.repartition(tasks, "container", "block")
-        return ws.keep(b.groupBy("container", "block").applyInPandas(_pack_block(final), _WINDOWS), name)
+        return ws.keep(b.groupBy("container", "block").applyInArrow(_pack_block(final), _WINDOWS), name)
 
     first = run(rest, blocks, "first", False)
     capacity = F.create_map(*[F.lit(x) for r in caps for x in (r["container"], r["capacity"])])[F.col("container")]

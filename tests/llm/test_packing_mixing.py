@@ -68,15 +68,16 @@ def test_mix_reaches_shares(spark):
     docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "small").when(F.col("id") % 10 == 1, "odd").otherwise("big").alias("source"), (F.col("id") % 7 + 1).alias("tokens"))
     docs = docs.unionByName(spark.createDataFrame([(9999, None, 5), (9998, "big", None)], "doc_id bigint, source string, tokens bigint"))
     t = spark.createDataFrame([("small", 0.4, 3), ("big", 0.5, 1), ("gone", 0.1, 2)], "source string, target_share double, max_repeats int")
-    out, shares = M.mix(docs, t)
+    out, shares = M.mix(docs, t, total="reachable")
     got = {r.source: r for r in shares.collect()}
     assert abs(got["small"].reached_share - 0.4 / 0.9) < 0.01 and abs(got["big"].reached_share - 0.5 / 0.9) < 0.01 and got["gone"].used_tokens == 0
     assert {r.source for r in out.select("source").distinct().collect()} == {"small", "big"}
     assert all(r.most_copies <= r.max_repeats for r in got.values())
-    out, shares = M.mix(docs, t, total="corpus")
+    out, shares = M.mix(docs, t)  # at the size of the corpus
     got = {r.source: r for r in shares.collect()}
     assert got["small"].most_copies == 3 and got["small"].clamped and out.where("copies > 3").count() == 0
-    again = M.mix(docs, t, total="corpus")[0]
+    assert got["big"].used_tokens > 0.99 * min(got["big"].available_tokens, got["big"].used_tokens + 1) and got["small"].used_tokens == 3 * got["small"].available_tokens
+    again = M.mix(docs, t)[0]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
     none, s = M.mix(docs.limit(0), t)
     assert none.count() == 0 and {r.reached_share for r in s.collect()} == {0.0}

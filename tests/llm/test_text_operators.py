@@ -188,6 +188,17 @@ def test_overlap_equals_brute_force(spark):
     assert O.overlap_pairs(e.limit(0), t).count() == 0 and O.overlap_pairs(e, t.limit(0)).count() == 0
 
 
+def test_hot_training_text_and_short_texts(spark):
+    """A third of training says the same, another third is one word long; classes are paired, rows only named."""
+    same = "what is known about the role of this gene in the disease"
+    tr = spark.range(66_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(same)).when(F.col("id") % 3 == 1, F.lit("what")).otherwise(F.concat(F.lit("entirely other text number "), "id", F.lit(" which shares nothing with the others at all"))).alias("text"))
+    ev = spark.createDataFrame([("e", 1, same.replace("gene", "protein")), ("e", 2, "What?"), ("e", 3, "what is it"), ("e", 4, None), ("e", 5, "no")], "tab string, id bigint, text string")
+    per = {r.id: (r.n_classes, r.exact) for r in O.overlapping_records(ev, tr).collect()}
+    assert per == {1: (1, False), 2: (1, True), 3: (1, False), 5: (1, False)}
+    n = {r.id: r["count"] for r in O.overlap_pairs(ev, tr).groupBy("id").count().collect()}
+    assert n == {1: 22_000, 2: 22_000, 3: 22_000, 5: 22_000}
+
+
 def test_within():
     assert O.within([], ["a", "b"], 2) and not O.within([], ["a", "b", "c"], 2) and O.within(["a"], ["b"], 1)
 
