@@ -23,7 +23,11 @@ from ..workspace import Workspace
 QUARANTINE = "quarantine"
 
 
-def _heavy(counted: DataFrame, key: str, share: float = 0.02, least: int = 20_000) -> list:
+#: Rows below which no key is worth spreading; a table with fewer is not even counted by key.
+LEAST = 20_000
+
+
+def _heavy(counted: DataFrame, key: str, share: float = 0.02, least: int = LEAST) -> list:
     """Keys of a counted table (key, n) that hold ``share`` of the sum: at most 1/share of them."""
     total = counted.agg(F.sum("n")).first()[0] or 0
     return [r[0] for r in counted.where(F.col("n") >= max(least, share * total)).select(key).collect()]
@@ -37,16 +41,20 @@ def contract(edges: DataFrame, ws: Workspace, most_rounds: int = 60) -> DataFram
     """
     e = ws.keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "e0")
     tables: list[DataFrame] = []
+    nodes: list[int] = []
     for k in range(most_rounds):
-        if e.limit(1).count() == 0:
+        n_edges = e.count()  # from the files' footers
+        if n_edges == 0:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         p = ws.keep(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("p"), "n"), f"p{k}")
-        hot = _heavy(p.select("u", "n"), "u")
+        hot = _heavy(p.select("u", "n"), "u") if n_edges >= LEAST else []
+        n_nodes = p.count()
         aimed = p.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
         up = p.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        f = ws.keep(salted_join(p.select("u", "p"), up, ["p"], "inner", _heavy(aimed, "p"), F.col("u")).select("u", F.col("pp").alias("f")), f"f{k}")
+        f = ws.keep(salted_join(p.select("u", "p"), up, ["p"], "inner", _heavy(aimed, "p") if n_nodes >= LEAST else [], F.col("u")).select("u", F.col("pp").alias("f")), f"f{k}")
         tables.append(f)
+        nodes.append(n_nodes)
         fu, fv = f.select("u", F.col("f").alias("fu")), f.select(F.col("u").alias("v"), F.col("f").alias("fv"))
         moved = salted_join(salted_join(e, fu, ["u"], "inner", hot, F.col("v")), fv, ["v"], "inner", hot, F.col("u"))
         nxt = moved.where("fu <> fv").select(F.greatest("fu", "fv").alias("u"), F.least("fu", "fv").alias("v")).distinct()
@@ -61,7 +69,7 @@ def contract(edges: DataFrame, ws: Workspace, most_rounds: int = 60) -> DataFram
         up = out.select(F.col("node").alias("f"), F.col("root"))
         step = tables[k]
         to = step.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-        out = salted_join(step, up, ["f"], "left", _heavy(to, "f"), F.col("u")).select(F.col("u").alias("node"), F.coalesce("root", "f").alias("root"))
+        out = salted_join(step, up, ["f"], "left", _heavy(to, "f") if nodes[k] >= LEAST else [], F.col("u")).select(F.col("u").alias("node"), F.coalesce("root", "f").alias("root"))
         out = ws.keep(out, f"root{k}")
     return out
 
@@ -125,7 +133,7 @@ def attach(state: Components, nodes: DataFrame, ties: DataFrame, ws: Workspace,
         # of the state only the batch's own keys go on, and where they lead now
         known = ws.keep(state.current(state.keys.join(h, "key"), "key").select("key", "hub", "comp"), "known")
         edges = edges.unionByName(known.select(F.col("hub").alias("u"), F.col("comp").alias("v")))
-    roots = ws.keep(contract(edges, ws), "roots")
+    roots = contract(edges, ws)
     members = nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
     new = h if known is None else h.join(known.select("key"), "key", "left_anti")
     keys = new.join(roots.withColumnRenamed("node", "hub"), "hub", "left").select("key", F.coalesce("root", "hub").alias("comp"))
@@ -133,7 +141,7 @@ def attach(state: Components, nodes: DataFrame, ties: DataFrame, ws: Workspace,
         merged = state.renames
     else:
         merged = known.select("comp").distinct().join(roots.withColumnRenamed("node", "comp"), "comp").where("comp <> root").select("comp", "root")
-    return ws.keep(members, "members"), ws.keep(keys, "keys"), ws.keep(merged, "merged")
+    return ws.keep(members, "members"), keys, merged
 
 
 def fill_deficits(new: DataFrame, placed: dict[str, int], targets: dict[str, float], seed: int = 20260725, large: float = 0.001, buckets: int = 4096) -> DataFrame:
@@ -185,6 +193,7 @@ def advance(state: Components, nodes: DataFrame, ties: DataFrame, targets: dict[
     """
     fresh = state.keys.limit(1).count() == 0 and state.sizes.limit(1).count() == 0
     members, keys, merged = attach(state, nodes, ties, ws, fresh)
+    keys, merged = ws.keep(keys, "keys"), ws.keep(merged, "merged")
     # the small table of renames: earlier ones whose target was merged now are led on
     onward = merged.select(F.col("comp").alias("root"), F.col("root").alias("next"))
     renames = state.renames.join(onward, "root", "left").select("comp", F.coalesce("next", "root").alias("root")).unionByName(merged)
