@@ -241,8 +241,25 @@ SELECT comp AS group_id, CASE WHEN n < 1152921504606846976 THEN 'body_records' E
 FROM c JOIN keep USING (comp)
 """
 
+_P7 = r"""
+WITH RECURSIVE ev AS (SELECT 'body_records' tab, record_id id, regexp_extract_all(lower(normalised_body), '[\p{L}\p{N}]+') w FROM body_records WHERE split IN ('dev', 'test') AND normalised_body IS NOT NULL
+  UNION ALL SELECT 'graph_claim_pilot_manifest', pilot_id, regexp_extract_all(lower(question), '[\p{L}\p{N}]+') FROM graph_claim_pilot_manifest WHERE question IS NOT NULL),
+tr AS (SELECT record_id id, regexp_extract_all(lower(normalised_body), '[\p{L}\p{N}]+') w FROM body_records WHERE split = 'train' AND normalised_body IS NOT NULL),
+a AS (SELECT w, len(w) n, row_number() OVER () k FROM (SELECT DISTINCT w FROM ev)), b AS (SELECT w, len(w) n, row_number() OVER () k FROM (SELECT DISTINCT w FROM tr)),
+cand AS (SELECT a.k ka, b.k kb, a.w wa, b.w wb FROM a JOIN b ON abs(a.n - b.n) <= 2
+  WHERE len(list_filter(list_distinct(a.w), lambda x: NOT list_contains(b.w, x))) <= 2 AND len(list_filter(list_distinct(b.w), lambda x: NOT list_contains(a.w, x))) <= 2),
+d AS (SELECT ka, kb, wa, wb, 0 i, range(0, len(wb) + 1) r FROM cand
+  UNION ALL SELECT ka, kb, wa, wb, i + 1, list_transform(range(0, len(wb) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: CASE WHEN k = 0 THEN i + 1 ELSE least(r[k + 1] + 1, r[k] + (wb[k] <> wa[i + 1])::INT) - k END))) FROM d WHERE i < len(wa)),
+near AS (SELECT wa, wb FROM d WHERE i = len(wa) AND r[len(wb) + 1] <= 2)
+"""
+
 ORACLE = {
     "p3_found": _P3,
+    "p7_found": _P7 + "SELECT DISTINCT ev.tab AS eval_table, ev.id AS eval_id, tr.id AS train_record_id FROM near JOIN ev ON ev.w = near.wa JOIN tr ON tr.w = near.wb",
+    "p7_report": _P7
+    + """, hit AS (SELECT ev.tab, ev.id, bool_or(near.wa = near.wb) exact FROM near JOIN ev ON ev.w = near.wa GROUP BY 1, 2),
+x AS (SELECT 'body_records' tab, record_id id, split, source FROM body_records WHERE split IN ('dev', 'test') UNION ALL SELECT 'graph_claim_pilot_manifest', pilot_id, 'pilot', NULL FROM graph_claim_pilot_manifest)
+SELECT split, source, count(*) AS n_records, count(hit.id) AS n_overlapping, count(*) FILTER (WHERE exact) AS n_exact FROM x LEFT JOIN hit ON hit.tab = x.tab AND hit.id = x.id GROUP BY 1, 2""",
     "p6_found": _P6 + "SELECT s.keep_id, c.record_id AS copy_id FROM c JOIN s ON c.b = s.b AND c.i = s.i AND c.e = s.e WHERE c.record_id <> s.keep_id",
     "p6_records": _P6 + "SELECT keep_id AS record_id, copies FROM s",
 }
