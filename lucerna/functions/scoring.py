@@ -1,4 +1,4 @@
-"""Answer scoring that needs more than expressions: decomposition, item lists, LCS, matching.
+"""Answer scoring that needs more than expressions: decomposition, item lists, LCS, matching.
 
 Arrow-batched pandas UDFs over whole columns; each is also a plain function for tests.
 """

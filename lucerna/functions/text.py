@@ -1,4 +1,4 @@
-"""Scalar text functions as Catalyst expressions.
+"""Scalar text functions as Catalyst expressions.
 
 Where Python's and Java's ideas of white space differ the Unicode classes are asked for.
 Null in, null out, unless stated.

@@ -1,4 +1,4 @@
-"""Blinded packets and merging of double annotations."""
+"""Blinded packets and merging of double annotations."""
 
 from __future__ import annotations
 

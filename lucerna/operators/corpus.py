@@ -1,4 +1,4 @@
-"""Snippet bank, gold map and corpus profile."""
+"""Snippet bank, gold map and corpus profile."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Evidence packets, claims and verifications."""
+"""Evidence packets, claims and verifications."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Quality metrics: retrieval, classification, agreement, paired comparison (A13-A29, W8, P1-like rates)."""
+"""Quality metrics: retrieval, classification, agreement, rates, paired comparison."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Grouped splits, stratified and quota samples."""
+"""Grouped splits, stratified and quota samples, look-ups in list order."""
 
 from __future__ import annotations
 

@@ -166,6 +166,10 @@ SELECT a AS answer_complete, v AS verification_complete, count(*) AS n FROM x GR
     "pilot_lookup": "WITH f AS (SELECT question_id, min(record_id) record_id FROM graph_routing GROUP BY 1) SELECT pilot_id, p.question_id, f.record_id, f.record_id IS NOT NULL AS found FROM graph_claim_pilot_manifest p LEFT JOIN f ON f.question_id = p.question_id WHERE p.question_id IS NOT NULL",
     "public_questions": "SELECT pilot_id, question_type, question FROM graph_claim_pilot_manifest",
     "missing_gold": "SELECT question_type, count(*) AS n_missing, min(pair_id) AS first_missing FROM (SELECT DISTINCT pair_id, question_type FROM paired_answers WHERE hybrid_answer IS NULL) GROUP BY 1",
+    "smoke_combination": """WITH o AS (SELECT * FROM (SELECT question_type t, pilot_id k, retrieval_uncertainty_label f, row_number() OVER (PARTITION BY question_type ORDER BY pilot_id) r FROM graph_claim_pilot_manifest WHERE question_type IS NOT NULL) WHERE r <= 6),
+x AS (SELECT [a.t, b.t, c.t, d.t] ts, [a.k, b.k, c.k, d.k] ks, [a.f, b.f, c.f, d.f] fs FROM o a, o b, o c, o d WHERE a.t = 'factoid' AND b.t = 'list' AND c.t = 'summary' AND d.t = 'yesno'),
+y AS (SELECT *, abs(len(list_filter(fs, lambda f: f = 'low')) - 1) + abs(len(list_filter(fs, lambda f: f = 'medium')) - 1) + abs(len(list_filter(fs, lambda f: f = 'high')) - 2) dist FROM x ORDER BY dist, ks LIMIT 1)
+SELECT dist::INT AS distance, unnest(ts) AS question_type, unnest(ks) AS pilot_id, unnest(fs) AS retrieval_uncertainty_label FROM y""",
     "selection_counterfactual": """WITH x AS (SELECT record_id, list_filter(coalesce(hybrid_top5, []::VARCHAR[]), lambda s: s IS NOT NULL) a, list_filter(coalesce(list_transform(selection_trace, lambda t: t.snippet_id), []::VARCHAR[]), lambda s: s IS NOT NULL) b FROM graph_routing)
 SELECT record_id, len(list_filter(list_distinct(b), lambda s: NOT list_contains(a, s)))::INT AS n_added, len(list_filter(list_distinct(a), lambda s: NOT list_contains(b, s)))::INT AS n_dropped, list_sort(list_distinct(a)) <> list_sort(list_distinct(b)) AS set_changed, a <> b AS list_changed FROM x""",
     "validator_checks": "WITH "

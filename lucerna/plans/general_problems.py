@@ -185,6 +185,26 @@ ORACLE = {
     "p2_relations": _P2_SQL + "SELECT record_id, item_pos, item_key, CASE WHEN ok THEN i->>'$.relation' END AS relation, CASE WHEN ok THEN i->>'$.source' END AS source_ref, CASE WHEN ok THEN i->>'$.target' END AS target_ref, CASE WHEN ok THEN i->>'$.question_relevance' END AS question_relevance, variant FROM (SELECT *, variant NOT IN ('bare', 'other') ok FROM var WHERE kind = 'relation')",
     "p2_aspects": _P2_SQL + "SELECT record_id, item_pos, item_key, CASE WHEN ok THEN i->>'$.description' END AS description, CASE WHEN ok THEN i->>'$.question_relevance' END AS question_relevance, variant FROM (SELECT *, variant NOT IN ('bare', 'other') ok FROM var WHERE kind = 'aspect')",
     "p2_evidence": _P2_SQL + f"SELECT record_id, kind AS parent, item_pos, sub_pos, k AS snippet_id FROM ({_P2_EVIDENCE})",
+    # the clean graphs of the evaluation queries: every non-null snippet id of a graph is among its candidates
+    "edge_texts": _P2_SQL
+    + """, cited AS (SELECT record_id, kind, p::INT item_pos, count(*) FILTER (WHERE e IS NOT NULL AND json_type(e) <> 'NULL') n FROM evi GROUP BY 1, 2, 3),
+en AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY item_pos) r FROM (SELECT record_id, item_pos, coalesce(i->>'$.entity_id', i->>'$.id') id, coalesce(i->>'$.name', i->>'$.label') nm FROM own WHERE kind = 'entity') WHERE trim(coalesce(id, '')) <> '' AND trim(coalesce(nm, '')) <> ''),
+known AS (SELECT record_id, list(id) || list(nm) k FROM en WHERE r <= 12 GROUP BY 1),
+rel AS (SELECT o.record_id, concat_ws(' ', o.i->>'$.edge_id', o.i->>'$.source', o.i->>'$.relation', o.i->>'$.target') t, row_number() OVER (PARTITION BY o.record_id ORDER BY o.item_pos) r
+  FROM own o JOIN known k ON k.record_id = o.record_id JOIN cited c ON c.record_id = o.record_id AND c.kind = o.kind AND c.item_pos = o.item_pos
+  WHERE o.kind = 'relation' AND c.n > 0 AND list_contains(k.k, o.i->>'$.source') AND list_contains(k.k, o.i->>'$.target'))
+SELECT g.record_id, md5(coalesce(string_agg(t, chr(10) ORDER BY r) FILTER (WHERE r <= 16), 'NO_SUPPORTED_GRAPH_EDGE')) AS edges_md5 FROM graph_routing g LEFT JOIN rel ON rel.record_id = g.record_id GROUP BY 1""",
+    "graph_normalised": _P2_SQL
+    + """, cited AS (SELECT record_id, kind, p::INT item_pos, count(*) FILTER (WHERE e IS NOT NULL AND json_type(e) <> 'NULL') n FROM evi GROUP BY 1, 2, 3),
+en AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY item_pos) r FROM (SELECT record_id, item_pos, coalesce(i->>'$.entity_id', i->>'$.id') id, coalesce(i->>'$.name', i->>'$.label') nm FROM own WHERE kind = 'entity') WHERE trim(coalesce(id, '')) <> '' AND trim(coalesce(nm, '')) <> ''),
+known AS (SELECT record_id, list(id) || list(nm) k FROM en WHERE r <= 12 GROUP BY 1),
+rel AS (SELECT o.record_id, count(*) n FROM own o JOIN known k ON k.record_id = o.record_id JOIN cited c ON c.record_id = o.record_id AND c.kind = o.kind AND c.item_pos = o.item_pos
+  WHERE o.kind = 'relation' AND c.n > 0 AND list_contains(k.k, o.i->>'$.source') AND list_contains(k.k, o.i->>'$.target') GROUP BY 1),
+asp AS (SELECT o.record_id, count(*) n FROM own o JOIN cited c ON c.record_id = o.record_id AND c.kind = o.kind AND c.item_pos = o.item_pos WHERE o.kind = 'aspect' AND c.n > 0 AND trim(coalesce(o.i->>'$.description', '')) <> '' GROUP BY 1),
+ne AS (SELECT record_id, count(*) n FROM en GROUP BY 1)
+SELECT g.record_id, least(12, coalesce(ne.n, 0))::INT AS n_entities, least(16, coalesce(rel.n, 0))::INT AS n_relations, least(12, coalesce(asp.n, 0))::INT AS n_aspects,
+  (greatest(coalesce(ne.n, 0) - 12, 0) + greatest(coalesce(rel.n, 0) - 16, 0) + greatest(coalesce(asp.n, 0) - 12, 0))::INT AS n_over_caps
+FROM graph_routing g LEFT JOIN ne ON ne.record_id = g.record_id LEFT JOIN rel ON rel.record_id = g.record_id LEFT JOIN asp ON asp.record_id = g.record_id""",
     "p4_found": _P4_SQL + "SELECT * FROM all_orphans",
     "p2_relation_links": _P2_SQL
     + """, ent AS (SELECT record_id, list_transform(l, lambda e: coalesce(e->>'$.entity_id', e->>'$.id', '')) ids, list_transform(l, lambda e: coalesce(e->>'$.name', e->>'$.label', '')) names FROM lists WHERE kind = 'entity')

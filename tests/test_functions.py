@@ -133,3 +133,21 @@ def test_texts_of_evidence_and_edges(spark):
     assert one(spark, text.evidence_text(packet)) == "[E1] x\n\n[E2] "
     none = F.lit(None).cast("array<struct<edge_id:string,source:string,relation:string,target:string>>")
     assert one(spark, text.edges_text(none)) == "NO_SUPPORTED_GRAPH_EDGE"
+
+
+def test_claim_links_and_completeness(spark):
+    from lucerna.operators import evidence
+
+    ids, ok = F.array(F.lit("b"), F.lit("x"), F.lit("a"), F.lit("b")), F.array(F.lit("a"), F.lit("b"))
+    assert one(spark, evidence.claim_links(ids, ok)) == ["a", "b"] == one(spark, evidence.claim_links(ids, ok, F.lit("graph_assisted")))
+    assert one(spark, evidence.claim_links(ids, ok, F.lit("text_only"))) == [] == one(spark, evidence.claim_links(F.lit(None).cast("array<string>"), ok))
+    assert one(spark, evidence.verification_complete(ok, F.array(F.lit("b"), F.lit("a")))) is True
+    assert one(spark, evidence.verification_complete(ok, F.array(F.lit("b")))) is False and one(spark, evidence.verification_complete(ok, F.lit(None).cast("array<string>"))) is False
+
+
+def test_risk_and_graph_scores(spark):
+    q = "Which gene is the target of the drug, and how does it regulate the pathway in cells while patients are treated for cancer?"
+    assert one(spark, text.risk_score(F.lit("Summary "), F.lit(q))) == 2 + 1 + 0 + 0 + 1
+    assert one(spark, text.risk_label(F.lit(4))) == "high" and one(spark, text.risk_score(F.lit(None).cast("string"), F.lit(None).cast("string"))) == 1
+    # gene, target, regulate 3 each, pathway 4, "how does" 4, "which" with a term 2, long 1
+    assert one(spark, text.graph_score(F.lit(q))) == 9 + 4 + 4 + 2 + 1 and one(spark, text.graph_score(F.lit(None).cast("string"))) == 0
