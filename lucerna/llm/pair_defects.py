@@ -104,6 +104,8 @@ _OUTER = "\"'`[](){}<>*“”«»„‚‘’"
 _NOT_ALNUM = re.compile(r"[\W_]+")
 _CYRILLIC = re.compile(r"[\u0400-\u04ff]+")
 _ENDED = re.compile(r"[.!?。][\"'”»)\]*`_]*\s*\Z")
+#: A stop inside a bracket that never closes is no end, as in "(p = 0.".
+_UNCLOSED = re.compile(r"\([^()]{0,40}\Z")
 _DOTS = re.compile(r"(\.\.\.|…)\s*\Z")
 _LOOSE = re.compile(r"(?:[\w\s](?:\.\.\.|…)|\w\s?[-–,;:])\s*\Z")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -200,10 +202,11 @@ def judge(q: str | None, a: str | None) -> tuple[str | None, bool, bool, bool]:
     tokens = _WORD.findall(a.lower())
     if q and other_language(q, a, set(_WORD.findall(q.lower())), set(tokens)):
         return "other_language", False, False, False
-    if _ENDED.search(a) and not _DOTS.search(a):
+    inside = bool(_UNCLOSED.search(a))
+    if _ENDED.search(a) and not _DOTS.search(a) and not inside:
         return None, False, False, False
     phrase = len(tokens) >= 3 and not any(c in a for c in ",;\n")
-    return None, True, phrase, bool(_LOOSE.search(a)) or is_sentence(tokens)
+    return None, True, phrase, inside or bool(_LOOSE.search(a)) or is_sentence(tokens)
 
 
 _VERDICT = T.StructType([T.StructField("defect", T.StringType()), *[T.StructField(n, T.BooleanType()) for n in ("open", "phrase", "broken")]])

@@ -45,6 +45,8 @@ def sizes_of(t: str) -> list[int]:
 _DECODER = json.JSONDecoder(strict=False)
 _FENCE = re.compile(r"\A\s*```[\w-]*[ \t]*\n?")
 _ENDED = re.compile(r"[.!?。…][\"'”»)\]*_`]*\s*\Z")
+#: A stop inside a bracket that never closes is no end, as in "(p = 0.".
+_UNCLOSED = re.compile(r"\([^()]{0,40}\Z")
 _SECTION = re.compile(r"(?:\A|\n|(?<=[.!?])[ \t])[ \t]*((?:[\w-]+ )?[A-Za-z]+\d+):\s")
 _STOP = re.compile(r"[.!?](?=\s|\Z)")
 #: What closes the brackets, strings and fence of a reply.
@@ -141,7 +143,7 @@ def ending_of(text: str) -> tuple[str, str, str, list[str]]:
     if len(lines) > 1 and all(_WORD_ITEM.match(x) for x in lines) or (len(lines) == 1 and _WORD_ITEM.match(lines[0])):
         words = [re.split(r":\s*", x, maxsplit=1)[-1].strip() for x in lines]
         return "list", ("ended" if _ENDED.search(words[-1]) else "unsure"), f"item={words[-1]}", [f"item={w}" for w in words[:-1]]
-    if _ENDED.search(body):
+    if _ENDED.search(body) and not _UNCLOSED.search(body):
         return "prose", "ended", "", []
     return "prose", "open", "", []
 

@@ -29,6 +29,8 @@ CASES = [
     ("Какова роль гена?", "The gene is active in the liver and protects from the disease.", "other_language"),
     ("What does the drug do in the liver?", "The drug blocks the enzyme in the liver and", "truncated"),
     ("What does the drug do in the liver?", "The drug blocks the enz…", "truncated"),
+    ("What does the drug do in the liver?", "It blocks the enzyme (p = 0.", "truncated"),
+    ("What does the drug do in the liver?", "It blocks the enzyme (p = 0.3).", None),
     ("What does the drug do in the liver?", "The drug blocks the enzyme because of-", "truncated"),
 ]
 

@@ -25,7 +25,7 @@ WHOLE = json.dumps(OBJ)
     [
         (WHOLE, "ended"), (f"```json\n{WHOLE}\n```", "ended"), (f"```json\n{WHOLE}\n```\nEnd of report.", "ended"), (WHOLE + "\nEnd of report.", "ended"), (f"```json\n{WHOLE}", "open"),
         (WHOLE[:-5], "open"), (WHOLE[:40], "open"), ('{"a": [{"id": "x", "why": "w."}, {"id": "y"}]}', "open"), ('{"a": [{"id": "x", "why": "broken of"}]}', "unsure"), ("All is well.", "ended"),
-        ("All is we", "open"), ("- T1: supported\n- T2: supported", "unsure"), ("- T1: supported\n- T2: all.", "ended"), ("", "ended"), ("It ends (p = 0.3).", "ended"), ("[]", "ended"), ("{}", "ended"),
+        ("All is we", "open"), ("- T1: supported\n- T2: supported", "unsure"), ("- T1: supported\n- T2: all.", "ended"), ("", "ended"), ("It ends (p = 0.3).", "ended"), ("It ends (p = 0.", "open"), ("It (a) ends.", "ended"), ("[]", "ended"), ("{}", "ended"),
     ],
 )
 def test_endings(text, verdict):
