@@ -114,7 +114,8 @@ def consistent_form(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
     sk = skeleton(F.col(text))
-    return docs.select(key, text).withColumn("_s", sk).select(key, composed("_s").alias("canonical"), (F.col("_s") != F.col(text)).alias("changed"))
+    d = docs.select(key, F.col(text).alias("_t"), composed(sk).alias("canonical"))
+    return d.select(key, "canonical", (F.col("canonical") != F.col("_t")).alias("changed"))
 
 
 def _digests(docs: DataFrame, key: str, text: str, ws: Workspace) -> DataFrame:
@@ -133,12 +134,14 @@ def _mixed(d: DataFrame) -> DataFrame:
 def look_alike_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id): one row per document of a class that holds at least two different texts.
 
-    ``class_id`` is a 256-bit digest of the skeleton.  Only keys and digests are shuffled, and texts are
+    ``class_id`` is the smallest key of the class.  Only keys and digests are shuffled, and texts are
     brought to one row per copy map-side before classes are formed.
     """
     d = _digests(docs, key, text, Workspace(docs.sparkSession, "look-alikes"))
-    many = _mixed(d).select("class_id").distinct()
-    return salted_join(d.select(key, "class_id"), many, ["class_id"], "left_semi", heavy_keys(d, "class_id"), F.col(key))
+    heavy = heavy_keys(d, "class_id")
+    mine = salted_join(d.select(key, "class_id"), _mixed(d).select("class_id").distinct(), ["class_id"], "left_semi", heavy, F.col(key))
+    first = mine.groupBy("class_id").agg(F.min(key).alias("_first"))
+    return salted_join(mine, first, ["class_id"], "inner", heavy, F.col(key)).select(key, F.col("_first").alias("class_id"))
 
 
 def look_alike_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -210,7 +210,7 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p10_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that read like another but differ in characters, with their class."""
-    return confusables.look_alike_classes(table(spark, sf, "documents")).select("doc_id", F.lower(F.hex("class_id")).alias("class_id"))
+    return confusables.look_alike_classes(table(spark, sf, "documents"))
 
 
 def p10_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,7 +253,26 @@ d AS (SELECT ka, kb, wa, wb, 0 i, range(0, len(wb) + 1) r FROM cand
 near AS (SELECT wa, wb FROM d WHERE i = len(wa) AND r[len(wb) + 1] <= 2)
 """
 
+def _consistent_sql(c: str) -> str:
+    """The consistent form as SQL, which cannot decompose: letters with accents are looked up composed."""
+    import unicodedata
+
+    composed = {chr(k): unicodedata.normalize("NFC", confusables.skeleton_of(chr(k))) for k in range(128, 0x3000)}
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    one = {chr(k): v for k, v in confusables.prototypes().items() if len(v) == 1} | {k: v for k, v in composed.items() if len(v) == 1 and v != k}
+    gone = "".join(chr(k) for k, v in confusables.prototypes().items() if not v)
+    out = f"nfc_normalize({c})"
+    for k, v in confusables.LIGATURES.items():
+        out = f"replace({out}, {text(k)}, {text(v)})"
+    return f"nfc_normalize(replace(translate({out}, {text(''.join(one) + gone)}, {text(''.join(one.values()))}), chr(13) || chr(10), chr(10)))"
+
+
+_P10 = f"WITH s AS (SELECT doc_id, text, {_consistent_sql('text')} s FROM documents WHERE text IS NOT NULL) "
+
 ORACLE = {
+    "p10_found": _P10 + "SELECT DISTINCT least(a.doc_id, b.doc_id) AS doc_id_a, greatest(a.doc_id, b.doc_id) AS doc_id_b FROM s a JOIN s b ON a.s = b.s AND a.text < b.text",
+    "p10_classes": _P10 + "SELECT doc_id, c AS class_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) c, min(text) OVER (PARTITION BY s) a, max(text) OVER (PARTITION BY s) b FROM s) WHERE a <> b",
+    "p10_texts": f"SELECT doc_id, {_consistent_sql('text')} AS canonical, {_consistent_sql('text')} <> text AS changed FROM documents",
     "p3_found": _P3,
     "p7_found": _P7 + "SELECT DISTINCT ev.tab AS eval_table, ev.id AS eval_id, tr.id AS train_record_id FROM near JOIN ev ON ev.w = near.wa JOIN tr ON tr.w = near.wb",
     "p7_report": _P7
