@@ -224,7 +224,7 @@ def yes_no_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 def rouge_l_pairs(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "paired_answers").where("bge_answer is not null and hybrid_answer is not null")
-    form = lambda c: F.split(scoring.normal_form(F.col(c)), " ")
+    form = lambda c: F.filter(F.split(scoring.normal_form(F.col(c)), " "), lambda w: w != "")
     return p.select("pair_id", form("bge_answer").alias("a"), F.array(form("hybrid_answer")).alias("r")).select("pair_id", F.round(scoring.rouge_l("a", "r"), 6).alias("rouge_l"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from ..functions.text import GREEK
+
 _SQ = r"lower(regexp_replace(regexp_replace({c}, '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{1680}}\x{{2028}}\x{{2029}}\x{{85}}]+', ' ', 'g'), '^ | $', '', 'g'))"
 
 
@@ -51,6 +55,26 @@ def _graph_score(c: str) -> str:
     return "(" + " + ".join(terms + bonus) + ")"
 
 
+def score_form(c: str) -> str:
+    """F4 as SQL: letters with accents lose them and are set off, as decomposition and what follows it do."""
+    marked, plain = [], []
+    for cp in range(0xA0, 0x2100):
+        d = unicodedata.normalize("NFKD", chr(cp))
+        if d != chr(cp) and d[0].isascii() and d[0].isalnum() and all(unicodedata.combining(x) for x in d[1:]):
+            (marked if len(d) > 1 else plain).append((chr(cp), d[0]))
+    both = marked + plain
+    t = f"regexp_replace({c}, '([{''.join(x for x, _ in marked)}])', '\\1 ', 'g')"
+    t = f"translate({t}, '{''.join(x for x, _ in both)}', '{''.join(y for _, y in both)}')"
+    for letter, name in GREEK.items():
+        t = f"replace({t}, '{letter}', ' {name} ')"
+    t = f"lower({t})"
+    for border in ("([a-z])([0-9])", "([0-9])([a-z])"):
+        t = f"regexp_replace({t}, '{border}', '\\1 \\2', 'g')"
+    t = f"regexp_replace({t}, '[^a-z0-9]+', ' ', 'g')"
+    t = f"regexp_replace({t}, '\\b(?:a|an|the)\\b', ' ', 'g')"
+    return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
+
+
 _REL = "association|associated|relationship|relation|interact|interaction|effect|affect|cause|causal|mechanism|role|pathway|regulate|inhibit|activate|treat|treatment|therapy|diagnos|predict|risk|increase|decrease"
 _CMP = r"compare|difference|versus|vs\.?|better|worse|higher|lower|similar|different|most|least"
 _D = "round(quantile_cont(v, 0.5), 6) AS median, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, max(v) AS max"
@@ -166,6 +190,12 @@ SELECT a AS answer_complete, v AS verification_complete, count(*) AS n FROM x GR
     "pilot_lookup": "WITH f AS (SELECT question_id, min(record_id) record_id FROM graph_routing GROUP BY 1) SELECT pilot_id, p.question_id, f.record_id, f.record_id IS NOT NULL AS found FROM graph_claim_pilot_manifest p LEFT JOIN f ON f.question_id = p.question_id WHERE p.question_id IS NOT NULL",
     "public_questions": "SELECT pilot_id, question_type, question FROM graph_claim_pilot_manifest",
     "missing_gold": "SELECT question_type, count(*) AS n_missing, min(pair_id) AS first_missing FROM (SELECT DISTINCT pair_id, question_type FROM paired_answers WHERE hybrid_answer IS NULL) GROUP BY 1",
+    # longest common subsequences by rows: a row's cell is the best of those to its left and above
+    "rouge_l_pairs": f"""WITH RECURSIVE p AS (SELECT pair_id, list_filter(string_split({score_form('bge_answer')}, ' '), lambda w: w <> '') a, list_filter(string_split({score_form('hybrid_answer')}, ' '), lambda w: w <> '') b
+  FROM paired_answers WHERE bge_answer IS NOT NULL AND hybrid_answer IS NOT NULL),
+d AS (SELECT pair_id, a, b, 0 i, list_transform(range(0, len(b) + 1), lambda j: 0) r FROM p
+  UNION ALL SELECT pair_id, a, b, i + 1, list_transform(range(0, len(b) + 1), lambda j: list_max(list_transform(range(0, j + 1), lambda k: CASE WHEN k = 0 THEN 0 WHEN b[k] = a[i + 1] THEN greatest(r[k + 1], r[k] + 1) ELSE r[k + 1] END))) FROM d WHERE i < len(a))
+SELECT pair_id, round(CASE WHEN r[len(b) + 1] > 0 THEN 2.0::DOUBLE * r[len(b) + 1] / (len(a) + len(b)) ELSE 0 END, 6) AS rouge_l FROM d WHERE i = len(a)""",
     "smoke_combination": """WITH o AS (SELECT * FROM (SELECT question_type t, pilot_id k, retrieval_uncertainty_label f, row_number() OVER (PARTITION BY question_type ORDER BY pilot_id) r FROM graph_claim_pilot_manifest WHERE question_type IS NOT NULL) WHERE r <= 6),
 x AS (SELECT [a.t, b.t, c.t, d.t] ts, [a.k, b.k, c.k, d.k] ks, [a.f, b.f, c.f, d.f] fs FROM o a, o b, o c, o d WHERE a.t = 'factoid' AND b.t = 'list' AND c.t = 'summary' AND d.t = 'yesno'),
 y AS (SELECT *, abs(len(list_filter(fs, lambda f: f = 'low')) - 1) + abs(len(list_filter(fs, lambda f: f = 'medium')) - 1) + abs(len(list_filter(fs, lambda f: f = 'high')) - 2) dist FROM x ORDER BY dist, ks LIMIT 1)
