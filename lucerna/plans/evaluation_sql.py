@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+from ..functions.scoring import GENERIC
 from ..functions.text import GREEK
 
 _SQ = r"lower(regexp_replace(regexp_replace({c}, '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{1680}}\x{{2028}}\x{{2029}}\x{{85}}]+', ' ', 'g'), '^ | $', '', 'g'))"
@@ -190,6 +191,20 @@ SELECT a AS answer_complete, v AS verification_complete, count(*) AS n FROM x GR
     "pilot_lookup": "WITH f AS (SELECT question_id, min(record_id) record_id FROM graph_routing GROUP BY 1) SELECT pilot_id, p.question_id, f.record_id, f.record_id IS NOT NULL AS found FROM graph_claim_pilot_manifest p LEFT JOIN f ON f.question_id = p.question_id WHERE p.question_id IS NOT NULL",
     "public_questions": "SELECT pilot_id, question_type, question FROM graph_claim_pilot_manifest",
     "missing_gold": "SELECT question_type, count(*) AS n_missing, min(pair_id) AS first_missing FROM (SELECT DISTINCT pair_id, question_type FROM paired_answers WHERE hybrid_answer IS NULL) GROUP BY 1",
+    # items of an answer as rows, their aliases as rows, matched against the other answer's aliases
+    "factoid_reciprocal_rank": rf"""WITH p AS (SELECT pair_id, regexp_replace(bge_answer, '^\s+|\s+$', '', 'g') t, hybrid_answer h FROM paired_answers WHERE question_type = 'factoid' AND bge_answer IS NOT NULL AND hybrid_answer IS NOT NULL),
+q AS (SELECT pair_id, regexp_replace(t, '^[-*•]\s*', '') t FROM p WHERE t <> '[]'),
+l AS (SELECT pair_id, CASE WHEN regexp_matches(t, '[;\n]') THEN regexp_split_to_array(t, '[;\n]') WHEN regexp_matches(t, '\b\d+[.)]\s+') THEN regexp_split_to_array(t, '\b\d+[.)]\s+')
+  WHEN contains(t, ',') AND len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) < 40 THEN string_split(t, ',') ELSE [t] END l FROM q),
+i AS (SELECT pair_id, trim(regexp_replace(unnest(l), '^\s+|\s+$', '', 'g'), '[]''" ') x, unnest(range(len(l))) pos FROM l), f AS (SELECT *, {score_form('x')} f FROM i),
+n AS (SELECT pair_id, x, row_number() OVER (PARTITION BY pair_id ORDER BY pos) r FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, f ORDER BY pos) d FROM f WHERE f <> '') WHERE d = 1),
+raw AS (SELECT pair_id, r, unnest([x] || regexp_extract_all(x, '([^()]*)\(([^()]*)\)', 1) || regexp_extract_all(x, '([^()]*)\(([^()]*)\)', 2)) v FROM (SELECT pair_id, r, x FROM n UNION ALL SELECT pair_id, 0, h FROM p)),
+a AS (SELECT DISTINCT pair_id, r, f, false g FROM (SELECT pair_id, r, {score_form('v')} f FROM raw) WHERE f <> ''),
+b AS (SELECT * FROM a UNION SELECT pair_id, r, array_to_string(list_filter(string_split(f, ' '), lambda w: NOT list_contains(string_split('{GENERIC}', ' '), w)), ' '), true FROM a),
+w AS (SELECT pair_id, r, f, g, string_split(f, ' ') a FROM b WHERE f <> ''),
+m AS (SELECT x.pair_id, x.r, bool_or(x.f = y.f AND NOT x.g AND NOT y.g) strict, bool_or(x.f = y.f OR 2.0::DOUBLE * list_sum([0] || list_transform(list_distinct(x.a), lambda k: least(len(list_filter(x.a, lambda z: z = k)), len(list_filter(y.a, lambda z: z = k))))) / (len(x.a) + len(y.a)) >= 0.85) lenient
+  FROM w x JOIN w y ON y.pair_id = x.pair_id AND y.r = 0 WHERE x.r > 0 GROUP BY 1, 2)
+SELECT p.pair_id, round(coalesce(1.0::DOUBLE / min(r) FILTER (WHERE lenient), 0), 6) AS lenient, round(coalesce(1.0::DOUBLE / min(r) FILTER (WHERE strict), 0), 6) AS strict FROM p LEFT JOIN m ON m.pair_id = p.pair_id GROUP BY 1""",
     # longest common subsequences by rows: a row's cell is the best of those to its left and above
     "rouge_l_pairs": f"""WITH RECURSIVE p AS (SELECT pair_id, list_filter(string_split({score_form('bge_answer')}, ' '), lambda w: w <> '') a, list_filter(string_split({score_form('hybrid_answer')}, ' '), lambda w: w <> '') b
   FROM paired_answers WHERE bge_answer IS NOT NULL AND hybrid_answer IS NOT NULL),
