@@ -44,17 +44,19 @@ def deduplicated(stream: DataFrame, keys: list[str], late: str = "1 hour") -> Da
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if stream.isStreaming else stream.dropDuplicates(keys)
 
 
-def run_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str) -> StreamingQuery:
+def run_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], key: str, out: str, checkpoint: str, event_time: str | None = None, late: str = "1 day") -> StreamingQuery:
     """Micro-batches through ``work``, written to ``out``, each into a folder of its own.
 
     Keys done before are known to the query's state, so no earlier output is read again; a batch that is replayed after
-    a failure overwrites its own folder, so it adds nothing.
+    a failure overwrites its own folder, so it adds nothing.  Without ``event_time`` every key is remembered for
+    ever; with it a repeat is looked for within ``late`` only and the state is dropped behind the watermark.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return stream.dropDuplicates([key]).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key]) if event_time else stream.dropDuplicates([key])
+    return once.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_per_key(stream: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:

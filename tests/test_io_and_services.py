@@ -93,6 +93,9 @@ def test_streams_equal_batches(spark, sf, tmp_path):
         pipelines.run_batches(s, lambda d: d.select("event_id", F.lit(1).alias("done")), "event_id", out, ck).awaitTermination()
     assert spark.read.parquet(out).count() == e.select("event_id").distinct().count()
     stream = pipelines.event_stream(spark, str(src / "all"), "*.parquet")
+    late = str(tmp_path / "late")
+    pipelines.run_batches(stream, lambda d: d.select("event_id"), "event_id", late, str(tmp_path / "ck2"), "ts", "400 days").awaitTermination()
+    assert spark.read.parquet(late).count() == e.select("event_id").distinct().count()
     q = pipelines.windowed(stream, "1 day").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     want = pipelines.windowed(e.withColumn("ts", F.col("ts").cast("timestamp")), "1 day")
