@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 from ..functions.scoring import GENERIC
-from ..functions.text import GREEK
+from ..functions.text import COMPARISON_CUES, GRAPH_TERMS, GREEK, RELATION_CUES, WHICH_TERMS
 
 _SQ = r"lower(regexp_replace(regexp_replace({c}, '[\s\x{{00a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{1680}}\x{{2028}}\x{{2029}}\x{{85}}]+', ' ', 'g'), '^ | $', '', 'g'))"
 
@@ -37,17 +37,10 @@ _ARMS = """WITH a AS (SELECT DISTINCT arm_row_id, route, question_id, model, fin
 _F1 = """list_sum([0] || list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda x: x = w)), len(list_filter(b, lambda x: x = w)))))"""
 _PAIR = f"(SELECT pair_id, question_type, {tok('bge_answer')} a, {tok('hybrid_answer')} b FROM paired_answers WHERE bge_answer IS NOT NULL AND hybrid_answer IS NOT NULL)"
 _F1X = f"CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE 2.0::DOUBLE * {_F1} / (len(a) + len(b)) END"
-_TERMS = {
-    4: ("mechanism", "pathway", "interact", "interaction", "inhibit", "activate", "relationship"),
-    3: ("target", "receptor", "gene", "protein", "mutation", "mutated", "associated", "association", "cause", "causes", "regulate", "linked", "biomarker", "mediated"),
-    2: ("role", "effect", "affect", "derived", "responsible"),
-}
-
-
 def _graph_score(c: str) -> str:
     n = alnum(c)
-    terms = [f"(CASE WHEN contains({n}, '{t}') THEN {w} ELSE 0 END)" for w, ts in _TERMS.items() for t in ts]
-    which = " OR ".join(f"contains({n}, '{t}')" for t in ("target", "gene", "protein", "receptor", "pathway"))
+    terms = [f"(CASE WHEN contains({n}, '{t}') THEN {w} ELSE 0 END)" for t, w in GRAPH_TERMS.items()]
+    which = " OR ".join(f"contains({n}, '{t}')" for t in WHICH_TERMS)
     bonus = [
         f"(CASE WHEN contains({n}, 'how does') OR contains({n}, 'what is the role') THEN 4 ELSE 0 END)",
         f"(CASE WHEN list_contains(string_split({n}, ' '), 'which') AND ({which}) THEN 2 ELSE 0 END)",
@@ -76,8 +69,7 @@ def score_form(c: str) -> str:
     return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
 
 
-_REL = "association|associated|relationship|relation|interact|interaction|effect|affect|cause|causal|mechanism|role|pathway|regulate|inhibit|activate|treat|treatment|therapy|diagnos|predict|risk|increase|decrease"
-_CMP = r"compare|difference|versus|vs\.?|better|worse|higher|lower|similar|different|most|least"
+_REL, _CMP = "|".join(RELATION_CUES.split()), "|".join(COMPARISON_CUES.split())
 _D = "round(quantile_cont(v, 0.5), 6) AS median, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.9), 6) AS p90, max(v) AS max"
 _SH = "sha256({k} || '|20260725')"
 
