@@ -39,7 +39,7 @@ def pick_with_control(df: DataFrame, cell: list[str], key: str, first: list[Colu
     """Per cell the best row by one order and the best of the rest by another (role pick / control).
 
     The control is among the best two by its order, so both choices keep at most two rows of a cell before the shuffle.
-    A cell of one row has no control.  ``key`` is unique.
+    A cell of one row has no control.  ``key`` is unique and not null.
     """
     w = Window.partitionBy(*cell)
     pick = df.withColumn("_r", F.row_number().over(w.orderBy(*first, F.col(key)))).where("_r = 1").drop("_r").withColumn("role", F.lit("pick"))
@@ -79,6 +79,9 @@ def best_combination(options: DataFrame, group: str, key: str, feature: str, tar
         part = o.where(F.col(group) == g).select(F.array(F.struct(F.lit(g).alias("g"), F.col(key).alias("k"), F.col(feature).alias("f"))).alias("new"))
         acc = part.select(F.col("new").alias("chosen")) if acc is None else acc.join(part).select(F.concat("chosen", "new").alias("chosen"))
 
+    if acc is None:  # no group, no choice
+        return o.select(F.lit(0).alias("distance"), group, key, feature)
+
     def count(v: str) -> Column:
         return F.size(F.filter("chosen", lambda x: x["f"] == v))
 
