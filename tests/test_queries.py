@@ -42,6 +42,11 @@ def test_query(spark, sf, sql, name):
     assert sorted(names) == cols and got == want
 
 
+def test_every_query_on_empty_tables(spark, empty_sf):
+    for name, query in registry.queries().items():
+        assert query(spark, empty_sf).count() >= 0, name
+
+
 def test_entry_without_training_package(spark, sf):
     import __spark_entry__ as e
 
