@@ -36,6 +36,13 @@ def test_runs(spark, sf, name):
         assert sorted(tuple(x[c] for c in cols) for x in rows) == sorted(r.fetchall())
 
 
+def test_every_query_on_empty_tables(spark, empty_sf):
+    from lucerna.llm.queries import QUERIES
+
+    found = {name: query(spark, empty_sf).count() for name, query in QUERIES.items()}
+    assert all(found[n] == 0 for n in FOUND)
+
+
 def test_groups_never_divided(spark, sf):
     from lucerna.llm.queries import QUERIES
 
