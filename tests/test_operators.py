@@ -22,6 +22,33 @@ def test_bm25_edges(spark):
     assert lexical.bm25_topk(q, c.limit(0), "q", "t", "d", "t", 5).count() == 0
 
 
+def test_bm25_blocks_equal_brute_force(spark):
+    """Small blocks, several passes over the queries, frequent terms, repeated texts that tie, null keys of queries."""
+    import math
+    from collections import Counter
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    docs = {f"d{i:03}": " ".join(["the"] * r.randint(0, 2) + r.choices(words, [1 / (i + 1) for i in range(40)], k=r.randint(0, 6))) for i in range(300)}
+    asked = {(i or None): " ".join(r.sample(["the", *words[:6]], 2) + r.choices(words, k=r.randint(0, 3))) for i in range(30)}
+    tf = {d: Counter(t.split()) for d, t in docs.items() if t}
+    df, mean = Counter(t for c in tf.values() for t in c), sum(c.total() for c in tf.values()) / len(tf)
+    want = []
+    for q, text in asked.items():
+        score = {}
+        for d, c in tf.items():
+            for t, n in Counter(text.split()).items():
+                if t in c:
+                    score[d] = score.get(d, 0) + n * math.log(1 + (len(tf) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.5 / (c[t] + 1.5 * (0.25 + 0.75 * c.total() / mean))
+        best = sorted((-round(s, 8), d) for d, s in score.items())[:7]
+        want += [(q, n + 1, d, -s) for n, (s, d) in enumerate(best)]
+    qs = spark.createDataFrame(list(asked.items()), "q int, t string")
+    ds = spark.createDataFrame(list(docs.items()), "d string, t string").coalesce(1)
+    for more in ({}, {"block": 20}, {"block": 20, "asked_rows": 25}):
+        got = lexical.bm25_topk(qs, ds, "q", "t", "d", "t", 7, **more).select("q", "rank", "d", "score")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr), more
+
+
 def test_hot_term_and_popular_snippet_are_spread(spark):
     """One term, one snippet, one text in all of 25 000 rows."""
     docs = spark.range(25_000).select(F.col("id").alias("d"), F.concat(F.lit("gene u"), "id").alias("t"))
