@@ -11,6 +11,7 @@ duckdb = pytest.importorskip("duckdb")
 N_QUESTIONS, N_SNIPPETS = 300, 2000
 NAMES = [
     "bm25_topk",
+    "method_overlap",
 ]
 
 
