@@ -12,6 +12,7 @@ N_QUESTIONS, N_SNIPPETS = 300, 2000
 NAMES = [
     "bm25_topk",
     "method_overlap",
+    "retrieval_quality",
 ]
 
 
