@@ -13,6 +13,7 @@ NAMES = [
     "bm25_topk",
     "method_overlap",
     "retrieval_quality",
+    "rrf_fusion",
 ]
 
 
