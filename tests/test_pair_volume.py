@@ -14,6 +14,7 @@ NAMES = [
     "method_overlap",
     "retrieval_quality",
     "rrf_fusion",
+    "cheapest_best_method",
 ]
 
 
