@@ -15,6 +15,7 @@ NAMES = [
     "retrieval_quality",
     "rrf_fusion",
     "cheapest_best_method",
+    "rank_shift_flags",
 ]
 
 
