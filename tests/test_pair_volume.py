@@ -16,6 +16,7 @@ NAMES = [
     "rrf_fusion",
     "cheapest_best_method",
     "rank_shift_flags",
+    "retrieval_rescue",
 ]
 
 
