@@ -17,6 +17,7 @@ NAMES = [
     "cheapest_best_method",
     "rank_shift_flags",
     "retrieval_rescue",
+    "uncertainty",
 ]
 
 
